@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from tarnwork.llm.hilbert_shards import op2_hilbert_shards
+from tarnwork.llm.simhash_golay import op5_simhash_golay
 
-QUERIES = {"op2_hilbert_shards": op2_hilbert_shards}
+QUERIES = {
+    "op2_hilbert_shards": op2_hilbert_shards,
+    "op5_simhash_golay": op5_simhash_golay,
+}
 ORACLE_SQL: dict[str, str] = {}
