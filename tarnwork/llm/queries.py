@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from tarnwork.llm.hilbert_shards import op2_hilbert_shards
+from tarnwork.llm.lgs_packing import op3_lgs_packing
 from tarnwork.llm.simhash_golay import op5_simhash_golay
 
 QUERIES = {
     "op2_hilbert_shards": op2_hilbert_shards,
+    "op3_lgs_packing": op3_lgs_packing,
     "op5_simhash_golay": op5_simhash_golay,
 }
 ORACLE_SQL: dict[str, str] = {}
