@@ -30,9 +30,9 @@ from tarnwork.llm.tokens import encoder, vocabulary_path
 from tarnwork.plans.shared import written
 
 CAPACITY = 2048
-GROUPS = 48
+GROUPS = 512
 #: Lengths up to capacity / SMALL_PART are placed by best fit.
-SMALL_PART = 8
+SMALL_PART = 4
 END_ID = 0
 RANK_BUCKETS = 64
 
