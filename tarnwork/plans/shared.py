@@ -32,12 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
 _cleaned: set[str] = set()
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return a frame that reads it.
 
     An empty frame keeps its schema.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
