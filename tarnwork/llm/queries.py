@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from tarnwork.llm.hilbert_shards import op2_hilbert_shards
+from tarnwork.llm.language_id import op8_ppm_language
 from tarnwork.llm.lgs_packing import op3_lgs_packing
 from tarnwork.llm.one_permutation import op9_one_permutation
 from tarnwork.llm.secret_scan import op6_secret_scan
 from tarnwork.llm.simhash_golay import op5_simhash_golay
+from tarnwork.llm.token_counts import op10_separator_scan
 
 QUERIES = {
     "op2_hilbert_shards": op2_hilbert_shards,
     "op3_lgs_packing": op3_lgs_packing,
     "op5_simhash_golay": op5_simhash_golay,
     "op6_secret_scan": op6_secret_scan,
+    "op8_ppm_language": op8_ppm_language,
     "op9_one_permutation": op9_one_permutation,
+    "op10_separator_scan": op10_separator_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
