@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tarnwork.llm.hilbert_shards import op2_hilbert_shards
+from tarnwork.llm.ivf_pq import op7_ivf_pq
 from tarnwork.llm.language_id import op8_ppm_language
 from tarnwork.llm.lgs_packing import op3_lgs_packing
 from tarnwork.llm.one_permutation import op9_one_permutation
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_lgs_packing": op3_lgs_packing,
     "op5_simhash_golay": op5_simhash_golay,
     "op6_secret_scan": op6_secret_scan,
+    "op7_ivf_pq": op7_ivf_pq,
     "op8_ppm_language": op8_ppm_language,
     "op9_one_permutation": op9_one_permutation,
     "op10_separator_scan": op10_separator_scan,
