@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tarnwork.llm.hilbert_shards import op2_hilbert_shards
+from tarnwork.llm.html_extract import op4_dom_model
 from tarnwork.llm.ivf_pq import op7_ivf_pq
 from tarnwork.llm.language_id import op8_ppm_language
 from tarnwork.llm.lgs_packing import op3_lgs_packing
@@ -14,6 +15,7 @@ from tarnwork.llm.token_counts import op10_separator_scan
 QUERIES = {
     "op2_hilbert_shards": op2_hilbert_shards,
     "op3_lgs_packing": op3_lgs_packing,
+    "op4_dom_model": op4_dom_model,
     "op5_simhash_golay": op5_simhash_golay,
     "op6_secret_scan": op6_secret_scan,
     "op7_ivf_pq": op7_ivf_pq,
