@@ -7,12 +7,14 @@ from tarnwork.llm.html_extract import op4_dom_model
 from tarnwork.llm.ivf_pq import op7_ivf_pq
 from tarnwork.llm.language_id import op8_ppm_language
 from tarnwork.llm.lgs_packing import op3_lgs_packing
+from tarnwork.llm.mixing import op1_soft_mixing
 from tarnwork.llm.one_permutation import op9_one_permutation
 from tarnwork.llm.secret_scan import op6_secret_scan
 from tarnwork.llm.simhash_golay import op5_simhash_golay
 from tarnwork.llm.token_counts import op10_separator_scan
 
 QUERIES = {
+    "op1_soft_mixing": op1_soft_mixing,
     "op2_hilbert_shards": op2_hilbert_shards,
     "op3_lgs_packing": op3_lgs_packing,
     "op4_dom_model": op4_dom_model,
