@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Modules that register queries.
-MODULES = ("queries_text",)
+MODULES = ("queries_access", "queries_outcomes", "queries_text")
 
 
 def load() -> None:
