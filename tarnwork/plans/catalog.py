@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Modules that register queries.
-MODULES = ("queries_access", "queries_evidence", "queries_outcomes", "queries_text")
+MODULES = ("queries_access", "queries_evidence", "queries_outcomes", "queries_search", "queries_text")
 
 
 def load() -> None:
