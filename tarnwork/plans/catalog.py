@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Modules that register queries.
-MODULES = ("queries_access", "queries_canonical", "queries_evidence", "queries_outcomes", "queries_search", "queries_text")
+MODULES = ("queries_access", "queries_canonical", "queries_evidence", "queries_incremental", "queries_outcomes", "queries_search", "queries_sources", "queries_text")
 
 
 def load() -> None:
