@@ -73,8 +73,12 @@ def parse_feed(docs: DataFrame, id_column: str, body: str) -> DataFrame:
     item = "struct<title:string,link:string,guid:string,pubDate:string,description:string>"
     entry = "struct<title:string,link:struct<_href:string>,id:string,published:string,updated:string,summary:string>"
     rows = docs.select(id_column, F.from_xml(F.col(body), f"channel struct<item:array<{item}>>, entry array<{entry}>").alias("x"))
-    rss = rows.select(id_column, F.inline("x.channel.item")).select(id_column, "title", F.col("link").alias("url"), F.col("guid").alias("given"), F.col("pubDate").alias("published"), F.col("description").alias("content"))
-    atom = rows.select(id_column, F.inline("x.entry")).select(id_column, "title", F.col("link._href").alias("url"), F.col("id").alias("given"), F.coalesce("published", "updated").alias("published"), F.col("summary").alias("content"))
+    rss = rows.select(id_column, F.explode("x.channel.item").alias("e")).select(
+        id_column, "e.title", F.col("e.link").alias("url"), F.col("e.guid").alias("given"), F.col("e.pubDate").alias("published"), F.col("e.description").alias("content")
+    )
+    atom = rows.select(id_column, F.explode("x.entry").alias("e")).select(
+        id_column, "e.title", F.col("e.link._href").alias("url"), F.col("e.id").alias("given"), F.coalesce("e.published", "e.updated").alias("published"), F.col("e.summary").alias("content")
+    )
     url = urls.normalize_url(F.col("url"))
     identity = F.concat(F.lit("feed:"), F.sha2(F.coalesce("given", url).cast("binary"), 256))
     return rss.unionByName(atom).select(id_column, identity.alias("identity"), url.alias("url"), "title", "published", F.coalesce("content", "title").alias("content"))
