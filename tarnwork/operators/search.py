@@ -66,10 +66,10 @@ def lexical(queries: DataFrame, docs: DataFrame, fields: list[str], pool: int) -
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms, ids = shared.value
-        best = pd.DataFrame({"q": [], "doc_id": [], "score": []}).astype({"q": "int64", "doc_id": "int64", "score": "float64"})
         find = re.compile("[a-z0-9]+").findall
+        q, doc, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         for b in batches:
-            got = [best]
+            parts = [(q, doc, score)]
             for doc_id, *texts in b[["doc_id", *fields]].itertuples(index=False):
                 total = np.zeros(len(ids))
                 for w, t in zip(weights, texts):
@@ -78,10 +78,14 @@ def lexical(queries: DataFrame, docs: DataFrame, fields: list[str], pool: int) -
                         if at is not None:
                             total[at] += w * n
                 hit = np.flatnonzero(total)
-                if len(hit):
-                    got.append(pd.DataFrame({"q": hit, "doc_id": doc_id, "score": total[hit]}))
-            best = pd.concat(got).sort_values(["q", "score", "doc_id"], ascending=[True, False, True]).groupby("q").head(pool)
-        yield pd.DataFrame({"query_id": [ids[i] for i in best["q"]], "doc_id": best["doc_id"], "score": best["score"]})
+                parts.append((hit, np.full(len(hit), doc_id, np.int64), total[hit]))
+            q, doc, score = (np.concatenate(p) for p in zip(*parts))
+            order = np.lexsort((doc, -score, q))
+            q, doc, score = q[order], doc[order], score[order]
+            first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, np.int64)
+            keep = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)])) < pool
+            q, doc, score = q[keep], doc[keep], score[keep]
+        yield pd.DataFrame({"query_id": np.array(ids, np.int64)[q], "doc_id": doc, "score": score})
 
     return _best(docs.select("doc_id", *fields).mapInPandas(search, "query_id long, doc_id long, score double"), pool)
 
