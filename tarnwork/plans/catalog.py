@@ -12,8 +12,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a function (spark, sf_dir) -> DataFrame under ``name``."""
+def query(name: str, sql: str | None = None, ints: tuple[str, ...] = ()):
+    """Register a function (spark, sf_dir) -> DataFrame under ``name``; ``ints`` are columns that SQL must narrow to integer."""
+    if sql and ints:
+        sql = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS INTEGER) AS {c}' for c in ints)}) FROM ({sql})"
 
     def add(f):
         if name in QUERIES:

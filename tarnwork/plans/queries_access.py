@@ -114,7 +114,7 @@ def j2(spark, sf_dir):
     return tables.missing(table(spark, sf_dir, "lineitem").select("l_partkey").distinct(), known, ["l_partkey"])
 
 
-@query("J3_latest_root", "SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, length(arg_max(text, turn)) AS chars FROM conversations GROUP BY 1")
+@query("J3_latest_root", "SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, length(arg_max(text, turn)) AS chars FROM conversations GROUP BY 1", ints=("chars",))
 def j3(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").withColumn("chars", F.length("text"))
     return tables.latest(rows, ["conv_id"], ["turn"], ["turn", "role", "chars"])
@@ -276,7 +276,7 @@ def w3(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.max_by(key, F.struct("l_shipdate", -key)).alias("profile"))
 
 
-@query("W5_rank_assignment", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders")
+@query("W5_rank_assignment", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders", ints=("rank",))
 def w5(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("rank"))
 
@@ -304,7 +304,7 @@ def w9(spark, sf_dir):
     return tables.carry_forward(e, ["user_id"], "event_id", "h", "heading").select("event_id", "heading")
 
 
-@query("O3_context_priority", "SELECT conv_id, turn, priority FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY priority DESC, turn) AS rn FROM (SELECT conv_id, turn, CASE WHEN turn = 0 THEN 1000000 ELSE 0 END + CASE WHEN role = 'assistant' THEN 100000 ELSE 0 END + CASE WHEN role = 'system' THEN 50000 ELSE 0 END + CASE WHEN role = 'user' THEN 25000 ELSE 0 END + length(text) AS priority FROM conversations)) WHERE rn <= 3")
+@query("O3_context_priority", "SELECT conv_id, turn, priority FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY priority DESC, turn) AS rn FROM (SELECT conv_id, turn, CASE WHEN turn = 0 THEN 1000000 ELSE 0 END + CASE WHEN role = 'assistant' THEN 100000 ELSE 0 END + CASE WHEN role = 'system' THEN 50000 ELSE 0 END + CASE WHEN role = 'user' THEN 25000 ELSE 0 END + length(text) AS priority FROM conversations)) WHERE rn <= 3", ints=("priority",))
 def o3(spark, sf_dir):
     pts = (
         F.when(F.col("turn") == 0, 1_000_000).otherwise(0)
@@ -316,7 +316,7 @@ def o3(spark, sf_dir):
     return c.withColumn("rn", rn).where("rn <= 3").drop("rn")
 
 
-@query("O5_chronological", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn <> 0, length(text), turn) AS place FROM conversations")
+@query("O5_chronological", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn <> 0, length(text), turn) AS place FROM conversations", ints=("place",))
 def o5(spark, sf_dir):
     w = Window.partitionBy("conv_id").orderBy(F.col("turn") != 0, F.length("text"), "turn")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(w).alias("place"))
@@ -330,7 +330,7 @@ def o6(spark, sf_dir):
     return e.unionByName(o).unionByName(s).orderBy(F.desc("at"), "kind", F.desc("id")).limit(12)
 
 
-@query("O7_alternatives", "SELECT o_custkey, place, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place FROM orders) WHERE place >= 1 AND place < 6")
+@query("O7_alternatives", "SELECT o_custkey, place, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place FROM orders) WHERE place >= 1 AND place < 6", ints=("place",))
 def o7(spark, sf_dir):
     g = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("v"))
     return g.select("o_custkey", F.posexplode("v").alias("place", "o_orderkey")).where("place >= 1 AND place < 6")

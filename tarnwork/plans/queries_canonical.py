@@ -23,7 +23,7 @@ def found(spark, sf_dir):
     )
 
 
-@query("R9_similarity_profiles", f"SELECT candidate_id, fingerprint, len(ps) AS problem_shingles, len(ss) AS solution_shingles, sha256(array_to_string(list_sort(ps), ',')) AS problem_digest FROM {_PROF}")
+@query("R9_similarity_profiles", f"SELECT candidate_id, fingerprint, len(ps) AS problem_shingles, len(ss) AS solution_shingles, sha256(array_to_string(list_sort(ps), ',')) AS problem_digest FROM {_PROF}", ints=("problem_shingles", "solution_shingles",))
 def r9(spark, sf_dir):
     p = found(spark, sf_dir)
     return p.select("candidate_id", "fingerprint", F.size("problem_shingles").alias("problem_shingles"), F.size("solution_shingles").alias("solution_shingles"), F.sha2(F.array_join("problem_shingles", ",").cast("binary"), 256).alias("problem_digest"))
@@ -68,8 +68,7 @@ def r15(spark, sf_dir):
 
 @query(
     "R15_membership_events",
-    """SELECT record_id, row_number() OVER (PARTITION BY record_id ORDER BY candidate_id) AS sequence, candidate_id, event FROM (SELECT candidate_id, coalesce(n, o) AS record_id, CASE WHEN o IS NULL THEN 'attached' WHEN n IS NULL THEN 'split' WHEN o <> n THEN 'reassigned' END AS event FROM (SELECT o_orderkey AS candidate_id, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey % 50 END AS o, CASE WHEN o_orderkey % 7 <> 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 40 ELSE o_custkey % 50 END END AS n FROM orders)) WHERE event IS NOT NULL AND NOT (record_id IS NULL)""",
-)
+    """SELECT record_id, row_number() OVER (PARTITION BY record_id ORDER BY candidate_id) AS sequence, candidate_id, event FROM (SELECT candidate_id, coalesce(n, o) AS record_id, CASE WHEN o IS NULL THEN 'attached' WHEN n IS NULL THEN 'split' WHEN o <> n THEN 'reassigned' END AS event FROM (SELECT o_orderkey AS candidate_id, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey % 50 END AS o, CASE WHEN o_orderkey % 7 <> 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 40 ELSE o_custkey % 50 END END AS n FROM orders)) WHERE event IS NOT NULL AND NOT (record_id IS NULL)""", ints=("sequence",))
 def r15_events(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     before = o.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("candidate_id"), (F.col("o_custkey") % 50).alias("record_id"))

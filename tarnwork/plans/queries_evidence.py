@@ -57,13 +57,13 @@ _EVID = f"""WITH s AS ({_SIG}), p AS (SELECT *, grounded*20 + self_rep*5 + offic
 e AS (SELECT *, CASE WHEN strong = 0 THEN least(55, greatest(0, least(100, positive + negative))) ELSE greatest(0, least(100, positive + negative)) END AS source FROM p)"""
 
 
-@query("R2_evidence_signals", f"WITH s AS ({_SIG}) SELECT 'grounded_extraction' AS signal, count(*) AS n, 20 * count(*) AS points FROM s WHERE grounded = 1 UNION ALL SELECT 'authoritative_conflict', count(*), -35 * sum(aconf) FROM s WHERE aconf > 0 UNION ALL SELECT 'independent_source_convergence', count(*), sum(least(15, (roots-1)*5)) FROM s WHERE roots >= 2 UNION ALL SELECT 'unsupported_candidate_label', count(*), -10 * sum(labels) FROM s WHERE labels > 0")
+@query("R2_evidence_signals", f"WITH s AS ({_SIG}) SELECT signal, n, CAST(points AS BIGINT) AS points FROM (SELECT 'grounded_extraction' AS signal, count(*) AS n, 20 * count(*) AS points FROM s WHERE grounded = 1 UNION ALL SELECT 'authoritative_conflict', count(*), -35 * sum(aconf) FROM s WHERE aconf > 0 UNION ALL SELECT 'independent_source_convergence', count(*), sum(least(15, (roots-1)*5)) FROM s WHERE roots >= 2 UNION ALL SELECT 'unsupported_candidate_label', count(*), -10 * sum(labels) FROM s WHERE labels > 0)")
 def r2(spark, sf_dir):
     g = found_signals(spark, sf_dir).groupBy("signal").agg(F.count("*").alias("n"), F.sum("points").alias("points"))
     return g.where(F.col("signal").isin("grounded_extraction", "authoritative_conflict", "independent_source_convergence", "unsupported_candidate_label"))
 
 
-@query("A12_signal_sums_and_R3_source_evidence", f"{_EVID} SELECT cand, positive, negative, strong = 0 AS weak, source FROM e")
+@query("A12_signal_sums_and_R3_source_evidence", f"{_EVID} SELECT cand, CAST(positive AS INT) AS positive, CAST(negative AS INT) AS negative, strong = 0 AS weak, CAST(source AS INT) AS source FROM e")
 def r3(spark, sf_dir):
     return evidence.source_evidence(found_signals(spark, sf_dir), "cand").select("cand", "positive", "negative", "weak", "source")
 

@@ -47,7 +47,7 @@ def t6(spark, sf_dir):
     return incremental.rate_gate(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 86_400, 3, "event_id").select("event_id", "allowed")
 
 
-@query("T7_trailing_and_daily_caps", "SELECT a.event_id, (SELECT count(*) FROM events b WHERE b.user_id = a.user_id AND b.ts < a.ts AND b.ts >= a.ts - INTERVAL 12 HOUR) AS trailing, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS today FROM events a")
+@query("T7_trailing_and_daily_caps", "SELECT a.event_id, (SELECT count(*) FROM events b WHERE b.user_id = a.user_id AND b.ts < a.ts AND b.ts >= a.ts - INTERVAL 12 HOUR) AS trailing, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS today FROM events a", ints=("today",))
 def t7(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
     got = incremental.trailing_count(e, ["user_id"], "ts", 43_200, "trailing")

@@ -90,7 +90,7 @@ def a4(spark, sf_dir):
     return outcomes.counts(rows, as_of(EVENTS_AS_OF))
 
 
-@query("A10_version_distribution", f"SELECT path, bucket, count(*) AS n, count(*) FILTER (WHERE outcome = 'solved') AS solved, count(*) FILTER (WHERE outcome = 'attempted_failed') AS failed, row_number() OVER (PARTITION BY path ORDER BY count(*) DESC, bucket) AS place FROM {_EV} WHERE outcome <> 'not_used' GROUP BY 1, 2")
+@query("A10_version_distribution", f"SELECT path, bucket, count(*) AS n, count(*) FILTER (WHERE outcome = 'solved') AS solved, count(*) FILTER (WHERE outcome = 'attempted_failed') AS failed, row_number() OVER (PARTITION BY path ORDER BY count(*) DESC, bucket) AS place FROM {_EV} WHERE outcome <> 'not_used' GROUP BY 1, 2", ints=("place",))
 def a10(spark, sf_dir):
     return outcomes.version_distribution(from_events(spark, sf_dir).where("outcome <> 'not_used'"))
 

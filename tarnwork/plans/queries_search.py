@@ -116,12 +116,12 @@ f AS (SELECT *, greatest(0, least(cap, 100, lexical_points + semantic_points + m
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, version_points DESC, trust_points DESC, doc_id) AS rank FROM f WHERE final >= 35)"""
 
 
-@query("R12_ranked_search", f"{_RANK} SELECT query_id, rank, doc_id, final, lexical_points, semantic_points, metadata_points, version_points, trust_points, freshness_points, outcome_points, penalty FROM r WHERE rank <= 10")
+@query("R12_ranked_search", f"{_RANK} SELECT query_id, rank, doc_id, final, lexical_points, semantic_points, metadata_points, version_points, trust_points, freshness_points, outcome_points, penalty FROM r WHERE rank <= 10", ints=("rank",))
 def r12(spark, sf_dir):
     return ranked(spark, sf_dir).select("query_id", "rank", "doc_id", "final", "lexical_points", "semantic_points", "metadata_points", "version_points", "trust_points", "freshness_points", "outcome_points", "penalty")
 
 
-@query("O1_and_O2_scope_merge", f"{_RANK}, s AS (SELECT query_id, doc_id, max(final) AS final FROM (SELECT query_id, doc_id, final FROM r WHERE rank <= 10 UNION ALL SELECT query_id, doc_id, final - doc_id % 3 FROM r WHERE rank <= 10) GROUP BY 1, 2) SELECT query_id, doc_id, final, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, doc_id) AS rank FROM s) WHERE rank <= 5")
+@query("O1_and_O2_scope_merge", f"{_RANK}, s AS (SELECT query_id, doc_id, max(final) AS final FROM (SELECT query_id, doc_id, final FROM r WHERE rank <= 10 UNION ALL SELECT query_id, doc_id, final - doc_id % 3 FROM r WHERE rank <= 10) GROUP BY 1, 2) SELECT query_id, doc_id, final, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, doc_id) AS rank FROM s) WHERE rank <= 5", ints=("final", "rank",))
 def o2(spark, sf_dir):
     got = ranked(spark, sf_dir).select("query_id", "doc_id", "final")
     return search.merge_scopes(got.unionByName(got.withColumn("final", F.col("final") - (F.col("doc_id") % 3).cast("int"))), 5)
@@ -163,8 +163,7 @@ def x18(spark, sf_dir):
 
 @query(
     "R16_search_projection",
-    "SELECT doc_id, sha256(title || chr(10) || problem || chr(10) || ecosystem || chr(10) || text[1:60000]) AS content_hash, sha256(trust || '|' || moderation || '|' || freshness || '|' || status) AS state_hash, length(text[1:60000]) AS chars FROM (" + _DOC + ")",
-)
+    "SELECT doc_id, sha256(title || chr(10) || problem || chr(10) || ecosystem || chr(10) || text[1:60000]) AS content_hash, sha256(trust || '|' || moderation || '|' || freshness || '|' || status) AS state_hash, length(text[1:60000]) AS chars FROM (" + _DOC + ")", ints=("chars",))
 def r16(spark, sf_dir):
     d = documents(spark, sf_dir)
     body = F.concat_ws("\n", "title", "problem", "ecosystem", F.substring("text", 1, 60_000))

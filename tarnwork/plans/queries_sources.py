@@ -69,7 +69,7 @@ def s7(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(src.html_paragraphs(F.col("html"))).cast("long").alias("paragraphs"))
 
 
-@query("S10_thread_items", "SELECT CASE WHEN turn = 0 THEN 'thread:' || conv_id ELSE 'thread:' || conv_id || '#' || turn END AS identity, 'thread:' || conv_id AS root_identity, CASE WHEN turn = 0 THEN 'discussion' ELSE 'discussion_comment' END AS kind, role AS author, length(text) AS chars FROM conversations")
+@query("S10_thread_items", "SELECT CASE WHEN turn = 0 THEN 'thread:' || conv_id ELSE 'thread:' || conv_id || '#' || turn END AS identity, 'thread:' || conv_id AS root_identity, CASE WHEN turn = 0 THEN 'discussion' ELSE 'discussion_comment' END AS kind, role AS author, length(text) AS chars FROM conversations", ints=("chars",))
 def s10(spark, sf_dir):
     return src.thread_items(table(spark, sf_dir, "conversations"))
 

@@ -181,7 +181,7 @@ def x23(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.allowed(F.col("url"), ["https://therin.example.net", "https://thther.example.org"], ["/en"]).alias("ok"))
 
 
-@query("X24_word_count", "SELECT doc_id, len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')) AS words FROM documents")
+@query("X24_word_count", "SELECT doc_id, len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')) AS words FROM documents", ints=("words",))
 def x24(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.word_count(F.col("text")).alias("words"))
 
@@ -243,7 +243,7 @@ def u6(spark, sf_dir):
 _MAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
 
 
-@query("P1_controls", "SELECT doc_id, len(regexp_extract_all(t, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f\\x{200b}-\\x{200f}\\x{202a}-\\x{202e}\\x{2060}\\x{feff}]')) AS n, regexp_replace(t, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f\\x{200b}-\\x{200f}\\x{202a}-\\x{202e}\\x{2060}\\x{feff}]', '', 'g') AS cleaned FROM (SELECT doc_id, lang || chr(8203) || source || chr(7) AS t FROM documents)")
+@query("P1_controls", "SELECT doc_id, len(regexp_extract_all(t, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f\\x{200b}-\\x{200f}\\x{202a}-\\x{202e}\\x{2060}\\x{feff}]')) AS n, regexp_replace(t, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f\\x{200b}-\\x{200f}\\x{202a}-\\x{202e}\\x{2060}\\x{feff}]', '', 'g') AS cleaned FROM (SELECT doc_id, lang || chr(8203) || source || chr(7) AS t FROM documents)", ints=("n",))
 def p1(spark, sf_dir):
     raw = F.concat("lang", F.lit("​"), "source", F.lit("\x07"))
     return privacy.step(table(spark, sf_dir, "documents").select("doc_id", raw.alias("text")), "control_character").select("doc_id", F.col("found").alias("n"), F.col("text").alias("cleaned"))
@@ -261,7 +261,7 @@ def p2(spark, sf_dir):
     return out.select("doc_id", F.col("text").alias("cleaned"), F.col("total").alias("found"))
 
 
-@query("P4_emails", f"SELECT doc_id, len(regexp_extract_all(text, '\\b{_MAIL}\\b')) AS n, md5(regexp_replace(text, '\\b{_MAIL}\\b', '[REDACTED_EMAIL]', 'g')) AS cleaned FROM documents")
+@query("P4_emails", f"SELECT doc_id, len(regexp_extract_all(text, '\\b{_MAIL}\\b')) AS n, md5(regexp_replace(text, '\\b{_MAIL}\\b', '[REDACTED_EMAIL]', 'g')) AS cleaned FROM documents", ints=("n",))
 def p4(spark, sf_dir):
     out = privacy.step(table(spark, sf_dir, "documents"), "email")
     return out.select("doc_id", F.col("found").alias("n"), F.md5(F.col("text").cast("binary")).alias("cleaned"))
@@ -308,6 +308,6 @@ def p9(spark, sf_dir):
     return privacy.sanitize(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), privacy.SHORT_STEPS)
 
 
-@query("A20_finding_counts", f"SELECT 'email' AS category, sum(len(regexp_extract_all(text, '\\b{_MAIL}\\b'))) AS findings, count(*) FILTER (WHERE regexp_matches(text, '\\b{_MAIL}\\b')) AS documents FROM documents")
+@query("A20_finding_counts", f"SELECT 'email' AS category, CAST(sum(len(regexp_extract_all(text, '\\b{_MAIL}\\b'))) AS BIGINT) AS findings, count(*) FILTER (WHERE regexp_matches(text, '\\b{_MAIL}\\b')) AS documents FROM documents")
 def a20(spark, sf_dir):
     return privacy.finding_counts(table(spark, sf_dir, "documents"), ["email"])
