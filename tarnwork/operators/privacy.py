@@ -26,6 +26,8 @@ PATTERNS = {
     "credential_url": (rf"(?i){START}((?:https?|ssh|git|mongodb(?:\+srv)?)://)[^\s/@:]+:[^\s/@]+@", "$1"),
     "sensitive_query": (r"(?i)([?&](?:token|key|api_key|apikey|secret|password|signature|credential)=)[^&#\s]+", r"$1[REDACTED]"),
 }
+#: Text that every match of a step holds: rows without it skip the pattern.
+NEEDED = {"repository_url": "://", "email": "@", "unix_home": "/", "windows_home": ":\\", "credential_url": "@", "sensitive_query": "="}
 STEPS = tuple(PATTERNS)
 SHORT_STEPS = ("control_character", "secret", "email", "unix_home", "windows_home", "credential_url", "sensitive_query")
 INJECTION = (
@@ -39,9 +41,11 @@ CODE_LINE = r"^\s*(?:import |export |class |function |const |let |var |interface
 
 
 def step(df: DataFrame, name: str) -> DataFrame:
-    """Replace what the step looks for in ``text``; ``found`` (int) counts it."""
+    """Replace what the step looks for in ``text``; ``found`` (int) counts it. A null text has none."""
     pattern, put = PATTERNS[name]
-    return df.withColumns({"found": F.regexp_count("text", F.lit(pattern)), "text": F.regexp_replace("text", pattern, put)})
+    may = F.col("text").contains(NEEDED.get(name, ""))
+    found = F.when(may, F.regexp_count("text", F.lit(pattern))).otherwise(0)
+    return df.withColumns({"found": found, "text": F.when(may, F.regexp_replace("text", pattern, put)).otherwise(F.col("text"))})
 
 
 def injection_hits(c: Column) -> Column:
