@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.operators import canonical
 from tarnwork.plans.catalog import query, table
+from tarnwork.plans.shared import written
 
 _TOK = "list_filter(regexp_split_to_array({0}, '[^a-z0-9_@./<>:-]+'), lambda x: length(x) > 1)"
 _SH = "list_transform(list_distinct(CASE WHEN len({0}) >= 3 THEN list_transform(range(1, len({0}) - 1), lambda i: {0}[i] || ' ' || {0}[i+1] || ' ' || {0}[i+2]) WHEN len({0}) > 0 THEN [array_to_string({0}, ' ')] ELSE CAST([] AS VARCHAR[]) END), lambda x: sha256(x))"
@@ -18,9 +19,10 @@ _PROF = f"""(SELECT doc_id AS candidate_id, source AS ecosystem, lang AS platfor
 def found(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     eco = F.concat(F.lit("eco"), F.length("text") % 5)
-    return canonical.profiles(
+    profiles = canonical.profiles(
         d.select(F.col("doc_id").alias("candidate_id"), eco.alias("ecosystem"), F.array(F.lit("p")).alias("packages"), F.array("lang").alias("platforms"), F.substring("text", 1, 120).alias("problem"), F.substring("text", 121, 200).alias("solution"), F.lit("").alias("error"))
     )
+    return written(profiles, "profiles")
 
 
 @query("R9_similarity_profiles", f"SELECT candidate_id, fingerprint, len(ps) AS problem_shingles, len(ss) AS solution_shingles, sha256(array_to_string(list_sort(ps), ',')) AS problem_digest FROM {_PROF}", ints=("problem_shingles", "solution_shingles",))
