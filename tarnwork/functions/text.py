@@ -17,6 +17,20 @@ _W = "[A-Za-z0-9_]"
 BOUNDARY = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
 START = END = BOUNDARY
 
+#: What a query's error text hides, in order, and what codes and classes look like in queries, in stored
+#: errors and in profiles. The three kinds of codes differ on purpose.
+ERROR_TEXT_STEPS = (
+    (rf"(?i){START}(?:[a-z]:)?[\\/](?:users|home|tmp|private|var|data)[\\/][^\s:]+", "<path>"),
+    (rf":\d+(?::\d+)?{END}", ":<line>"),
+    (rf"(?i){START}[0-9a-f]{{8}}-[0-9a-f-]{{27,}}{END}", "<uuid>"),
+    (rf"(?i){START}\d{{4}}-\d{{2}}-\d{{2}}[T ][0-9:.+-]+Z?{END}", "<timestamp>"),
+)
+QUERY_CODES = (rf"(?i){START}(?:ERR_[A-Z0-9_]+|TS\d{{3,5}}|[A-Z]{{2,}}-\d{{2,}}){END}", rf"{START}E[A-Z]{{2,10}}{END}")
+STORED_CODES = rf"{START}(?:ERR_[A-Z0-9_]+|E[A-Z]{{2,10}}|TS\d{{3,5}}|[A-Z]{{2,}}-\d{{2,}}){END}"
+STORED_CLASSES = rf"{START}(?:[A-Za-z_$][\w$]*\.)*[A-Za-z_$][\w$]*(?:Error|Exception){END}"
+PROFILE_CODES = rf"{START}(?:ERR_[A-Z0-9_]+|TS\d{{3,5}}|EAS_[A-Z0-9_]+|[A-Z][A-Z0-9_]{{2,}}_ERROR|E[A-Z]{{2,}}\d*){END}"
+PROFILE_CLASSES = rf"{START}(?:(?:[A-Za-z_$][\w$]*)\.)*[A-Z][A-Za-z0-9_$]*(?:Error|Exception){END}"
+
 
 @F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
@@ -71,10 +85,8 @@ def token_estimate(c: Column) -> Column:
 def error_text(c: Column) -> Column:
     """A query's error text: transient paths, lines, ids and times become placeholders; lower case."""
     out = collapse(c)
-    out = F.regexp_replace(out, rf"(?i){START}(?:[a-z]:)?[\\/](?:users|home|tmp|private|var|data)[\\/][^\s:]+", "<path>")
-    out = F.regexp_replace(out, rf":\d+(?::\d+)?{END}", ":<line>")
-    out = F.regexp_replace(out, rf"(?i){START}[0-9a-f]{{8}}-[0-9a-f-]{{27,}}{END}", "<uuid>")
-    out = F.regexp_replace(out, rf"(?i){START}\d{{4}}-\d{{2}}-\d{{2}}[T ][0-9:.+-]+Z?{END}", "<timestamp>")
+    for pattern, put in ERROR_TEXT_STEPS:
+        out = F.regexp_replace(out, pattern, put)
     return F.lower(out)
 
 
@@ -84,29 +96,28 @@ def _all(c: Column, pattern: str) -> Column:
 
 def query_error_codes(c: Column) -> Column:
     """Codes named in a query, lower case, in order of appearance by pattern."""
-    loose = _all(c, rf"(?i){START}(?:ERR_[A-Z0-9_]+|TS\d{{3,5}}|[A-Z]{{2,}}-\d{{2,}}){END}")
-    strict = _all(c, rf"{START}E[A-Z]{{2,10}}{END}")
+    loose, strict = (_all(c, p) for p in QUERY_CODES)
     return F.array_distinct(F.transform(F.concat(loose, strict), lambda x: F.lower(x)))
 
 
 def projection_error_codes(c: Column) -> Column:
     """Codes in stored errors: matched in their own case, distinct and sorted, then lower-cased."""
-    found = _all(c, rf"{START}(?:ERR_[A-Z0-9_]+|E[A-Z]{{2,10}}|TS\d{{3,5}}|[A-Z]{{2,}}-\d{{2,}}){END}")
+    found = _all(c, STORED_CODES)
     return F.transform(F.array_sort(F.array_distinct(found)), lambda x: F.lower(x))
 
 
 def projection_exception_classes(c: Column) -> Column:
-    found = _all(c, rf"{START}(?:[A-Za-z_$][\w$]*\.)*[A-Za-z_$][\w$]*(?:Error|Exception){END}")
+    found = _all(c, STORED_CLASSES)
     return F.transform(F.array_sort(F.array_distinct(found)), lambda x: F.lower(x))
 
 
 def profile_error_codes(c: Column) -> Column:
-    found = _all(c, rf"{START}(?:ERR_[A-Z0-9_]+|TS\d{{3,5}}|EAS_[A-Z0-9_]+|[A-Z][A-Z0-9_]{{2,}}_ERROR|E[A-Z]{{2,}}\d*){END}")
+    found = _all(c, PROFILE_CODES)
     return F.array_sort(F.transform(F.array_distinct(found), lambda x: F.upper(x)))
 
 
 def profile_exception_classes(c: Column) -> Column:
-    return F.array_sort(F.array_distinct(_all(c, rf"{START}(?:(?:[A-Za-z_$][\w$]*)\.)*[A-Z][A-Za-z0-9_$]*(?:Error|Exception){END}")))
+    return F.array_sort(F.array_distinct(_all(c, PROFILE_CLASSES)))
 
 
 #: What is transient in technical text, what replaces it, and the reason recorded, in order.
