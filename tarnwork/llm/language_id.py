@@ -154,27 +154,40 @@ def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def _judged(model: Model | None, texts: list[str]) -> tuple[list[str], list[float]]:
+    """Language and posterior of each text."""
+    lettered = np.array([any(map(str.isalpha, t)) for t in texts], bool)
+    names, scores = [UNDECIDED] * len(texts), [0.0] * len(texts)
+    if model is not None and lettered.any():
+        weight = model.prior - code_lengths(model, [t.lower().encode() if ok else b"" for t, ok in zip(texts, lettered)])
+        best = weight.argmax(1)
+        posterior = 1 / np.exp2(weight - weight.max(1, keepdims=True)).sum(1)
+        for i in np.flatnonzero(lettered).tolist():
+            names[i], scores[i] = model.languages[best[i]], float(posterior[i])
+    return names, scores
+
+
 def _predictions(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """An Arrow function from texts to struct<lang_pred, score>; only the texts go to Python, and a few at a time on."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
-        at = None
-        for b in batches:
-            at = b.schema.get_field_index("__text") if at is None else at
-            texts = [t or "" for t in b.column(at).to_pylist()]
-            lettered = np.array([any(map(str.isalpha, t)) for t in texts], bool)
-            names, scores = [UNDECIDED] * len(texts), np.zeros(len(texts))
-            if model is not None and lettered.any():
-                costs = code_lengths(model, [t.lower().encode() if ok else b"" for t, ok in zip(texts, lettered)])
-                weight = model.prior - costs
-                best = weight.argmax(1)
-                posterior = 1 / np.exp2(weight - weight.max(1, keepdims=True)).sum(1)
-                for i in np.flatnonzero(lettered):
-                    names[i], scores[i] = model.languages[best[i]], posterior[i]
-            kept = [c for i, c in enumerate(b.columns) if i != at]
-            fields = [f for i, f in enumerate(b.schema) if i != at]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores)], [*(f.name for f in fields), "lang_pred", "score"])
-
-    return run
+        for texts in batches:
+            names, scores = [], []
+            held: list[str] = []
+            size = 0
+            for i, value in enumerate(texts, 1):
+                held.append(value.as_py() or "")
+                size += len(held[-1])
+                if i == len(texts) or size > _PIECE:
+                    found = _judged(model, held)
+                    names += found[0]
+                    scores += found[1]
+                    held, size = [], 0
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+
+    # it has one result for a text, but must not be run again for a filter on that
+    return F.arrow_udf(run, "lang_pred string, score double").asNondeterministic()
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
@@ -184,9 +197,8 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: symbols, contexts and languages
     keep = [c for c in keep if c not in ("lang_pred", "score")]
-    rows = docs.select(*keep, F.col("text").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "lang_pred string, score double"])
-    return rows.mapInArrow(_predictions(shared), schema)
+    rows = docs.select(*keep, _predictions(shared)(F.col("text")).alias("__found"))
+    return rows.select(*keep, "__found.lang_pred", "__found.score")
 
 
 def identified(docs: DataFrame) -> DataFrame:
