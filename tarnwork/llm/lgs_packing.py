@@ -12,7 +12,7 @@ The plan is made on that histogram:
 
 A plan is a table of runs: so many documents of one length, in order, go to consecutive sequences at one offset.
 Its size depends on the capacity and the number of groups, not on the corpus. Documents find their run by their rank
-among those of equal length, which is counted in buckets.
+among those of equal length, which is counted in salts.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ GROUPS = 512
 #: Lengths up to capacity / SMALL_PART are placed by best fit.
 SMALL_PART = 4
 END_ID = 0
-RANK_BUCKETS = 64
+#: Rows of one length that are ranked in one task, about.
+RANK_ROWS = 50_000
 
 
 def _best_fill(room: int, sizes: list[int], left: list[int]) -> list[int]:
@@ -172,11 +173,12 @@ def document_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> Dat
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(path, capacity), schema)
 
 
-def _placed(runs: np.ndarray, names: list[str]):
+def _placed(shared, names: list[str]):
     """Look each row's run up by (length, rank)."""
-    code = (runs[:, 0] << 44) | runs[:, 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = shared.value
+        code = (runs[:, 0] << 44) | runs[:, 1]
         for b in batches:
             length, rank = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "__rank"))
             at = np.searchsorted(code, (length << 44) | rank, "right") - 1
@@ -187,37 +189,48 @@ def _placed(runs: np.ndarray, names: list[str]):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
-    """Add sequence_id and offset (long) to rows that have doc_id, piece and length (long, 1 to ``capacity``).
+def _ranked(pieces: DataFrame, histogram: dict[int, int], rank_rows: int) -> DataFrame:
+    """Add __rank (long, gapless from 0 among rows of equal length).
 
-    Sequences hold at most ``capacity``; offsets in a sequence are gapless from 0. Equal lengths are ranked by
-    doc_id and piece, nulls first; repeated rows take places of their own. No rows give no rows. Rows are read several
-    times, so ``pieces`` should be a written table.
+    A length of many rows is dealt into salts of about ``rank_rows``; a salt's first rank comes from the counts of the
+    salts before it, which meet the rows in a join on (length, salt), by which the rows are dealt already.
     """
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_BUCKETS)).cast("int"))
-    counts = [(r["length"], r["__salt"], r["count"]) for r in salted.groupBy("length", "__salt").count().collect()]  # capacity x buckets at most
-    if any(n < 1 or n > capacity for n, _, _ in counts):
-        raise ValueError(f"lengths must be from 1 to {capacity}")
-    histogram: dict[int, int] = {}
-    before = {}
-    for length, salt, n in sorted(counts):
-        before[length, salt] = histogram.get(length, 0)
-        histogram[length] = before[length, salt] + n
-    runs = np.array(sorted(plan_packing(histogram, capacity, groups)) or [(0, 0, 0, 0, 0)], np.int64)
-    spark = pieces.sparkSession
-    starts = spark.createDataFrame([(n, s, k) for (n, s), k in before.items()] or [(0, 0, 0)], "length long, __salt int, __before long")
+    salts = [-(-histogram.get(n, 0) // rank_rows) or 1 for n in range(1, max(histogram) + 1)]  # a number for each length
+    many = F.element_at(F.array(*map(F.lit, salts)), F.col("length").cast("int"))
+    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), many).cast("int"))
+    counts = salted.groupBy("length", "__salt").count()
+    earlier = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("length", "__salt", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("__before"))
     within = F.row_number().over(Window.partitionBy("length", "__salt").orderBy("doc_id", "piece"))
-    ranked = salted.withColumn("__in", within).join(F.broadcast(starts), ["length", "__salt"])
-    ranked = ranked.withColumn("__rank", (F.col("__before") + F.col("__in") - 1).cast("long"))
+    ranked = salted.withColumn("__in", within).join(starts, ["length", "__salt"])
+    return ranked.withColumn("__rank", (F.col("__before") + F.col("__in") - 1).cast("long"))
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, rank_rows: int = RANK_ROWS) -> DataFrame:
+    """Add sequence_id and offset (long) to rows that have doc_id, piece and length (long, 1 to ``capacity``).
+
+    Sequences hold at most ``capacity``; offsets in a sequence are gapless from 0. Rows of equal length are ranked in
+    salts and there by doc_id and piece, nulls first; repeated rows take places of their own. No rows give no rows.
+    Rows are read several times, so ``pieces`` should be a written table.
+    """
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields if f.name in names), "sequence_id long, offset long"])
-    return ranked.select(*names, "__rank").mapInArrow(_placed(runs, names), schema)
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().limit(capacity + 1).collect()}  # a row for each length
+    if any(n is None or n < 1 or n > capacity for n in histogram):
+        raise ValueError(f"lengths must be from 1 to {capacity}")
+    if not histogram:
+        return pieces.sparkSession.createDataFrame([], schema)
+    runs = np.array(sorted(plan_packing(histogram, capacity, groups)), np.int64)
+    shared = pieces.sparkSession.sparkContext.broadcast(runs)  # its size depends on the capacity and the groups
+    ranked = _ranked(pieces, histogram, rank_rows)
+    return ranked.select(*names, "__rank").mapInArrow(_placed(shared, names), schema)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
     """Pack documents (doc_id, text) into sequences of at most ``capacity`` tokens.
 
-    A document is its text's ids and then id 0; a null or empty text is id 0 alone. Longer documents are cut into
+    A document is its text's ids and then id 0; a null or empty text is id 0 alone. The string of a special token in a
+    text is that token's id. Longer documents are cut into
     pieces of ``capacity``, of which the first may be shorter. Other columns are ignored.
     """
     return pack(written(document_pieces(docs, path or vocabulary_path(), capacity), "pieces"), capacity, groups)
