@@ -27,7 +27,7 @@ GROUP_BLOCKS = 256
 
 def _blocks(path: str, block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, special=False)
         held: list[np.ndarray] = []
         size, block, file_id = 0, 0, None
         ended: list[int | None] = []
@@ -66,7 +66,8 @@ def token_files(docs: DataFrame, path: str | None = None, block_tokens: int = BL
     """Write documents (doc_id, text) as token files, one for each partition: file_id, block, tokens, doc_ids.
 
     doc_ids names the documents that end in a block, to tell afterwards which document is which; the scan does not
-    read it. A null text has no tokens but its separator.
+    read it. A null text has no tokens but its separator. The separator's own string in a text is ordinary text here,
+    several ids, so the separator's id stands in a file where a document ends and nowhere else.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.spark_partition_id().alias("file_id"))
     blocks = rows.mapInArrow(_blocks(path or vocabulary_path(), block_tokens), "file_id int, block long, tokens binary, doc_ids array<long>")
@@ -87,11 +88,12 @@ def _ends(end_id: int):
 
 
 def scan_token_files(files: DataFrame, end_id: int = END_OF_TEXT) -> DataFrame:
-    """Documents in token files (file_id, block, tokens): file_id, ordinal, start, n_tokens, closed.
+    """Documents in token files (file_id, block, tokens): file_id, ordinal, start, n_tokens, closed, block, place.
 
     ordinal (long) counts documents of a file from 0; start is the place of its first token in the file; n_tokens
-    leaves the separator out. A file that does not end in a separator gives a last document with closed = false.
-    Blocks are ordered by number, which need not be gapless; they may have any lengths and be empty or null.
+    leaves the separator out. block and place (from 0) say at which separator of which block it ends. A file that does
+    not end in a separator gives a last document with closed = false and neither. Every id equal to ``end_id`` ends a
+    document. Blocks are ordered by number, which need not be gapless; they may have any lengths and be empty or null.
     """
     at_block = Window.partitionBy("file_id", "group").orderBy("block")
     before = at_block.rowsBetween(Window.unboundedPreceding, -1)
@@ -117,20 +119,17 @@ def scan_token_files(files: DataFrame, end_id: int = END_OF_TEXT) -> DataFrame:
     stitched = inner.join(groups.select("file_id", "group", "n_to", "docs_to", "end_to"), ["file_id", "group"])
     first = F.coalesce(F.col("n_to") + F.col("last_in"), F.col("end_to")) + 1
     places = F.transform("ends", lambda e: F.col("n_to") + F.col("n_in") + e)
-    stitched = stitched.select("file_id", (F.col("docs_to") + F.col("docs_in")).alias("base"), first.alias("first"), places.alias("places"))
-    found = stitched.select("file_id", "base", "first", "places", F.posexplode("places").alias("i", "end"))
+    stitched = stitched.select("file_id", "block", (F.col("docs_to") + F.col("docs_in")).alias("base"), first.alias("first"), places.alias("places"))
+    found = stitched.select("file_id", "block", "base", "first", "places", F.posexplode("places").alias("i", "end"))
     start = F.when(F.col("i") == 0, F.col("first")).otherwise(F.get("places", F.col("i") - 1) + 1)
-    closed = found.select("file_id", (F.col("base") + F.col("i")).alias("ordinal"), start.alias("start"), (F.col("end") - start).alias("n_tokens"), F.lit(True).alias("closed"))
+    closed = found.select("file_id", (F.col("base") + F.col("i")).alias("ordinal"), start.alias("start"), (F.col("end") - start).alias("n_tokens"), F.lit(True).alias("closed"), "block", F.col("i").alias("place"))
     totals = groups.groupBy("file_id").agg(F.sum("g_n").alias("n"), F.sum("g_docs").alias("ordinal"), F.coalesce(F.max("g_end"), zero - 1).alias("end"))
-    tails = totals.where("n - 1 > end").select("file_id", "ordinal", (F.col("end") + 1).alias("start"), (F.col("n") - 1 - F.col("end")).alias("n_tokens"), F.lit(False).alias("closed"))
+    tails = totals.where("n - 1 > end").select("file_id", "ordinal", (F.col("end") + 1).alias("start"), (F.col("n") - 1 - F.col("end")).alias("n_tokens"), F.lit(False).alias("closed"), F.lit(None).cast("long").alias("block"), F.lit(None).cast("int").alias("place"))
     return closed.unionByName(tails)
 
 
 def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, from token files: doc_id, n_tokens, file_id, ordinal, start."""
     files = token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    named = files.select("file_id", "block", F.posexplode("doc_ids").alias("i", "doc_id"))
-    earlier = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = files.select("file_id", "block", F.size("doc_ids").alias("k")).select("file_id", "block", F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("base"))
-    named = named.join(counts, ["file_id", "block"]).select("file_id", (F.col("base") + F.col("i")).alias("ordinal"), "doc_id")
-    return scan_token_files(files).join(named, ["file_id", "ordinal"]).select("doc_id", "n_tokens", "file_id", "ordinal", "start")
+    named = files.select("file_id", "block", F.posexplode("doc_ids").alias("place", "doc_id"))
+    return scan_token_files(files).join(named, ["file_id", "block", "place"]).select("doc_id", "n_tokens", "file_id", "ordinal", "start")

@@ -39,9 +39,9 @@ def test_scan_against_brute_force(spark):
 
 
 def test_documents(spark, tmp_path):
-    encode = encoder(vocabulary_path())
+    encode = encoder(vocabulary_path(), special=False)
     texts = ["a b c", None, "", "long text " * 500, "a b c", "<|endoftext|> inside"] * 3
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(2)
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, block int, tokens string").coalesce(2)
     files = token_files(docs, block_tokens=64)
     assert all(len(r["tokens"]) <= 128 for r in files.collect())
     got = sorted(r["n_tokens"] for r in scan_token_files(files).collect())
@@ -49,3 +49,11 @@ def test_documents(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     rows = op10_separator_scan(spark, str(tmp_path)).collect()
     assert {r["doc_id"]: r["n_tokens"] for r in rows} == {i: len(encode(t or "")) for i, t in enumerate(texts)}
+
+
+def test_repeated_ids_and_very_long_texts(spark, tmp_path):
+    encode = encoder(vocabulary_path(), special=False)
+    rows = [(7, "a b"), (7, "a b"), (None, "c"), (8, "word " * 150_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r["doc_id"] or 0, r["n_tokens"]) for r in op10_separator_scan(spark, str(tmp_path)).collect())
+    assert got == sorted((i or 0, len(encode(t))) for i, t in rows)
