@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwork.llm.hot_join import join_facts
 from tarnwork.plans.components import connected_components
 from tarnwork.plans.shared import written
 
@@ -29,6 +30,8 @@ MAX_BITS = 4
 SHINGLE_WORDS = 4
 #: Rows that share one key beyond this many go the way of ``midpoint_links``.
 BUCKET_ROWS = 4096
+#: Fingerprints whose keys (about 170 each) are emitted in one task, at most about.
+EMIT_ROWS = 10_000
 
 _POLY = 0xAE3  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, which generates the code
 _WIDTHS = (22, 21, 21)
@@ -36,6 +39,12 @@ _BIT = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _BYTE_AT = np.arange(8, dtype=np.int64) * 256
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit number whose bits are set where over half of the hashes have them set."""
+    seen = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _BYTE_AT).ravel(), minlength=2048).reshape(8, 256) @ _BIT
+    return int(np.packbits((2 * seen > len(hashes)).ravel(), bitorder="little").view("<u8")[0])
+
+
 def simhash64(text: str | None, words: int = SHINGLE_WORDS) -> int:
     """Fingerprint of lower-cased (A-Z) text: bit i is set if it is set in over half of its shingles' XXH64 (seed 42).
 
@@ -53,9 +62,7 @@ def simhash64(text: str | None, words: int = SHINGLE_WORDS) -> int:
     joined = b" ".join(parts)
     ends = list(itertools.accumulate(len(p) + 1 for p in parts))
     starts = [0, *ends[: len(parts) - words]]
-    hashes = np.array([digest(joined[a : b - 1], 42) for a, b in zip(starts, ends[words - 1 :])], np.uint64)
-    seen = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _BYTE_AT).ravel(), minlength=2048).reshape(8, 256) @ _BIT
-    return int(np.packbits((2 * seen > len(hashes)).ravel(), bitorder="little").view("<u8")[0])
+    return majority(np.array([digest(joined[a : b - 1], 42) for a, b in zip(starts, ends[words - 1 :])], np.uint64))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +256,9 @@ def midpoint_links(fps: DataFrame) -> DataFrame:
 
 def near_links(fps: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Links (a, b) among the distinct fingerprints of column ``fp`` that connect all within 4 bits of each other."""
-    keyed = fps.select("fp").mapInArrow(_emit_keys, "key long, fp long").repartition("key").sortWithinPartitions("key")
+    tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-fps.count() // EMIT_ROWS))
+    spread = fps.select("fp").repartition(tasks, "fp")
+    keyed = spread.mapInArrow(_emit_keys, "key long, fp long").repartition("key").sortWithinPartitions("key")
     found = written(keyed.mapInArrow(_link_buckets(bucket_rows), "a long, b long"), "links")
     links, crowded = found.where("b is not null"), found.where("b is null").select(F.col("a").alias("fp")).distinct()
     return links if crowded.isEmpty() else links.unionByName(midpoint_links(crowded))
@@ -264,24 +273,13 @@ def simhash_components(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataF
     Other columns are ignored; no rows give no rows.
     """
     prints = written(docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_fingerprints, "doc_id long, fp long"), "simhash")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "fingerprints")
     groups = connected_components(near_links(distinct, bucket_rows), "a", "b")
     joined = groups.withColumnRenamed("node", "fp").join(distinct, "fp")
     least = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
     linked = groups.join(least, "component").select(F.col("node").alias("fp"), "component_id")
-    alone = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return prints.join(alone, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one with the smallest id. Columns stay.
-
-    Rows with a null id all stay, since nothing tells which of them is meant; of repeated rows with one id, one
-    stays.
-    """
-    first = simhash_components(docs, bucket_rows).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"), "n")
+    return join_facts(prints, written(named, "named"), "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def op5_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,10 +93,14 @@ def test_documents(spark):
     got = {r["doc_id"]: (r["component_id"], r["fp"]) for r in sg.simhash_components(docs).collect()}
     assert {i: c for i, (c, _) in got.items()} == want
     assert all(fp == signed(fingerprint(t)) for t, (_, fp) in zip(texts, (got[i] for i in ids)))
-    kept = sg.keep_one(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
     assert sg.simhash_components(docs.limit(0)).count() == 0
     nulls = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "a b"), (3, "a b")], "doc_id long, text string")
     assert [r["component_id"] for r in sg.simhash_components(nulls).collect()] == [3] * 4
-    assert sorted(r["doc_id"] or -1 for r in sg.keep_one(nulls).collect()) == [-1, -1, 3]
+
+
+def test_very_long_text_and_hot_fingerprint(spark):
+    rows = [(i, "copy of one") for i in range(3000)] + [(i, None) for i in range(3000, 4000)] + [(4000, "long words here and there " * 100_000), (4001, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: r["component_id"] for r in sg.simhash_components(docs).collect()}
+    assert len(got) == len(rows) and {got[i] for i in range(3000)} == {0} and {got[i] for i in range(3000, 4000)} == {3000}
+    assert got[4000] == 4000 and got[4001] == 4001
