@@ -1,18 +1,22 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on other long tokens.
 
 Base kinds are found by pattern. Every other run of token characters is put through a battery: its encoding is
-inferred from the characters it uses (hex, base32, base62 or base64), its characters become values, and three
-statistics measure how far the values are from uniform random ones: chi-squared over eight equal classes of values,
-the number of runs above and below the middle, and the serial correlation of neighbours. Each is brought to a
-standard scale, and their sum of squares is the token's distance from randomness.
-
-A token is taken for a secret if natural text of that length is hardly ever as near to randomness. Natural text is
-what the corpus has of tokens made of letters in one case: among those of the token's length class or shorter, the
-share with a distance no larger is the token's p-value. Benjamini and Hochberg's rule over all other tokens of the
-corpus then holds the share of false discoveries under ``RATE``.
-
-The scan is SQL functions only. What it gathers from the corpus is a histogram of (length class, distance) of fixed
-size.
+inferred from the characters it uses (hexadecimal, base32, letters of one case, base62, base64 or base64url, or all
+token characters), its characters become values, and three tests hold them against uniform random ones, each by its
+own null distribution at that length and alphabet size:
+
+* chi-squared over all characters of the alphabet (Wilson and Hilferty's cube root, alphabet size - 1 degrees);
+* runs above and below the middle, given how many values are above (Wald and Wolfowitz), after a test of that number;
+* lag-1 serial correlation about the token's mean.
+
+A token that fails one of them, at one in a thousand, is not random. One that passes all may still be a short word
+that happens to look random, so its p-value is the probability that natural text would have a chi-squared as low:
+characters of natural tokens agree with odds of ``AGREE`` at least, which makes the statistic noncentral chi-squared
+with a noncentrality that grows with the length. Benjamini and Hochberg's rule over all tokens of the corpus, those
+that fail the battery included, then holds the share of false discoveries under ``RATE``. Neither needs a corpus of
+any size: short tokens need company to be reported, long ones do not.
+
+The scan is SQL functions only. What it gathers from the corpus is a histogram of p-values of fixed size.
 """
 
 from __future__ import annotations
@@ -30,21 +34,25 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "random")
 
-#: Runs from 16 characters on tell what natural text looks like; those from 20 on can be secrets.
-TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
-TOKEN_LEAST = 20
-NATURAL = r"^[-_=/+]*([A-Z]?[a-z]+|[A-Z]+)[-_=/+]*$"
+#: Runs of token characters from this length on are tested.
+TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABETS = {  # by inferred encoding, in the order they are tried
     "^[0-9a-f]+$": "0123456789abcdef",
     "^[0-9A-F]+$": "0123456789ABCDEF",
+    "^[a-z]+$": "abcdefghijklmnopqrstuvwxyz",
+    "^[A-Z]+$": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "^[A-Z2-7]+$": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "^[A-Za-z0-9]+$": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
-    "^[A-Za-z0-9+/=]+$": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
-    "": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+    "^[A-Za-z0-9+/]+$": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "^[A-Za-z0-9_-]+$": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+    "": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-",
 }
-CLASSES = 8
-LENGTH_CLASSES = (16, 20, 24, 32, 48, 80)
-STEP, STEPS = 0.25, 240
+#: Least odds that two characters of a natural token agree; about 0.065 in words of one case, less where cases mix.
+AGREE = 0.05
+#: Standard normal bound of each test's tail: one in a thousand on one side, or on both sides together.
+ONE_SIDE, TWO_SIDES = 3.09, 3.29
+#: p-values are kept as whole tenths of -log10, rounded down, up to this many.
+SCORES = 3000
 RATE = 0.01
 
 
@@ -77,47 +85,81 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def distance(token: Column) -> Column:
-    """How far a token is from uniform random ones; near 3 or less for those."""
+def _bits(token: Column) -> Column:
+    """struct of what the tests need: n (length), a (alphabet size), squares (sum of squared counts), v (values)."""
     bare = F.regexp_replace(token, "=+$", "")
     alphabet = F.coalesce(*[F.when(bare.rlike(p), F.lit(a)) for p, a in ALPHABETS.items() if p], F.lit(ALPHABETS[""]))
 
-    def measure(both: Column) -> Column:
-        size = F.length(both["a"])
-        # characters outside the alphabet count as its last one
-        values = F.transform(F.split(both["t"], ""), lambda c: F.pmod(F.instr(both["a"], c) - 1 + size, size))
-        return _let(values, lambda v: _let(F.struct(v.alias("v"), size.cast("double").alias("a"), F.size(v).cast("double").alias("n")), combine))
-
-    def combine(x: Column) -> Column:
-        v, a, n = x["v"], x["a"], F.greatest(x["n"], F.lit(2.0))
-        classes = F.transform(v, lambda i: F.floor(i * float(CLASSES) / a))
-        squares = F.aggregate(
-            F.sequence(F.lit(0), F.lit(CLASSES - 1)),
-            F.lit(0.0),
-            lambda s, k: s + F.pow(F.size(F.filter(classes, lambda c: c == k)).cast("double") - n / CLASSES, F.lit(2.0)),
+    def measure(x: Column) -> Column:
+        n = F.length(x["t"]).cast("double")
+        counts = F.transform(F.split(x["a"], ""), lambda c: n - F.length(F.replace(x["t"], c)))
+        return F.struct(
+            n.alias("n"),
+            F.length(x["a"]).cast("double").alias("a"),
+            F.aggregate(counts, F.lit(0.0), lambda s, k: s + k * k).alias("squares"),
+            F.transform(F.split(x["t"], ""), lambda c: (F.instr(x["a"], c) - 1).cast("double")).alias("v"),
         )
-        df = CLASSES - 1
-        chi = F.pow(squares * CLASSES / n / df, F.lit(1 / 3))  # the cube root is near normal
-        z_chi = F.greatest(F.lit(0.0), (chi - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
-        pairs = F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda p, q: F.struct(p.cast("double").alias("p"), q.cast("double").alias("q")))
-        middle = a / 2
-        high = F.size(F.filter(v, lambda i: i >= middle)).cast("double")
-        runs = 1.0 + F.size(F.filter(pairs, lambda p: (p["p"] >= middle) != (p["q"] >= middle))).cast("double")
-        mean = 2 * high * (n - high) / n + 1
-        var = F.greatest((mean - 1) * (mean - 2) / F.greatest(n - 1, F.lit(1.0)), F.lit(0.25))
-        z_runs = (runs - mean) / F.sqrt(var)
-        centre, spread = (a - 1) / 2, (a * a - 1) / 12
-        serial = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["p"] - centre) * (p["q"] - centre)) / spread
-        z_serial = serial / F.sqrt(n - 1)
-        # all high or all low is no run at all, and far from random
-        lopsided = F.pow((high * 2 - n) / F.sqrt(n), F.lit(2.0))
-        return z_chi * z_chi + z_runs * z_runs + z_serial * z_serial + F.greatest(lopsided - 4, F.lit(0.0))
 
     return _let(F.struct(alphabet.alias("a"), bare.alias("t")), measure)
 
 
+def chi_squared(x: Column) -> Column:
+    """Pearson's statistic of a token against a uniform alphabet."""
+    return x["a"] * x["squares"] / x["n"] - x["n"]
+
+
+def tests(x: Column) -> Column:
+    """struct of standard normal scores of ``_bits`` under uniform random characters: chi, high, runs, serial."""
+    n, v, df = x["n"], x["v"], x["a"] - 1
+    chi = (F.pow(chi_squared(x) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+    middle = x["a"] / 2
+    pairs = F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    high = F.size(F.filter(v, lambda i: i >= middle)).cast("double")
+    runs = 1.0 + F.size(F.filter(pairs, lambda p: (p["p"] >= middle) != (p["q"] >= middle)))
+    mean_runs = 2 * high * (n - high) / n + 1
+    var_runs = F.greatest((mean_runs - 1) * (mean_runs - 2) / (n - 1), F.lit(0.25))
+    # sums first: a mean inside a lambda would be taken anew for every value
+    total = F.aggregate(v, F.lit(0.0), lambda s, i: s + i)
+    centre = total / n
+    spread = F.aggregate(v, F.lit(0.0), lambda s, i: s + i * i) - total * centre
+    products = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["p"] * p["q"])
+    lagged = products - centre * (2 * total - F.element_at(v, 1) - F.element_at(v, -1)) + (n - 1) * centre * centre
+    serial = F.when(spread > 1e-9, lagged / spread).otherwise(F.lit(1.0))
+    return F.struct(
+        chi.alias("chi"),
+        ((2 * high - n) / F.sqrt(n)).alias("high"),
+        ((runs - mean_runs) / F.sqrt(var_runs)).alias("runs"),
+        ((serial + 1 / n) * n * F.sqrt(n - 1) / (n - 2)).alias("serial"),
+    )
+
+
+def natural_score(x: Column) -> Column:
+    """-10 log10 of the probability that natural text of that length and alphabet has a chi-squared as low, 0 or more."""
+    df = x["a"] - 1
+    shift = F.greatest((x["n"] - 1) * (x["a"] * AGREE - 1), F.lit(0.0))
+    whole = df + shift
+    spread = 2 * (df + 2 * shift) / (9 * whole * whole)
+    below = ((1 - spread) - F.pow(chi_squared(x) / whole, F.lit(1 / 3))) / F.sqrt(spread)
+    # an upper bound of the normal tail, close at all values above 0
+    tail = -below * below / 2 + F.log(2 / (F.sqrt(F.lit(6.283185307179586)) * (below + F.sqrt(below * below + 2.5464790894703255))))
+    return F.when(below > 0, -10 * tail / 2.302585092994046).otherwise(F.lit(0.0))
+
+
+def score(token: Column) -> Column:
+    """Whole tenths of -log10 of the token's p-value; 0 if it fails the battery."""
+
+    def judge(x: Column) -> Column:
+        def passed(z: Column) -> Column:
+            ok = (z["chi"] <= ONE_SIDE) & (F.abs(z["high"]) <= TWO_SIDES) & (F.abs(z["runs"]) <= TWO_SIDES) & (F.abs(z["serial"]) <= TWO_SIDES)
+            return F.when(ok, F.least(F.floor(natural_score(x)), F.lit(SCORES)).cast("int")).otherwise(F.lit(0))
+
+        return F.when(x["n"] > 2, _let(tests(x), passed)).otherwise(F.lit(0))  # nothing but padding has no score
+
+    return _let(_bits(token), judge)
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """``docs`` with __base (array of spans) and __tokens (array of struct<start, end, natural, length_class, step>).
+    """``docs`` with __base (array of spans) and __tokens (array of struct<start, end, score>).
 
     Tokens that overlap a base span are left out. Null texts are empty.
     """
@@ -131,47 +173,27 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def token(s: Column) -> Column:
         word = F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
-        size = s["end"] - s["start"]
-        return F.struct(
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            word.rlike(NATURAL).alias("natural"),
-            sum((size >= n).cast("int") for n in LENGTH_CLASSES[1:]).alias("length_class"),
-            F.least(F.floor(distance(word) / STEP), F.lit(STEPS - 1)).cast("int").alias("step"),
-        )
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), score(word).alias("score"))
 
     free = F.filter("__long", lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     return found.withColumn("__tokens", F.transform(free, token)).drop("__long")
 
 
-def discovered(counts: list[tuple[bool, int, int, int]], rate: float = RATE) -> list[tuple[int, int]]:
-    """(length class, step) of the tokens to report, from (natural, length class, step, count)."""
-    natural = [[0] * STEPS for _ in LENGTH_CLASSES]
-    others: dict[tuple[int, int], int] = {}
-    for is_natural, size, step, n in counts:
-        if is_natural:
-            natural[size][step] += n
-        elif LENGTH_CLASSES[size] >= TOKEN_LEAST:
-            others[size, step] = others.get((size, step), 0) + n
-    p = {}
-    for size, step in others:
-        # shorter natural tokens come nearer to randomness, so counting them too errs on the safe side
-        known = natural[: size + 1]
-        p[size, step] = (1 + sum(sum(c[: step + 1]) for c in known)) / (1 + sum(map(sum, known)))
-    total, below, cut = sum(others.values()), 0, -1.0
-    for value in sorted(set(p.values())):
-        below += sum(n for cell, n in others.items() if p[cell] == value)
-        if value <= rate * below / total:
-            cut = value
-    return sorted(cell for cell, value in p.items() if value <= cut)
-
-
-def _all_spans(tokens: DataFrame, rate: float) -> Column:
-    """Base spans and discovered tokens of a scanned row, where ``tokens`` has the __tokens of the whole corpus."""
-    counts = tokens.select(F.explode("__tokens").alias("t")).groupBy("t.natural", "t.length_class", "t.step").count()
-    cells = discovered([tuple(r) for r in counts.collect()], rate)  # of fixed size
-    chosen = F.array(*[F.lit(size * STEPS + step) for size, step in cells]).cast("array<int>")
-    kept = F.filter("__tokens", lambda t: ~t["natural"] & F.array_contains(chosen, t["length_class"] * STEPS + t["step"]))
+def least_score(counts: dict[int, int], rate: float = RATE) -> int:
+    """The score from which tokens are reported, from the number of tokens of each score (Benjamini and Hochberg)."""
+    total, above, least = sum(counts.values()), 0, SCORES + 1
+    for value in sorted(counts, reverse=True):
+        above += counts[value]
+        if value and 10.0 ** (-value / 10) * total <= rate * above:
+            least = value
+    return least
+
+
+def _all_spans(scanned: DataFrame, rate: float) -> Column:
+    """Base spans and reported tokens of a scanned row, where ``scanned`` has the __tokens of the whole corpus."""
+    counts = scanned.select(F.explode("__tokens.score").alias("score")).groupBy("score").count()
+    least = least_score({r["score"]: r["count"] for r in counts.collect()}, rate)  # SCORES + 1 rows at most
+    kept = F.filter("__tokens", lambda t: t["score"] >= least)
     more = F.transform(kept, lambda t: F.struct(t["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), t["end"].alias("end")))
     return F.sort_array(F.concat("__base", more))
 
@@ -179,7 +201,7 @@ def _all_spans(tokens: DataFrame, rate: float) -> Column:
 def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, base and spans: arrays of struct<start, kind, end> by start and kind, one row for each document.
 
-    kind counts in KINDS. ``spans`` holds the base spans and the discovered tokens. Null texts have none; repeated
+    kind counts in KINDS. ``spans`` holds the base spans and the reported tokens. Null texts have none; repeated
     rows stay repeated; other columns are ignored; no rows give no rows.
     """
     seen = written(scan(docs.select(F.col("doc_id").cast("long"), "text")).drop("text"), "tokens")
@@ -190,10 +212,10 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rate: float = RATE) -> DataF
     """``docs`` with every span of a secret replaced by ``mark``; n_chars follows if there is such a column.
 
     Overlapping spans become one mark. Rows without a secret and null texts stay as they are; columns and row count
-    stay. The texts are scanned twice: for the corpus's tokens, and to be changed.
+    stay. The rows are written once beside their tokens, since what is replaced depends on the tokens of all.
     """
-    tokens = written(scan(docs.select("text")).select("__tokens"), "tokens")
-    marked = scan(docs).withColumn("__spans", _all_spans(tokens, rate))
+    seen = written(scan(docs), "scanned")
+    marked = seen.withColumn("__spans", _all_spans(seen, rate))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:

@@ -3,6 +3,10 @@ import hashlib
 import random
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from tarnwork.llm import secret_scan as ss
 from tarnwork.llm.secret_scan import KINDS, find_secrets, redact
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -30,6 +34,7 @@ def corpus():
         "é😀 secret=0123456789abcdef0123",
         "é😀 secret=0123456789abcdef0123",
         "word " * 60000 + "token=abcdefabcdefabcdef",
+        "x" * 300_000,
     ]
     return texts, keys
 
@@ -62,3 +67,73 @@ def test_redaction_and_empty_input(spark):
     assert redact(docs.limit(0)).count() == 0
     assert find_secrets(docs.limit(0)).count() == 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+def natural_tokens(rng, n):
+    words = "get set user name file path index value count list table row column error message handler config server client request response parser builder factory manager internal default total".split()
+    out = []
+    for _ in range(n):
+        parts = [rng.choice(words) for _ in range(rng.randint(4, 9))]
+        style = rng.randrange(4)
+        if style == 0:
+            out.append("".join(p.title() for p in parts))
+        elif style == 1:
+            out.append("_".join(parts))
+        elif style == 2:
+            out.append("/" + "/".join(parts) + str(rng.randrange(100)))
+        else:
+            out.append("".join(parts))
+    return [t for t in out if len(t) >= 20]
+
+
+def test_battery_precision_and_recall(spark):
+    rng = random.Random(8)
+    alphabets = {"base64": ss.ALPHABETS["^[A-Za-z0-9+/]+$"], "base62": ss.ALPHABETS["^[A-Za-z0-9]+$"], "base64url": ss.ALPHABETS["^[A-Za-z0-9_-]+$"]}
+    planted = ["".join(rng.choice(a) for _ in range(n)) for a in alphabets.values() for n in (40, 48, 64) for _ in range(30)]
+    natural = natural_tokens(rng, 6000)
+    listed = ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "-" * 60, "=" * 40, "a1" * 30, "550e8400-e29b-41d4-a716-446655440000"] * 5
+    rows = [(i, f"see {t} there") for i, t in enumerate(planted + natural + listed)]
+    got = find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    base = {r["doc_id"] for r in got if r["base"]}
+    hit = {r["doc_id"] for r in got if any(s["kind"] == KINDS.index("random") for s in r["spans"])}
+    true = set(range(len(planted))) - base
+    assert len(hit & true) >= 0.95 * len(true)
+    assert len(hit - true) <= 0.02 * len(hit)
+
+
+def test_one_long_random_token_is_found_alone(spark):
+    key = base64.b64encode(random.Random(3).randbytes(60)).decode()
+    for text in (f"is {key} so", f"is {key} so internationalisation antidisestablishmentarian"):
+        got = find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+        assert [text[s["start"] : s["end"]] for s in got["spans"]] == [key]
+
+
+def test_scores_of_random_tokens_are_standard_normal(spark):
+    rng = random.Random(4)
+    for name, n in (("^[A-Za-z0-9+/]+$", 64), ("^[0-9A-F]+$", 32), ("^[A-Z2-7]+$", 56)):
+        alphabet = ss.ALPHABETS[name]
+        tokens = [(t,) for t in ("".join(rng.choice(alphabet) for _ in range(n)) for _ in range(1500)) if re.fullmatch(name[1:-1], t)]
+        z = spark.createDataFrame(tokens, "t string").select(ss._let(ss._bits(F.col("t")), ss.tests).alias("z")).select("z.*").toPandas()
+        assert (z.mean().abs() < 0.15).all() and ((z.std() - 1).abs() < 0.15).all()
+
+
+def test_statistics_against_numpy(spark):
+    alphabet = ss.ALPHABETS["^[A-Za-z0-9]+$"]
+    token = "Zx09AbQq7LmN3tRsVw2KpJ0a"
+    got = spark.createDataFrame([(token,)], "t string").select(ss._let(ss._bits(F.col("t")), lambda x: F.struct(ss.chi_squared(x).alias("chi2"), ss.tests(x).alias("z")))["chi2"].alias("chi2"), ss._let(ss._bits(F.col("t")), ss.tests).alias("z")).first()
+    v = np.array([alphabet.index(c) for c in token], float)
+    n, counts = len(v), np.bincount(v.astype(int), minlength=62)
+    assert abs(got["chi2"] - ((counts - n / 62) ** 2 / (n / 62)).sum()) < 1e-9
+    d = v - v.mean()
+    r = (d[:-1] * d[1:]).sum() / (d * d).sum()
+    assert abs(got["z"]["serial"] - (r + 1 / n) * n * (n - 1) ** 0.5 / (n - 2)) < 1e-9
+    up = v >= 31
+    assert abs(got["z"]["runs"] - (1 + (up[1:] != up[:-1]).sum() - (m := 2 * up.sum() * (~up).sum() / n + 1)) / ((m - 1) * (m - 2) / (n - 1)) ** 0.5) < 1e-9
+
+
+def test_false_discovery_rule():
+    assert ss.least_score({}) == ss.SCORES + 1
+    assert ss.least_score({0: 1000}) == ss.SCORES + 1
+    assert ss.least_score({0: 99, 50: 1}) == 50
+    assert ss.least_score({0: 99, 30: 1}) == ss.SCORES + 1
+    assert ss.least_score({0: 50, 30: 50}) == 30
