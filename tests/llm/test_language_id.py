@@ -17,54 +17,79 @@ def corpus():
     return rows
 
 
-def brute_bits(model_grams, text, a, symbol_of, contexts):
-    """Code length by the definition, from counts of (context, symbol)."""
-    s = [symbol_of[b] for b in b"   " + text]
-    total = 0.0
-    for i in range(3, len(s)):
-        p = 1 / a
-        for order in range(4):
-            context = tuple(s[i - order : i])
-            if order == 3 and context not in contexts:
-                continue
-            counts = {}
-            for (ctx, sym), n in model_grams.items():
-                if ctx[3 - order :] == context:
-                    counts[sym] = counts.get(sym, 0) + n
-            if counts:
-                t, d = sum(counts.values()), len(counts)
-                p = counts[s[i]] / (t + d) if s[i] in counts else d / (t + d) * p
-        total -= np.log2(p)
-    return total
-
-
-def test_code_lengths_against_the_definition():
-    rng = random.Random(11)
-    text = "".join(rng.choice("abca ") for _ in range(400)).encode()
+def counts_of(text):
+    """order -> context -> byte -> count, with spaces before the text."""
+    padded, out = b"   " + text, {k: {} for k in range(4)}
+    for i in range(3, len(padded)):
+        for k in range(4):
+            of = out[k].setdefault(padded[i - k : i], {})
+            of[padded[i]] = of.get(padded[i], 0) + 1
+    return out
+
+
+def distribution(counts, context):
+    """Probabilities of all 256 bytes after three, by prediction by partial matching with exclusion."""
+    p, left, excluded = [0.0] * 256, 1.0, set()
+    for k in (3, 2, 1, 0):
+        here = {b: n for b, n in counts[k].get(context[3 - k :], {}).items() if b not in excluded}
+        if not here:
+            continue
+        whole = sum(here.values()) + len(here)
+        for b, n in here.items():
+            p[b] = left * n / whole
+        left *= len(here) / whole
+        excluded |= set(here)
+    for b in set(range(256)) - excluded:
+        p[b] = left / (256 - len(excluded))
+    return p
+
+
+def grams_of(text):
     v = np.frombuffer(b"   " + text, np.uint8).astype(np.int64)
-    gram, n = np.unique((v[:-3] << 24) | (v[1:-2] << 16) | (v[2:-1] << 8) | v[3:], return_counts=True)
-    model = li.build_model({"x": (gram, n), "y": (gram[:9], n[:9])}, {"x": 1, "y": 1}, contexts=20)
-    a = int(model.symbol_of.max()) + 1
-    for k, (g, c) in enumerate(((gram, n), (gram[:9], n[:9]))):
-        grams = {}
-        for x, m in zip(g.tolist(), c.tolist()):
-            grams[tuple(int(model.symbol_of[(x >> s) & 255]) for s in (24, 16, 8)), int(model.symbol_of[x & 255])] = m
-        best = {tuple(map(int, np.unravel_index(i, (a, a, a)))) for i in np.flatnonzero(model.row_of >= a * a)}
-        for t in (b"abcab z", b"a", b"zzz", text[:50]):
-            assert abs(li.code_lengths(model, [t])[0, k] - brute_bits(grams, t, a, model.symbol_of.tolist(), best)) < 1e-3
+    return np.unique((v[:-3] << 24) | (v[1:-2] << 16) | (v[2:-1] << 8) | v[3:], return_counts=True)
+
+
+def test_code_lengths_against_a_distribution_that_sums_to_one():
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abca ") for _ in range(400)).encode(), "Völlig andere Zeichen: aß, bö!".lower().encode()]
+    model = li.build_model({"x": grams_of(texts[0]), "y": grams_of(texts[1])}, {"x": 1, "y": 1})
+    for k, trained in enumerate(texts):
+        counts = counts_of(trained)
+        for t in (b"abcab z", b"a", b"zzz", texts[0][:50], texts[1], bytes(range(256))):
+            padded, total = b"   " + t, 0.0
+            for i in range(3, len(padded)):
+                p = distribution(counts, padded[i - 3 : i])
+                assert abs(sum(p) - 1) < 1e-9
+                total -= np.log2(p[padded[i]])
+            assert abs(li.code_lengths(model, [t])[0, k] - total) < 1e-3 * max(1, len(t) / 50)
+
+
+def test_costs_of_one_context_sum_to_one():
+    rng = random.Random(13)
+    text = "".join(rng.choice("the quick brown fox") for _ in range(2000)).encode()
+    tree = li.Tree(*grams_of(text))
+    for context in (b"the", b"he ", b"zzz", b"   ", b"qui", b"\xff\x00q"):
+        gram = (int.from_bytes(context, "big") << 8) + np.arange(256, dtype=np.int64)
+        assert abs(np.exp2(-tree.bits(gram)).sum() - 1) < 1e-9
 
 
 def test_long_texts_do_not_depend_on_pieces(monkeypatch):
     rng = random.Random(12)
     text = "".join(rng.choice("abcd e") for _ in range(5000)).encode()
-    v = np.frombuffer(b"   " + text, np.uint8).astype(np.int64)
-    gram, n = np.unique((v[:-3] << 24) | (v[1:-2] << 16) | (v[2:-1] << 8) | v[3:], return_counts=True)
-    model = li.build_model({"x": (gram, n)}, {"x": 1})
+    model = li.build_model({"x": grams_of(text)}, {"x": 1})
     whole = li.code_lengths(model, [text, b"", b"ab"])
     monkeypatch.setattr(li, "_PIECE", 64)
     assert np.allclose(whole, li.code_lengths(model, [text, b"", b"ab"]), rtol=1e-5)
 
 
+def test_other_languages_and_noise_are_rejected(spark):
+    rng = random.Random(14)
+    noise = ["".join(rng.choice("bcdfghjklmnpqrstvwxzäöüß ") for _ in range(900)) for _ in range(20)]
+    rows = [(*r, "z") for r in corpus()] + [(2000 + i, t, None, "z") for i, t in enumerate(noise)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    assert sorted(r["doc_id"] for r in li.identified(docs).collect()) == list(range(240))
+
+
 def test_held_out_accuracy_and_edges(spark):
     rows = corpus() + [(1000, None, "aa"), (1001, "", None), (1002, "12 34 !!", "bb"), (1003, "the er ing", None), (None, "tion the", "aa"), (1003, "the er ing", None)]
     docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, lang string, score string")
