@@ -11,7 +11,9 @@ pages of the corpus whose markup marks its own article (an article or main eleme
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -24,19 +26,19 @@ from pyspark.sql import functions as F
 from tarnwork.llm.labelled_pages import PAGES
 
 TRAIN_PAGES = 150
+#: Pages of more characters are not trained on.
+TRAIN_CHARS = 200_000
 ROUNDS = 200
 #: The labelled pages count as much as this share of the corpus's.
 OWN_SHARE = 1.0
 SHRINK = 3e-5
 
-_TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select|button|title|object|math|video|audio|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*)"
-    r"|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?][^>]*>"
-    r"|[^<]+|<",
-    re.S | re.I,
-)
+#: Elements whose content is raw up to their end tag, or to the end of the page.
+_RAW = {tag: re.compile(f"</{tag}", re.I) for tag in ("script", "style")}
+#: Elements without readable text, if they have an end tag.
+_SILENT = {"noscript", "template", "svg", "iframe", "textarea", "select", "button", "title", "object", "math", "video", "audio", "canvas"}
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>\"']*)([^<>\"']*)>")
+_TAG_START = re.compile(r"<(/?)([a-zA-Z][^\s/<>\"']*)")
 _NAMED = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _KEEP = re.compile(r"\skeep(?=[\s=>/]|$)", re.I)
@@ -83,10 +85,113 @@ _CLOSES = {  # an element that ends open ones of these, up to the boundary
     "th": ({"td", "th", "p"}, {"tr", "table"}),
 }
 _TEXT_FEATURES = [f"{a}_{b}" for a in ("size", "links", "stops") for b in range(4)]
+#: Elements that often have no end tag.
+_OPTIONAL_END = {"p", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "html", "head", "body"}
 FEATURES = ["any", "leaf", *_KINDS, *_NAMES, *_TEXT_FEATURES, *(f"in_{k}" for k in _KINDS), *(f"under_{n}" for n in _NAMES)]
 _AT = {name: i for i, name in enumerate(FEATURES)}
 
 
+class _TagEnds:
+    """Where a tag that starts somewhere ends: at the first > outside of quotes.
+
+    A quote without a partner is an ordinary character; a tag that would not end because of quotes ends at its first >.
+    Each special character knows the end for a tag that is open there, so all tags together take linear time.
+    """
+
+    def __init__(self, html: str) -> None:
+        self.places = [m.start() for m in re.finditer("[>\"']", html)]
+        count = len(self.places)
+        self.ends, self.plain = [-1] * (count + 1), [-1] * (count + 1)
+        partner = {'"': -1, "'": -1}
+        for k in range(count - 1, -1, -1):
+            c = html[self.places[k]]
+            if c == ">":
+                self.ends[k] = self.plain[k] = self.places[k]
+                continue
+            self.plain[k] = self.plain[k + 1]
+            self.ends[k] = self.ends[partner[c] + 1] if partner[c] >= 0 else self.ends[k + 1]
+            partner[c] = k
+
+    def end(self, start: int) -> int:
+        """-1 if no > follows."""
+        k = bisect.bisect_left(self.places, start)
+        return self.ends[k] if self.ends[k] >= 0 else self.plain[k]
+
+
+def tokens(html: str) -> list[tuple[str, str, str]]:
+    """(kind, tag, text) of a page, in linear time: kind is "text", "open", "void" (self-closed) or "close".
+
+    ``text`` is a run's text, with character references decoded, or a tag's attributes. Comments, declarations, scripts
+    and styles are left out. A < that starts none of these is text.
+    """
+    out: list[tuple[str, str, str]] = []
+    ends: _TagEnds | None = None
+    at, size, last = 0, len(html), html.rfind(">")
+
+    def text(run: str) -> None:
+        if run:
+            out.append(("text", "", unescape(run) if "&" in run else run))
+
+    while at < size:
+        start = html.find("<", at)
+        if start < 0:
+            text(html[at:])
+            break
+        text(html[at:start])
+        m = _PLAIN_TAG.match(html, start)
+        if m:
+            close, tag, attributes = m.groups()
+            at = m.end()
+        elif html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            at = end + 3 if end >= 0 else size
+            continue
+        else:
+            ends = ends or _TagEnds(html)
+            m = _TAG_START.match(html, start)
+            end = ends.end(m.end()) if m else html.find(">", start) if start < last and html[start + 1 : start + 2] in ("!", "?", "/") else -1
+            if end < 0:
+                text("<")
+                at = start + 1
+                continue
+            at = end + 1
+            if not m:
+                continue
+            close, tag, attributes = m[1], m[2], html[m.end() : end]
+        tag = tag.lower()
+        if close:
+            out.append(("close", tag, ""))
+        elif tag in _RAW:
+            m = _RAW[tag].search(html, at)
+            if not m:
+                break
+            end = html.find(">", m.end())
+            at = end + 1 if end >= 0 else size
+        else:
+            out.append(("void" if attributes.endswith("/") else "open", tag, attributes))
+    return out
+
+
+def silent_ends(found: list[tuple[str, str, str]]) -> dict[int, int]:
+    """For each silent element with an end tag before its parent's, the places of its two tags."""
+    pairs: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    open_: Counter[str] = Counter()
+    for i, (kind, tag, _) in enumerate(found):
+        if kind == "open" and (tag in _SILENT or tag in _KIND_OF and tag not in _OPTIONAL_END):
+            stack.append((tag, i))
+            open_[tag] += 1
+        elif kind == "close" and open_[tag]:
+            while stack:
+                name, start = stack.pop()
+                open_[name] -= 1
+                if name == tag:
+                    if tag in _SILENT:
+                        pairs[start] = i
+                    break
+    return pairs
+
+
 @dataclass
 class Forest:
     """Nodes of many pages, parents before children."""
@@ -127,61 +232,68 @@ def grow(forest: Forest, html: str, label) -> None:
                 n = len(text)
                 size = (n >= 25) + (n >= 80) + (n >= 250)
                 share = 0 if not linked else 1 + (linked * 3 > total) + (linked * 3 > 2 * total)
-                stops = min(3, text.count(". ") + text.count(", ") + (text[-1] in ".!?:;\"")) if n < 2000 else 3
+                stops = min(3, text.count(". ") + text.count(", ") + (text[-1] in ".!?:;\""))
                 features = [_AT["any"], _AT["leaf"], _AT[f"size_{size}"], _AT[f"links_{share}"], _AT[f"stops_{stops}"], *inherited]
                 forest.texts[forest.add(node, features, True, forest.kept[node])] = text
             linked = total = 0
 
-    for m in _TOKEN.finditer(html):
-        token = m[0]
-        if token[0] != "<" or token == "<":
-            text = unescape(token) if "&" in token else token
-            run.append(text)
-            total += len(text)
+    found = tokens(html)
+    silent = silent_ends(found)
+    open_: Counter[str] = Counter()
+
+    def leave(place: int) -> None:
+        """Close the open elements from this place of the stack on."""
+        for tag, _, _ in stack[place:]:
+            open_[tag] -= 1
+        del stack[place:]
+
+    at = -1
+    while (at := at + 1) < len(found):
+        kind, tag, value = found[at]
+        if kind == "text":
+            run.append(value)
+            total += len(value)
             if links:
-                linked += len(text)
-            continue
-        name = m[2]
-        if name is None:
-            continue  # comments, declarations, and elements without readable text
-        tag = name.lower()
-        if token[1] != "/":
+                linked += len(value)
+        elif at in silent:
+            at = silent[at]
+        elif kind == "close":
             if tag == "a":
-                links += 1
-            elif tag == "br":
-                run.append(" ")
-            elif tag == "hr":
+                links = max(0, links - 1)
+            elif open_[tag]:
                 end_run()
-            elif tag in _KIND_OF:
+                leave(max(i for i in range(len(stack)) if stack[i][0] == tag) if stack[-1][0] != tag else len(stack) - 1)
+                links = 0
+            elif tag == "p":
                 end_run()
-                closes, boundary = _CLOSES.get(tag, ((), ()))
+        elif tag == "a":
+            links += kind == "open"
+        elif tag == "br":
+            run.append(" ")
+        elif tag == "hr":
+            end_run()
+        elif tag in _KIND_OF:
+            end_run()
+            closes, boundary = _CLOSES.get(tag, ((), ()))
+            if any(open_[c] for c in closes):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] in closes:
-                        del stack[i:]
+                        leave(i)
                     elif stack[i][0] in boundary:
                         break
-                links = 0
-                kind, attributes = _KIND_OF[tag], m[3]
-                names = ()
-                if attributes:
-                    names = {_SAID_BY[w] for v in _NAMED.findall(attributes) for w in _WORD.findall(v.lower()) if w in _SAID_BY}
-                _, above, inherited = stack[-1]
-                features = [_AT["any"], _AT[kind], *(_AT[x] for x in names), *inherited]
-                kept = label(tag, names, attributes, forest.kept[above]) if label else False
-                node = forest.add(above, features, False, kept)
-                stack.append((tag, node, [_AT[f"in_{kind}"], *(_AT[f"under_{x}"] for x in names)]))
-        elif tag == "a":
-            links = max(0, links - 1)
-        elif tag in _KIND_OF:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    end_run()
-                    del stack[i:]
-                    links = 0
-                    break
-            else:
-                if tag == "p":
-                    end_run()
+            links = 0
+            if kind == "void":
+                continue
+            names = ()
+            if value:
+                names = {_SAID_BY[w] for v in _NAMED.findall(value) for w in _WORD.findall(v.lower()) if w in _SAID_BY}
+            _, above, inherited = stack[-1]
+            kind_of = _KIND_OF[tag]
+            features = [_AT["any"], _AT[kind_of], *(_AT[x] for x in names), *inherited]
+            kept = label(tag, names, value, forest.kept[above]) if label else False
+            node = forest.add(above, features, False, kept)
+            stack.append((tag, node, [_AT[f"in_{kind_of}"], *(_AT[f"under_{x}"] for x in names)]))
+            open_[tag] += 1
     end_run()
 
 
@@ -315,7 +427,7 @@ def extract(pages: DataFrame, keep: list[str], train_pages: int = TRAIN_PAGES, i
     """
     total = pages.count()
     draw = F.pmod(F.xxhash64(id_column), F.lit(1 << 20)) < int((1 << 20) * min(1.0, train_pages / max(total, 1)))
-    sample = [r["html"] for r in pages.where("html is not null").where(draw).select("html").limit(2 * train_pages).collect()]
+    sample = [r["html"] for r in pages.where(F.length("html") <= TRAIN_CHARS).where(draw).select("html").limit(2 * train_pages).collect()]
     keep = [c for c in keep if c not in ("text", "n_chars")]
     rows = pages.select(*keep, F.col("html").alias("__html"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "text string, n_chars long"])

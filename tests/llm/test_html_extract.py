@@ -56,3 +56,41 @@ def test_pages(spark):
     assert by_id[103].count("\n") == 29999
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert he.extract(pages.limit(0), ["page_id"]).count() == 0
+
+
+PARTS = [f"This is part {i} of the article, which says something. It is long enough, too." for i in range(4)]
+
+
+def article(between):
+    return f"<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>Title</h1><p>{PARTS[0]}</p>{between}<p>{PARTS[1]}</p><p>{PARTS[2]}</p><p>{PARTS[3]}</p></article><footer>&copy; me</footer></body></html>"
+
+
+def test_silent_elements_end_where_they_should():
+    weights = he.train([])
+    want = "\n".join(["Title", *PARTS])
+    for between in ("", "<svg/>", '<iframe src="/x" />', "<object data=x />", "<button>", "<select>", "<video src=x>", "<canvas>", "<svg><title>x</title><p>no</p></svg>", "<button><b>Go</b></button>", "<textarea>never</textarea>", "<noscript><p>Turn it on.</p></noscript>", "<script>var x = '<p>';</script>", "<!-- <p>no</p> -->", "<title>", "<template>"):
+        assert he.main_texts([article(between)], weights) == [want], between
+
+
+def test_tokens_of_odd_markup():
+    kinds = lambda html: [(k, t, v) for k, t, v in he.tokens(html)]
+    assert kinds('<a title="x > y" b>z') == [("open", "a", ' title="x > y" b'), ("text", "", "z")]
+    assert kinds("a < b &lt; c") == [("text", "", "a "), ("text", "", "<"), ("text", "", " b < c")]
+    assert kinds("<p don't>x</p>") == [("open", "p", " don't"), ("text", "", "x"), ("close", "p", "")]
+    assert kinds('<p a="x>y</p>') == [("open", "p", ' a="x'), ("text", "", "y"), ("close", "p", "")]
+    assert kinds("<!doctype html><?xml?>x<!-- never ends") == [("text", "", "x")]
+    assert kinds("x<style>p{}") == [("text", "", "x")]
+    assert kinds("<br/><") == [("void", "br", "/"), ("text", "", "<")]
+    assert kinds("</ x>y<SCRIPT>1<2</ScRiPt >z") == [("text", "", "y"), ("text", "", "z")]
+
+
+def test_broken_markup_takes_linear_time():
+    import time
+
+    weights = he.train([])
+    for unit in ('<a b="x', "<a b='x\"", "<", "<div>", "<li><div>", "</p>", "<!-", "<button>", "<a", "<a'", "<script>x</script>", "< "):
+        page = unit * (1_000_000 // len(unit))
+        began = time.time()
+        he.tokens(page)
+        he.main_texts([article(page[:200_000])], weights)
+        assert time.time() - began < 25, unit
