@@ -5,9 +5,12 @@ fewest that hold ``COARSE_RECALL`` of the neighbours of some sampled vectors wit
 indexed: its nearest centroid names its list, and its residual is coded in 4-dimensional parts of one byte each.
 
 Lists are dealt into blocks of about ``BLOCK_ROWS`` rows (a list that holds a third of all rows is many blocks), and
-queries into sets of about ``QUERY_ROWS``. In each (block, query set), tables of the inner products of a query's
-parts with all codewords give the approximate products of all rows, the best ``SHORTLIST`` are reranked with the
-original vectors in double precision, and the best k of each block meet in a ranking by query.
+the queries that probe a list into sets of about ``QUERY_ROWS``: a list is sent once for each of its own sets, a list
+that nothing probes not at all. In each (block, query set), tables of the inner products of a query's parts with all
+codewords give the approximate products of all rows. The best ``SHORTLIST`` are reranked with the original vectors in
+double precision, and with them all rows as near as the last of them but for what coding usually changes in a product:
+of many nearly equal vectors the codes cannot tell which are nearest. The best k of each block meet in a ranking by
+query.
 """
 
 from __future__ import annotations
@@ -41,19 +44,29 @@ class Index:
     centroids: np.ndarray  # (lists, dimensions)
     books: np.ndarray  # (parts, words, PART)
     probes: int
+    #: Root mean square of what coding changes in one component.
+    blur: float = 0.0
 
     def lists_of(self, x: np.ndarray) -> np.ndarray:
-        return np.argmax(x @ self.centroids.T - 0.5 * (self.centroids**2).sum(1), 1)
+        return _closest(x, self.centroids)
 
     def codes_of(self, residual: np.ndarray) -> np.ndarray:
         parts = _parts(residual)
-        return np.stack([np.argmax(p @ b.T - 0.5 * (b**2).sum(1), 1) for p, b in zip(parts, self.books, strict=True)], 1).astype(np.uint8)
+        return np.stack([_closest(p, b) for p, b in zip(parts, self.books, strict=True)], 1).astype(np.uint8)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Inner products of each query's parts with all codewords: (queries, parts, words)."""
         return np.einsum("pqd,pwd->qpw", _parts(q), self.books)
 
 
+def _closest(x: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """For each row of x the place of the closest row of ``to``, some rows at a time."""
+    half = 0.5 * (to**2).sum(1)
+    step = max(1, (1 << 22) // len(to))
+    found = [np.argmax(x[at : at + step] @ to.T - half, 1) for at in range(0, len(x), step)]
+    return np.concatenate(found) if found else np.zeros(0, np.intp)
+
+
 def _parts(x: np.ndarray) -> np.ndarray:
     n = -(-x.shape[1] // PART)
     padded = np.zeros((len(x), n * PART), x.dtype)
@@ -66,7 +79,7 @@ def _means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
     distinct = np.unique(x, axis=0)
     at = distinct[rng.permutation(len(distinct))[:k]].copy()
     for _ in range(rounds):
-        near = np.argmax(x @ at.T - 0.5 * (at**2).sum(1), 1)
+        near = _closest(x, at)
         sums = np.zeros_like(at)
         np.add.at(sums, near, x)
         n = np.bincount(near, minlength=len(at))
@@ -77,82 +90,87 @@ def _means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
 def fit(sample: np.ndarray, lists: int, seed: int = 7) -> Index:
     rng = np.random.default_rng(seed)
     centroids = _means(sample, lists, 10, rng)
-    near = np.argmax(sample @ centroids.T - 0.5 * (centroids**2).sum(1), 1)
+    near = _closest(sample, centroids)
     parts = _parts(sample - centroids[near])
     books = np.zeros((len(parts), WORDS, PART))
     for book, p in zip(books, parts, strict=True):
         words = _means(p, WORDS, 6, rng)
         book[: len(words)] = words
         book[len(words) :] = words[0]
+    coded = np.stack([b[_closest(p, b)] for p, b in zip(parts, books, strict=True)])
+    blur = float(np.sqrt(((parts - coded) ** 2).sum() / sample.size))
     asked = rng.permutation(len(sample))[:300]
     product = sample[asked] @ sample.T
     product[np.arange(len(asked)), asked] = -np.inf
     k = min(NEAREST, len(sample) - 1)
     if k < 1:
-        return Index(centroids, books, len(centroids))
+        return Index(centroids, books, len(centroids), blur)
     best = np.argpartition(-product, k - 1, 1)[:, :k]
     order = np.argsort(-(sample[asked] @ centroids.T), 1)
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(len(centroids))[None], 1)
     needed = np.sort(np.take_along_axis(place, near[best], 1).ravel())
-    return Index(centroids, books, int(needed[math.ceil(COARSE_RECALL * len(needed)) - 1]) + 1)
+    return Index(centroids, books, int(needed[math.ceil(COARSE_RECALL * len(needed)) - 1]) + 1, blur)
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return np.stack([np.frombuffer(v.as_py(), np.float64) for v in column])
+def _matrix(column: pa.Array | pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.stack([np.frombuffer(v.as_py(), kind) for v in column]).astype(np.float64)
 
 
 def usable(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """vec_id (long) and vector (array<double>) of the rows that can take part.
+    """vec_id (long) and vector (array<float> if it was so, else array<double>) of the rows that can take part.
 
     Left out: null ids, and vectors that are null, empty, zero, or hold null or non-finite components. If lengths
-    differ, vectors of the most frequent length take part.
+    differ, vectors of the most frequent length take part: others have no inner product with them.
     """
-    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("vector"))
+    kind = "array<float>" if dict(vectors.dtypes)[vector_column] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast(kind).alias("vector"))
     odd = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     rows = rows.where("vec_id is not null and size(vector) > 0").where(~F.exists("vector", odd) & F.exists("vector", lambda v: v != 0))
     lengths = [(r["count"], r["n"]) for r in rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()]
     return rows.where(F.size("vector") == (lengths[0][1] if lengths else 0))
 
 
-def _indexed(shared):
+def _indexed(shared, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.array(b.column(1).to_pylist(), np.float64)
+            stored = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(b.num_rows, -1)
+            x = stored.astype(np.float64)
             lists = index.lists_of(x)
             codes = index.codes_of(x - index.centroids[lists])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(lists.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())],
+                [b.column(0), pa.array(lists.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([v.tobytes() for v in stored], pa.binary())],
                 ["vec_id", "list", "code", "vec"],
             )
 
     return run
 
 
-def _probed(shared, sizes: list[int], k: int):
+def _probed(shared, sizes: list[int], k: int, kind: str):
     """(query_id, list, query vector) of the lists to probe: enough to hold k rows besides the query's own, if there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         held = np.array(sizes)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = _matrix(b.column(1))
-            order = np.argsort(-(x @ index.centroids.T), 1, kind="stable")
-            enough = (np.cumsum(held[order], 1) < k + 1).sum(1) + 1
-            n = np.minimum(np.maximum(enough, index.probes), order.shape[1])
-            row = np.repeat(np.arange(len(x)), n)
-            lists = np.concatenate([o[:m] for o, m in zip(order, n)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(lists), b.column(1).take(pa.array(row))], ["query_id", "list", "query"])
+        step = max(1, (1 << 21) // len(held))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
+                x = _matrix(b.column(1), kind)
+                order = np.argsort(-(x @ index.centroids.T), 1, kind="stable")
+                enough = (np.cumsum(held[order], 1) < k + 1).sum(1) + 1
+                n = np.minimum(np.maximum(enough, index.probes), order.shape[1])
+                row = pa.array(np.repeat(np.arange(len(x)), n))
+                lists = np.concatenate([o[:m] for o, m in zip(order, n)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(row), pa.array(lists), b.column(1).take(row)], ["query_id", "list", "query"])
 
     return run
 
 
-def _best_of_block(shared, k: int, shortlist: int):
+def _best_of_block(shared, k: int, shortlist: int, kind: str):
     def run(members: pa.Table, asked: pa.Table) -> pa.Table:
         index: Index = shared.value
         out: list[list[np.ndarray]] = [[], [], []]
@@ -160,9 +178,9 @@ def _best_of_block(shared, k: int, shortlist: int):
             members = members.sort_by("vec_id")  # equal products then go to smaller ids
             ids = members.column("vec_id").to_numpy()
             codes = np.stack([np.frombuffer(c.as_py(), np.uint8) for c in members.column("code")]).astype(np.intp)
-            vectors = _matrix(members.column("vec"))
+            vectors = _matrix(members.column("vec"), kind)
             centroid = index.centroids[members.column("list")[0].as_py()]
-            queries, names = _matrix(asked.column("query")), asked.column("query_id").to_numpy()
+            queries, names = _matrix(asked.column("query"), kind), asked.column("query_id").to_numpy()
             for at in range(0, len(names), 64):
                 q, name = queries[at : at + 64], names[at : at + 64]
                 tables = index.tables(q)
@@ -171,10 +189,9 @@ def _best_of_block(shared, k: int, shortlist: int):
                     near += tables[:, part, codes[:, part]]
                 near[name[:, None] == ids[None]] = -np.inf
                 keep = min(shortlist, len(ids))
-                least = np.partition(near, len(ids) - keep, 1)[:, len(ids) - keep]
+                least = np.partition(near, len(ids) - keep, 1)[:, len(ids) - keep] - index.blur * np.sqrt((q * q).sum(1))
                 for i, row in enumerate(near):
                     short = np.flatnonzero((row >= least[i]) & (row > -np.inf))
-                    short = short[np.argsort(-row[short], kind="stable")][:keep]
                     exact = (vectors[short] * q[i]).sum(1)
                     first = np.lexsort((ids[short], -exact))[:k]
                     for column, value in zip(out, (np.full(len(first), name[i]), ids[short[first]], exact[first])):
@@ -204,18 +221,23 @@ def nearest(vectors: DataFrame, k: int = NEAREST, query_every: int = QUERY_EVERY
     lists = int(min(4096, max(8, math.sqrt(total) / 4)))
     index = fit(np.array(drawn, np.float64), min(lists, len(drawn)))
     shared = spark.sparkContext.broadcast(index)  # of fixed size: lists, words and dimensions
-    stored = written(rows.mapInArrow(_indexed(shared), "vec_id long, list int, code binary, vec binary"), "ivf")
+    kind = "<f4" if dict(rows.dtypes)["vector"] == "array<float>" else "<f8"
+    stored = written(rows.mapInArrow(_indexed(shared, kind), "vec_id long, list int, code binary, vec binary"), "ivf")
     sizes = [0] * len(index.centroids)
     for r in stored.groupBy("list").count().collect():  # a row for each list
         sizes[r["list"]] = r["count"]
     asked = stored.where(F.pmod("vec_id", F.lit(query_every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query")).dropDuplicates(["query_id"])
-    sets = max(1, -(-asked.count() // QUERY_ROWS))
-    blocks = F.element_at(F.array(*[F.lit(max(1, -(-n // BLOCK_ROWS))) for n in sizes]), F.col("list") + 1)
-    members = stored.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
-    probes = asked.mapInArrow(_probed(shared, sizes, k), "query_id long, list int, query binary")
-    probes = probes.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(sets)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    probes = asked.mapInArrow(_probed(shared, sizes, k, kind), "query_id long, list int, query binary")
+    sets = [0] * len(sizes)
+    for r in probes.groupBy("list").count().collect():  # a row for each list
+        sets[r["list"]] = -(-r["count"] // QUERY_ROWS)
+    of_list = lambda numbers: F.element_at(F.array(*map(F.lit, numbers)), F.col("list") + 1)
+    blocks = of_list([max(1, -(-n // BLOCK_ROWS)) for n in sizes])
+    members = stored.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
+    members = members.where(of_list(sets) > 0).withColumn("part", F.explode(F.sequence(F.lit(0), of_list(sets) - 1)))
+    probes = probes.withColumn("part", F.pmod(F.xxhash64("query_id"), of_list(sets)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     keys = ["list", "block", "part"]
-    met = members.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(_best_of_block(shared, k, max(SHORTLIST, k)), "query_id long, vec_id long, score double")
+    met = members.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(_best_of_block(shared, k, max(SHORTLIST, k), kind), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -53,3 +53,24 @@ def test_edges(spark):
     assert got == [(0, 1, 1, 0.5), (0, 2, 20, 0.0), (20, 1, 1, 1.0), (20, 2, 0, 0.0)]
     assert ivf_pq.nearest(df.limit(0)).count() == 0
     assert ivf_pq.nearest(df.where("vec_id = 0")).count() == 0
+
+
+def test_recall_of_many_rows_and_of_a_crowd(spark):
+    rng = np.random.default_rng(21)
+    x = (rng.normal(size=(60, 32))[rng.integers(0, 60, 24_000)] + 0.7 * rng.normal(size=(24_000, 32))).astype(np.float32)
+    x[5000:11_000] = x[7] + 1e-3 * rng.normal(size=(6000, 32)).astype(np.float32)  # nearly equal, so with equal codes
+    ids = np.arange(len(x))
+    old, ivf_pq.QUERY_ROWS = ivf_pq.QUERY_ROWS, 200  # several sets for a list
+    try:
+        got = {}
+        for r in ivf_pq.nearest(frame(spark, ids, x)).collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+    finally:
+        ivf_pq.QUERY_ROWS = old
+    d = x.astype(float)
+    assert sorted(got) == list(range(0, len(x), 20))
+    product = d[::20] @ d.T
+    product[np.arange(len(product)), ids[::20]] = -np.inf
+    best = np.argsort(-product, 1, kind="stable")[:, :20]
+    recall = [len(set(b.tolist()) & set(got[q])) / 20 for q, b in zip(range(0, len(x), 20), best)]
+    assert np.mean(recall) >= 0.9 and np.mean(recall[250:550]) >= 0.9
