@@ -8,28 +8,63 @@ The fit is projected-gradient least squares, starting from rate 1: each round me
 document moves along its own share of the misfit and is cut at 0. A document's rate depends on its posterior and the
 past misfits only, so a round is one aggregate over (tokens, posterior) rows, and what travels is one number for each
 domain. Misfits are scaled by the domains' Gram matrix, measured once, which makes rounds few.
+
+Tokens are ids of a public vocabulary: they are what totals count, and the classifier's features.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.ml import Pipeline
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
+from tarnwork.llm.tokens import END_OF_TEXT, encoder, vocabulary_path
 from tarnwork.plans.shared import written
 
 #: Domains by label: quality and toxic of the labelled table.
 DOMAINS = ("low", "high", "toxic")
 TARGETS = (0.2, 0.75, 0.05)
 TRAIN_DOCS = 4_000
-FEATURES = 1 << 14
 ROUNDS = 40
 STEP = 0.7
 CLOSE = 1e-4
+#: Weight of the squared weights in the classifier's loss.
+SHRINK = 0.01
+
+
+@dataclass(frozen=True)
+class Posterior:
+    """Multinomial logistic regression on the logarithms of a text's token counts."""
+
+    weights: np.ndarray  # (vocabulary, domains)
+    bias: np.ndarray
+
+    def of(self, ids: list[int]) -> np.ndarray:
+        at, counts = _bag(ids)
+        z = counts @ self.weights[at] + self.bias
+        p = np.exp(z - z.max())
+        return p / p.sum()
+
+
+@dataclass(frozen=True)
+class Fit:
+    """Expected and wanted tokens of each domain, and whether they agree to ``CLOSE`` of all wanted tokens."""
+
+    have: list[float]
+    want: list[float]
+    reached: bool
+
+
+def _bag(ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    at, n = np.unique(np.array(ids, np.int64), return_counts=True)
+    return at, np.log1p(n)
 
 
 def domain_of_labels(labels: DataFrame) -> DataFrame:
@@ -43,7 +78,7 @@ def domain_of_labels(labels: DataFrame) -> DataFrame:
     return rows.select("doc_id", domain.alias("domain"))
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS):
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, path: str | None = None) -> Posterior | None:
     """A model from ``text`` to domain posteriors, fitted on about ``train_docs`` labelled documents; None without two domains."""
     known = domain_of_labels(labels)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, train_docs / max(known.count(), 1)))
@@ -51,29 +86,46 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS):
     rows = written(rows, "labelled")
     if rows.select("domain").distinct().limit(2).count() < 2:
         return None
-    words = RegexTokenizer(inputCol="text", outputCol="__words", pattern=r"[\x20\x09-\x0D]+", toLowercase=True)
-    counts = HashingTF(inputCol="__words", outputCol="__tf", numFeatures=FEATURES)
-    fit = LogisticRegression(featuresCol="__tf", labelCol="domain", probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__domain", family="multinomial", regParam=0.05, maxIter=25)
-    return Pipeline(stages=[words, counts, fit]).fit(rows)
+    encode = encoder(path or vocabulary_path())
+
+    @F.udf(VectorUDT())
+    def bag(text: str) -> SparseVector:
+        return SparseVector(END_OF_TEXT + 1, *_bag(encode(text)))
+
+    fit = LogisticRegression(featuresCol="bag", labelCol="domain", family="multinomial", regParam=SHRINK, maxIter=25)
+    model = fit.fit(rows.select(bag("text").alias("bag"), "domain"))
+    weights, bias = model.coefficientMatrix.toArray().T, model.interceptVector.toArray()
+    # a model that has not met the last domains has no column for them
+    none = len(DOMAINS) - len(bias)
+    return Posterior(np.pad(weights, ((0, 0), (0, none))), np.pad(bias, (0, none), constant_values=-np.inf))
 
 
-def posteriors(docs: DataFrame, model, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` with p (array<double>, a posterior for each domain) and tokens (long: words of the text).
+def _scored(shared, path: str, keep: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, model = encoder(path), shared.value
+        equal = np.full(len(DOMAINS), 1 / len(DOMAINS))
+        for b in batches:
+            ps, tokens = [], []
+            for text in b.column(len(keep)):
+                ids = encode(text.as_py() or "")
+                tokens.append(len(ids))
+                ps.append(model.of(ids) if model is not None else equal)
+            p = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(ps) if ps else np.zeros(0)), len(DOMAINS)).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], p, pa.array(tokens, pa.int64())], [*keep, "p", "tokens"])
+
+    return run
+
+
+def posteriors(docs: DataFrame, model: Posterior | None, keep: list[str], path: str | None = None) -> DataFrame:
+    """Columns ``keep`` with p (array<double>, a posterior for each domain) and tokens (long: ids of the text).
 
     A null text counts as empty. Without a model every domain is equally likely.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
     keep = [c for c in keep if c not in ("p", "tokens")]
-    if model is None:
-        equal = F.array(*[F.lit(1.0 / len(DOMAINS))] * len(DOMAINS))
-        tokens = F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-        return docs.select(*keep, equal.alias("p"), tokens.cast("long").alias("tokens"))
-    named = docs.select(*[F.col(c).alias(f"__keep_{c}") for c in keep], text.alias("text"))
-    seen = model.transform(named)
-    p = vector_to_array("__p")
-    # a model that has not met the last domains has no column for them
-    p = F.transform(F.sequence(F.lit(0), F.lit(len(DOMAINS) - 1)), lambda i: F.coalesce(F.get(p, i), F.lit(0.0)))
-    return seen.select(*[F.col(f"__keep_{c}").alias(c) for c in keep], p.alias("p"), F.size("__words").cast("long").alias("tokens"))
+    rows = docs.select(*keep, F.col("text").alias("__text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: vocabulary and domains
+    schema = StructType(rows.schema.fields[:-1]).add("p", ArrayType(DoubleType())).add("tokens", LongType())
+    return rows.mapInArrow(_scored(shared, path or vocabulary_path(), keep), schema)
 
 
 def _rate(moves: list[list[float]]) -> Column:
@@ -85,12 +137,12 @@ def _rate(moves: list[list[float]]) -> Column:
     return F.aggregate(steps, rate, lambda r, m: F.greatest(F.lit(0.0), r + sum(F.col("p")[d] * m[d] for d in range(len(DOMAINS)))))
 
 
-def fit_rates(rows: DataFrame, targets: tuple[float, ...] = TARGETS, budget: float | None = None, rounds: int = ROUNDS) -> tuple[DataFrame, list[float]]:
-    """``rows`` (p, tokens, others) with ``rate`` (double), and the domains' expected totals at those rates.
+def fit_rates(rows: DataFrame, targets: tuple[float, ...] = TARGETS, budget: float | None = None, rounds: int = ROUNDS) -> tuple[DataFrame, Fit]:
+    """``rows`` (p, tokens, others) with ``rate`` (double), and how the domains' expected totals at those rates fit.
 
     targets: share of each domain in ``budget`` tokens (all tokens there are, unless given). Rows without tokens keep
-    rate 1. A domain that no document has any share of cannot be matched and is left out of the fit. ``rows`` is read
-    once a round, so it should be a written table.
+    rate 1. A domain that no document has any share of cannot be matched; then, or if ``rounds`` are not enough, the
+    fit says that it is not reached. ``rows`` is read once a round, so it should be a written table.
     """
     n = len(DOMAINS)
     t = F.col("tokens").cast("double")
@@ -98,7 +150,7 @@ def fit_rates(rows: DataFrame, targets: tuple[float, ...] = TARGETS, budget: flo
     first = rows.agg(F.sum(t).alias("t"), *[F.sum(t * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}{j}") for i, j in cells]).first()
     total = first["t"] or 0.0
     if not total:
-        return rows.withColumn("rate", F.lit(1.0)), [0.0] * n
+        return rows.withColumn("rate", F.lit(1.0)), Fit([0.0] * n, [0.0] * n, True)
     gram = np.zeros((n, n))
     for i, j in cells:
         gram[i, j] = gram[j, i] = first[f"g{i}{j}"] / total
@@ -114,7 +166,8 @@ def fit_rates(rows: DataFrame, targets: tuple[float, ...] = TARGETS, budget: flo
         if np.abs(miss).max() <= CLOSE * want.sum() or len(moves) == rounds:
             break
         moves.append([float(x) for x in STEP * solve @ miss])
-    return rows.withColumn("rate", _rate(moves)), [float(x) for x in have * total]
+    reached = bool(np.abs(want - have).max() <= CLOSE * want.sum())
+    return rows.withColumn("rate", _rate(moves)), Fit([float(x) for x in have * total], [float(x) for x in want * total], reached)
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, seed: int = 11) -> DataFrame:
@@ -133,9 +186,11 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGE
 
 
 def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Domain posteriors and mixing rate of every document."""
+    """Domain posteriors and mixing rate of every document, with the totals that the rates give and those wanted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = written(posteriors(docs, train(docs, labels), ["doc_id"]), "posteriors")
-    rated, _ = fit_rates(scored)
-    return rated.select("doc_id", "tokens", *[F.round(F.col("p")[i], 9).alias(f"p_{name}") for i, name in enumerate(DOMAINS)], "rate")
+    rated, fit = fit_rates(scored)
+    shares = [F.round(F.col("p")[i], 9).alias(f"p_{name}") for i, name in enumerate(DOMAINS)]
+    totals = [F.lit(x).alias(f"{kind}_{name}") for kind, values in (("expected", fit.have), ("target", fit.want)) for x, name in zip(values, DOMAINS, strict=True)]
+    return rated.select("doc_id", "tokens", *shares, "rate", F.lit(fit.reached).alias("reached"), *totals)

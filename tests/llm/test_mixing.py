@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tarnwork.llm import mixing
 
@@ -11,12 +12,13 @@ def test_rates_against_numpy(spark):
     tokens = rng.integers(0, 900, 300)
     rows = spark.createDataFrame([(i, [float(x) for x in q], int(t)) for i, (q, t) in enumerate(zip(p, tokens))], "doc_id long, p array<double>, tokens long")
     targets = (0.6, 0.3, 0.1)
-    rated, have = mixing.fit_rates(rows, targets)
+    rated, fit = mixing.fit_rates(rows, targets)
     rate = {r["doc_id"]: r["rate"] for r in rated.collect()}
     assert min(rate.values()) >= 0
     r = np.array([rate[i] for i in range(300)])
     totals = (r * tokens) @ p
-    assert np.allclose(totals, have, rtol=1e-6)
+    assert np.allclose(totals, fit.have, rtol=1e-6) and fit.reached
+    assert np.allclose(fit.want, np.array(targets) * tokens.sum())
     assert np.abs(totals / tokens.sum() - np.array(targets)).max() < 1e-3
     # the same steps in numpy
     t = tokens / tokens.sum()
@@ -66,3 +68,27 @@ def test_edges(spark):
     assert mixing.mixed(docs, labels.limit(0)).count() > 0
     assert mixing.mixed(docs.limit(0), labels).count() == 0
     assert {r["domain"] for r in mixing.domain_of_labels(labels).collect()} == {0.0, 1.0, 2.0}
+
+
+def test_unreached_targets_are_told(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0, 0.0], 10), (2, [0.5, 0.5, 0.0], 10)], "doc_id long, p array<double>, tokens long")
+    assert not mixing.fit_rates(rows, (0.2, 0.3, 0.5))[1].reached
+    assert mixing.fit_rates(rows.limit(0))[1].reached
+
+
+def test_held_out_posteriors_and_token_counts(spark):
+    from tarnwork.llm.tokens import encoder, vocabulary_path
+
+    docs, labels, rows = labelled(spark)
+    encode = encoder(vocabulary_path())
+    long = "fine prose well " * 60_000
+    more = docs.unionByName(spark.createDataFrame([(2000, long, "l")], "doc_id long, text string, p string")).withColumn("tokens", F.lit("x")).withColumn("rate", F.lit(7))
+    got = mixing.posteriors(more, mixing.train(more, labels), ["doc_id"]).collect()
+    text = {i: t or "" for i, t, _ in rows} | {2000: long}
+    assert all(r["tokens"] == len(encode(text[r["doc_id"]])) for r in got)
+    words = {"junk": 0, "spam": 0, "zzz": 0, "fine": 1, "prose": 1, "well": 1, "awful": 2, "nasty": 2, "vile": 2}
+    told = [(next((words[w] for w in text[r["doc_id"]].split() if w in words), None), int(np.argmax(r["p"]))) for r in got if r["doc_id"] % 2 == 0 and text[r["doc_id"]]]
+    told = [x for x in told if x[0] is not None]
+    assert len(told) > 100 and sum(a == b for a, b in told) >= 0.97 * len(told)
+    out = mixing.mixed(more, labels)
+    assert out.columns == more.columns and {r["tokens"] for r in out.collect()} == {"x"}
