@@ -17,6 +17,8 @@ from tarnwork.plans.shared import written
 
 N_SHARDS = 8
 BITS = 5
+#: Categories of at most this many values are placed by a table of them.
+FEW_VALUES = 1_000
 
 
 def curve_tables(n: int) -> tuple[list[int], list[int]]:
@@ -79,13 +81,34 @@ def _below(bounds: list, value: Column, kind: str) -> Column:
     return F.when(value.isNull(), F.lit(0)).otherwise(F.size(F.filter(cuts, lambda b: b <= value)))
 
 
+def _category_place(base: DataFrame, name: str, cells: int) -> Column:
+    """A column's value from 0 to cells - 1, in the order of values so that a cell is a range of them; null is 0.
+
+    Few distinct values stand at equal distances, or, if more than cells, where their middle row stands among all rows; with many, values go by
+    the quantiles of their first seven bytes, as a number.
+    """
+    text = F.coalesce(F.col(name).cast("string"), F.lit(""))
+    few = base.groupBy(text.alias("v")).count().limit(FEW_VALUES + 1).collect()
+    if len(few) <= FEW_VALUES:
+        total, before, places = max(1, sum(r["count"] for r in few)), 0, {}
+        for rank, r in enumerate(sorted(few, key=lambda r: r["v"].encode())):
+            places[r["v"]] = rank * cells // len(few) if len(few) <= cells else (before + r["count"] // 2) * cells // total
+            before += r["count"]
+        known = F.create_map(*[F.lit(x) for v, place in places.items() for x in (v, place)]) if places else None
+        return F.lit(0) if known is None else F.coalesce(F.element_at(known, text), F.lit(0))
+    prefix = F.conv(F.rpad(F.hex(F.substring(text.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("double")
+    cuts = base.agg(F.percentile_approx(prefix, [i / cells for i in range(1, cells)], 20_000).alias("q")).first()["q"]
+    return _below(sorted(set(cuts or [])), prefix, "double").cast("int")
+
+
 def hilbert_shards(rows: DataFrame, categories: list[str], measures: list[str], n_shards: int = N_SHARDS, bits: int = BITS) -> DataFrame:
     """Add ``curve`` (long), ``shard`` (int, from 0) and ``slot`` (long, gapless from 0 in its shard) to ``rows``.
 
     Rows are cut into ``n_shards`` runs of the curve whose counts differ by one at most.
 
-    categories: columns of any type, placed by hash (null counts as an own value). measures: numeric columns, placed
-    by approximate quantiles (null counts as below all). Columns named like the added ones are replaced. No rows give
+    categories: columns that have a text form, placed in the order of values (null counts as an empty text). measures:
+    numeric columns, null ids among them, placed by approximate quantiles (null counts as below all). Equal texts have
+    no place of their own: copies that differ in metadata may lie in several shards, as equal counts demand. Columns named like the added ones are replaced. No rows give
     no rows. Rows in one cell are ordered by a hash of all columns, and repeated rows take different slots. The rows
     are written once to the shared folder, so ``rows`` should hold metadata only.
     """
@@ -100,7 +123,7 @@ def hilbert_shards(rows: DataFrame, categories: list[str], measures: list[str],
         *[F.percentile_approx(m, inner, 20_000).alias(f"q{i}") for i, m in enumerate(measures)],
     ).first()
     total = facts["n"]
-    dims = [F.pmod(F.xxhash64(F.lit(i), F.col(c)), F.lit(cells)).cast("int") for i, c in enumerate(categories)]
+    dims = [_category_place(base, c, cells).cast("int") for c in categories]
     dims += [
         _below(sorted(facts[f"q{i}"] or []), F.col(m).cast("double"), "double").cast("int")
         for i, m in enumerate(measures)

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 BINS = 128
 LOW_BITS = 8
 SHINGLE_WORDS = 5
+#: Fine cuts of the id range for each bucket.
+FINE = 4
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -100,15 +102,30 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(neither, F.lit(1.0)).when(either, F.lit(0.0)).otherwise(est)
 
 
-def with_next(rows: DataFrame, key: str, carried: list[str], order: list[str]) -> DataFrame:
+def _cuts_by_size(rows: DataFrame, key: str, size: Column, n: int) -> list[int]:
+    """Keys that cut the rows into about n buckets of equal size: fine cuts by rows, of which those at equal sums of size are kept."""
+    fine = rows.agg(F.percentile_approx(key, [i / (FINE * n) for i in range(1, FINE * n)], 20_000).alias("q")).first()["q"]
+    fine = sorted(set(fine or []))
+    place = F.size(F.filter(F.array(*map(F.lit, fine)).cast("array<bigint>"), lambda b: b <= F.col(key)))
+    sizes = {r["place"]: r["size"] for r in rows.groupBy(place.alias("place")).agg(F.sum(size.cast("double")).alias("size")).collect()}  # FINE * n rows at most
+    share, before, cuts = sum(sizes.values()) / n, 0.0, []
+    for i, cut in enumerate(fine):
+        before += sizes.get(i, 0.0)
+        if before >= share * (len(cuts) + 1):
+            cuts.append(cut)
+            before = max(before, share * len(cuts))
+    return cuts
+
+
+def with_next(rows: DataFrame, key: str, carried: list[str], order: list[str], size: Column) -> DataFrame:
     """Add ``next_<c>`` for each carried column: its value in the next row by ``key``; the last row gets the first's.
 
-    key: a long column without nulls. Rows of one key are ordered by ``order``. One row alone is its own next.
+    key: a long column without nulls. Rows of one key are ordered by ``order``. One row alone is its own next. Buckets
+    of the key's range hold about equal sums of ``size``.
     """
     spark = rows.sparkSession
     n = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 20_000).alias("q")).first()["q"]
-    cuts = sorted(set(cuts or []))
+    cuts = _cuts_by_size(rows, key, size, n)
     bounds = F.array(*map(F.lit, cuts)).cast("array<bigint>")
     bucket = F.size(F.filter(bounds, lambda b: b <= F.col(key)))
     firsts = sorted((r["b"], r["k"]) for r in rows.groupBy(bucket.alias("b")).agg(F.min(key).alias("k")).collect())  # at most n rows
@@ -134,7 +151,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("__key", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
     rows = rows.withColumn("sig", signature(F.col("text")))
-    led = with_next(rows, "__key", ["text", "sig"], ["text"])
+    led = with_next(rows, "__key", ["text", "sig"], ["text"], F.octet_length("text") + 64)
     led = led.withColumn("n_chars", F.length("text").cast("long")).withColumn("__half", F.expr("cast(n_chars div 2 as int)"))
     edited = F.expr("concat(left(text, cast(n_chars as int) - __half), left(next_text, __half))")
     led = led.select("doc_id", "n_chars", edited.alias("edited"), "sig", "next_sig")

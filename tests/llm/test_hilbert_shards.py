@@ -49,3 +49,31 @@ def test_clashing_columns_empty_table_and_files(spark, tmp_path):
     write_shards(kept, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows())
     assert hilbert_shards(document_metadata(docs.limit(0)), ["source"], ["size"]).count() == 0
+
+
+def test_a_range_on_any_dimension_reads_few_shards(spark):
+    import random
+
+    rng = random.Random(5)
+    data = [(i, f"source{rng.randrange(40):02}", rng.choice("abcd") * 2, int(rng.lognormvariate(6, 1))) for i in range(4000)]
+    docs = spark.createDataFrame(data, "doc_id long, source string, lang string, size long")
+    got = hilbert_shards(docs, ["source", "lang"], ["size", "doc_id"], n_shards=64).collect()
+    for name, most in (("source", 45), ("lang", 45), ("size", 45), ("doc_id", 45)):
+        values = sorted(r[name] for r in got)
+        lo, hi = values[0], values[len(values) // 8]  # an eighth of the rows
+        bounds = {}
+        for r in got:
+            a, b = bounds.get(r["shard"], (r[name], r[name]))
+            bounds[r["shard"]] = (min(a, r[name]), max(b, r[name]))
+        assert sum(a <= hi and b >= lo for a, b in bounds.values()) <= most, name
+
+
+def test_many_categories_and_very_long_text(spark):
+    data = [(i, "long " * 300_000 if i == 5 else "t", f"{i * 7919 % 5000:04}", None, None) for i in range(3000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, lang string, shard string")
+    got = hilbert_shards(document_metadata(docs), ["source"], ["doc_id"], n_shards=16).collect()
+    assert len(got) == 3000 and max(r["size"] for r in got) == 1_500_001
+    sources = {}
+    for r in got:
+        sources.setdefault(r["shard"], []).append(r["source"])
+    assert sum(int(max(v)) - int(min(v)) for v in sources.values()) / len(sources) < 2500

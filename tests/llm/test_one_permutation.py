@@ -40,6 +40,12 @@ def test_against_brute_force(spark):
     assert got[360]["fingerprint"] == got[363]["fingerprint"]
 
 
+def test_very_long_text_and_hot_id(spark):
+    rows = [(1, "long words " * 200_000), (2, "b")] + [(9, f"same id {i % 3}") for i in range(400)]
+    got = fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows) and {r["n_chars"] for r in got if r["doc_id"] == 1} == {2_200_000}
+
+
 def test_edges(spark):
     schema = "doc_id long, text string"
     assert fingerprint_documents(spark.createDataFrame([], schema)).count() == 0
