@@ -15,26 +15,31 @@ from pyspark.sql.types import StringType
 
 _W = "[A-Za-z0-9_]"
 BOUNDARY = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
-START = END = BOUNDARY
 
 #: What a query's error text hides, in order, and what codes and classes look like in queries, in stored
 #: errors and in profiles. The three kinds of codes differ on purpose.
 ERROR_TEXT_STEPS = (
-    (rf"(?i){START}(?:[a-z]:)?[\\/](?:users|home|tmp|private|var|data)[\\/][^\s:]+", "<path>"),
-    (rf":\d+(?::\d+)?{END}", ":<line>"),
-    (rf"(?i){START}[0-9a-f]{{8}}-[0-9a-f-]{{27,}}{END}", "<uuid>"),
-    (rf"(?i){START}\d{{4}}-\d{{2}}-\d{{2}}[T ][0-9:.+-]+Z?{END}", "<timestamp>"),
+    (rf"(?i){BOUNDARY}(?:[a-z]:)?[\\/](?:users|home|tmp|private|var|data)[\\/][^\s:]+", "<path>"),
+    (rf":\d+(?::\d+)?{BOUNDARY}", ":<line>"),
+    (rf"(?i){BOUNDARY}[0-9a-f]{{8}}-[0-9a-f-]{{27,}}{BOUNDARY}", "<uuid>"),
+    (rf"(?i){BOUNDARY}\d{{4}}-\d{{2}}-\d{{2}}[T ][0-9:.+-]+Z?{BOUNDARY}", "<timestamp>"),
 )
-QUERY_CODES = (rf"(?i){START}(?:ERR_[A-Z0-9_]+|TS\d{{3,5}}|[A-Z]{{2,}}-\d{{2,}}){END}", rf"{START}E[A-Z]{{2,10}}{END}")
-STORED_CODES = rf"{START}(?:ERR_[A-Z0-9_]+|E[A-Z]{{2,10}}|TS\d{{3,5}}|[A-Z]{{2,}}-\d{{2,}}){END}"
-STORED_CLASSES = rf"{START}(?:[A-Za-z_$][\w$]*\.)*[A-Za-z_$][\w$]*(?:Error|Exception){END}"
-PROFILE_CODES = rf"{START}(?:ERR_[A-Z0-9_]+|TS\d{{3,5}}|EAS_[A-Z0-9_]+|[A-Z][A-Z0-9_]{{2,}}_ERROR|E[A-Z]{{2,}}\d*){END}"
-PROFILE_CLASSES = rf"{START}(?:(?:[A-Za-z_$][\w$]*)\.)*[A-Z][A-Za-z0-9_$]*(?:Error|Exception){END}"
+QUERY_CODES = (rf"(?i){BOUNDARY}(?:ERR_[A-Z0-9_]+|TS\d{{3,5}}|[A-Z]{{2,}}-\d{{2,}}){BOUNDARY}", rf"{BOUNDARY}E[A-Z]{{2,10}}{BOUNDARY}")
+STORED_CODES = rf"{BOUNDARY}(?:ERR_[A-Z0-9_]+|E[A-Z]{{2,10}}|TS\d{{3,5}}|[A-Z]{{2,}}-\d{{2,}}){BOUNDARY}"
+STORED_CLASSES = rf"{BOUNDARY}(?:[A-Za-z_$][\w$]*\.)*[A-Za-z_$][\w$]*(?:Error|Exception){BOUNDARY}"
+PROFILE_CODES = rf"{BOUNDARY}(?:ERR_[A-Z0-9_]+|TS\d{{3,5}}|EAS_[A-Z0-9_]+|[A-Z][A-Z0-9_]{{2,}}_ERROR|E[A-Z]{{2,}}\d*){BOUNDARY}"
+PROFILE_CLASSES = rf"{BOUNDARY}(?:(?:[A-Za-z_$][\w$]*)\.)*[A-Z][A-Za-z0-9_$]*(?:Error|Exception){BOUNDARY}"
 
 
 @F.pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+def _nfkc(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def nfkc(c: Column) -> Column:
+    """NFKC; only texts beyond ASCII go to Python."""
+    odd = c.rlike(r"[^\x00-\x7F]")
+    return F.when(odd, _nfkc(F.when(odd, c))).otherwise(c)
 
 
 def collapse(c: Column) -> Column:
@@ -122,13 +127,13 @@ def profile_exception_classes(c: Column) -> Column:
 
 #: What is transient in technical text, what replaces it, and the reason recorded, in order.
 TECHNICAL_STEPS = (
-    (rf"(?i){START}[A-Za-z]:\\(?:Users|Temp|tmp|AppData\\Local\\Temp)\\[^\s\"'`]+", "<path>", "normalized_windows_transient_path"),
+    (rf"(?i){BOUNDARY}[A-Za-z]:\\(?:Users|Temp|tmp|AppData\\Local\\Temp)\\[^\s\"'`]+", "<path>", "normalized_windows_transient_path"),
     (r"(?i)(?:/Users/[^\s/]+|/home/[^\s/]+|/tmp|/private/var/folders|/var/folders)/[^\s\"'`]+", "<path>", "normalized_posix_transient_path"),
     (r"(?i)(?:/(?:\.expo|\.gradle|\.cache|DerivedData|intermediates|tmp))/[0-9a-f-]{12,}(?=/|\s|$)", "/<build-id>", "normalized_transient_build_segment"),
-    (rf"(?i){START}[0-9a-f]{{8}}-[0-9a-f]{{4}}-[1-5][0-9a-f]{{3}}-[89ab][0-9a-f]{{3}}-[0-9a-f]{{12}}{END}", "<uuid>", "normalized_uuid"),
-    (rf"(?i){START}\d{{4}}-\d{{2}}-\d{{2}}[T ][0-2]\d:[0-5]\d:[0-5]\d(?:\.\d+)?(?:Z|[+-]\d{{2}}:?\d{{2}}){END}", "<timestamp>", "normalized_timestamp"),
-    (rf"(?i)(?<=\.[cm]?[jt]sx?|\.[a-z]{{1,5}}):\d+(?::\d+)?{END}", ":<line>", "normalized_stack_location"),
-    (rf"(?i){START}(build|request|trace|session|correlation)[-_ ]?id\s*[:=]\s*[0-9a-f-]{{16,}}{END}", "$1-id:<id>", "normalized_contextual_identifier"),
+    (rf"(?i){BOUNDARY}[0-9a-f]{{8}}-[0-9a-f]{{4}}-[1-5][0-9a-f]{{3}}-[89ab][0-9a-f]{{3}}-[0-9a-f]{{12}}{BOUNDARY}", "<uuid>", "normalized_uuid"),
+    (rf"(?i){BOUNDARY}\d{{4}}-\d{{2}}-\d{{2}}[T ][0-2]\d:[0-5]\d:[0-5]\d(?:\.\d+)?(?:Z|[+-]\d{{2}}:?\d{{2}}){BOUNDARY}", "<timestamp>", "normalized_timestamp"),
+    (rf"(?i)(?<=\.[cm]?[jt]sx?|\.[a-z]{{1,5}}):\d+(?::\d+)?{BOUNDARY}", ":<line>", "normalized_stack_location"),
+    (rf"(?i){BOUNDARY}(build|request|trace|session|correlation)[-_ ]?id\s*[:=]\s*[0-9a-f-]{{16,}}{BOUNDARY}", "$1-id:<id>", "normalized_contextual_identifier"),
 )
 
 

@@ -6,12 +6,13 @@ Rows have path, user_id, bucket, outcome and at. Everything is an aggregate by p
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tarnwork.functions.arrays import js_round
 from tarnwork.functions.scores import DAY_US, age_days, effective_size, grade, recency_weight, wilson
+from tarnwork.operators.folds import fold_in_order
 
 ATTEMPTED = ("solved", "partially_helped", "attempted_failed")
 HELPED = ("solved", "partially_helped")
@@ -27,23 +28,18 @@ def influence(df: DataFrame, originators: DataFrame | None = None, days: float =
     rows = df if originators is None else df.join(originators.select("path", "user_id", F.lit(True).alias("__own")).distinct(), ["path", "user_id"], "left")
     own = F.lit(False) if originators is None else F.coalesce("__own", F.lit(False))
     first = F.when(F.col("outcome") == "not_used", "not_evidence").when(own, "originator_non_independent")
-    rows = rows.withColumn("influence", first).drop("__own").withColumn("__t", F.unix_micros("at"))
+    rows = rows.drop("influence").withColumn("__first", first).drop("__own").withColumn("__t", F.unix_micros("at"))
     window = int(days * DAY_US)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__t", order], kind="stable")
-        last, out = None, []
-        for status, t in zip(pdf["influence"], pdf["__t"]):
-            if not isinstance(status, str):
-                if last is not None and last >= t - window:
-                    status = "duplicate_window"
-                else:
-                    status, last = "eligible", t
-            out.append(status)
-        pdf["influence"] = out
-        return pdf
-
-    return rows.groupBy("path", "user_id", "bucket").applyInPandas(fold, rows.schema).drop("__t")
+    def step(last: int | None, status: str | None, t: int | None) -> tuple[int | None, str]:
+        if status is not None:
+            return last, status
+        if last is not None and t is not None and last >= t - window:
+            return last, "duplicate_window"
+        return t, "eligible"
+
+    found = fold_in_order(rows, ["path", "user_id", "bucket"], ["__t", order], ["__first", "__t"], "influence", StringType(), None, step)
+    return found.drop("__t", "__first")
 
 
 def measures(as_of: Column) -> dict[str, Column]:

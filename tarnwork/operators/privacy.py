@@ -11,19 +11,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.functions.text import END, START, nfkc
+from tarnwork.functions.text import BOUNDARY, nfkc
 
 #: What each step looks for, and what it puts in its place.
 PATTERNS = {
     "control_character": (r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f​-‏‪-‮⁠﻿]", ""),
-    "internal_host": (rf"(?i){START}(?:https?://)?(?:[A-Za-z0-9-]+\.)+(?:internal|corp|lan|local)(?::\d{{1,5}})?{END}", "[REDACTED_INTERNAL_HOST]"),
-    "private_ip": (rf"{START}(?:10(?:\.\d{{1,3}}){{3}}|192\.168(?:\.\d{{1,3}}){{2}}|172\.(?:1[6-9]|2\d|3[01])(?:\.\d{{1,3}}){{2}}){END}", "[REDACTED_INTERNAL_HOST]"),
-    "repository_url": (rf"(?i){START}https?://(?:github\.com|gitlab\.com|bitbucket\.org)/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+(?:\.git)?{END}", "[REDACTED_REPOSITORY]"),
-    "secret": (rf"{START}(?:AKIA[A-Z0-9]{{16}}|gh[pousr]_[A-Za-z0-9]{{36,}}|xox[abprs]-[A-Za-z0-9-]{{10,}}|sk_live_[A-Za-z0-9]{{16,}}|npm_[A-Za-z0-9]{{36}}){END}|-----BEGIN [A-Z ]*PRIVATE KEY-----(?s:.*?)-----END [A-Z ]*PRIVATE KEY-----", "[REDACTED_SECRET]"),
-    "email": (rf"(?i){START}[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}{END}", "[REDACTED_EMAIL]"),
+    "internal_host": (rf"(?i){BOUNDARY}(?:https?://)?(?:[A-Za-z0-9-]+\.)+(?:internal|corp|lan|local)(?::\d{{1,5}})?{BOUNDARY}", "[REDACTED_INTERNAL_HOST]"),
+    "private_ip": (rf"{BOUNDARY}(?:10(?:\.\d{{1,3}}){{3}}|192\.168(?:\.\d{{1,3}}){{2}}|172\.(?:1[6-9]|2\d|3[01])(?:\.\d{{1,3}}){{2}}){BOUNDARY}", "[REDACTED_INTERNAL_HOST]"),
+    "repository_url": (rf"(?i){BOUNDARY}https?://(?:github\.com|gitlab\.com|bitbucket\.org)/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+(?:\.git)?{BOUNDARY}", "[REDACTED_REPOSITORY]"),
+    "secret": (rf"{BOUNDARY}(?:AKIA[A-Z0-9]{{16}}|gh[pousr]_[A-Za-z0-9]{{36,}}|xox[abprs]-[A-Za-z0-9-]{{10,}}|sk_live_[A-Za-z0-9]{{16,}}|npm_[A-Za-z0-9]{{36}}){BOUNDARY}|-----BEGIN [A-Z ]*PRIVATE KEY-----(?s:.*?)-----END [A-Z ]*PRIVATE KEY-----", "[REDACTED_SECRET]"),
+    "email": (rf"(?i){BOUNDARY}[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}{BOUNDARY}", "[REDACTED_EMAIL]"),
     "unix_home": (r"/(?:Users|home)/[^/\s]+", r"\$HOME"),
     "windows_home": (r"[A-Za-z]:\\Users\\[^\\\s]+", r"\$HOME"),
-    "credential_url": (rf"(?i){START}((?:https?|ssh|git|mongodb(?:\+srv)?)://)[^\s/@:]+:[^\s/@]+@", "$1"),
+    "credential_url": (rf"(?i){BOUNDARY}((?:https?|ssh|git|mongodb(?:\+srv)?)://)[^\s/@:]+:[^\s/@]+@", "$1"),
     "sensitive_query": (r"(?i)([?&](?:token|key|api_key|apikey|secret|password|signature|credential)=)[^&#\s]+", r"$1[REDACTED]"),
 }
 #: Text that every match of a step holds: rows without it skip the pattern.
@@ -31,11 +31,11 @@ NEEDED = {"repository_url": "://", "email": "@", "unix_home": "/", "windows_home
 STEPS = tuple(PATTERNS)
 SHORT_STEPS = ("control_character", "secret", "email", "unix_home", "windows_home", "credential_url", "sensitive_query")
 INJECTION = (
-    rf"(?i){START}ignore (?:all |any )?(?:previous|prior|system|developer) instructions{END}",
-    rf"(?i){START}(?:reveal|print|exfiltrate|send) (?:the )?(?:system prompt|credentials|secrets?|tokens?){END}",
-    rf"(?i){START}(?:execute|call|invoke) (?:this |the )?(?:tool|command){END}",
-    rf"(?i){START}you are now (?:the |an? )?",
-    rf"(?i){START}do not treat (?:this|the following) as data{END}",
+    rf"(?i){BOUNDARY}ignore (?:all |any )?(?:previous|prior|system|developer) instructions{BOUNDARY}",
+    rf"(?i){BOUNDARY}(?:reveal|print|exfiltrate|send) (?:the )?(?:system prompt|credentials|secrets?|tokens?){BOUNDARY}",
+    rf"(?i){BOUNDARY}(?:execute|call|invoke) (?:this |the )?(?:tool|command){BOUNDARY}",
+    rf"(?i){BOUNDARY}you are now (?:the |an? )?",
+    rf"(?i){BOUNDARY}do not treat (?:this|the following) as data{BOUNDARY}",
 )
 CODE_LINE = r"^\s*(?:import |export |class |function |const |let |var |interface |type |[{}]|</?[A-Za-z])"
 
@@ -44,8 +44,11 @@ def step(df: DataFrame, name: str) -> DataFrame:
     """Replace what the step looks for in ``text``; ``found`` (int) counts it. A null text has none."""
     pattern, put = PATTERNS[name]
     may = F.col("text").contains(NEEDED.get(name, ""))
-    found = F.when(may, F.regexp_count("text", F.lit(pattern))).otherwise(0)
-    return df.withColumns({"found": found, "text": F.when(may, F.regexp_replace("text", pattern, put)).otherwise(F.col("text"))})
+    out = df.withColumn("__new", F.when(may, F.regexp_replace("text", pattern, put)).otherwise(F.col("text")))
+    # most texts have no match: they are searched once, and counted in only if they changed or might hold what is put in
+    some = (F.col("__new") != F.col("text")) | F.col("text").contains("[REDACTED]")
+    found = F.when(some, F.regexp_count("text", F.lit(pattern))).otherwise(0)
+    return out.withColumn("found", found).withColumn("text", F.col("__new")).drop("__new")
 
 
 def injection_hits(c: Column) -> Column:
@@ -74,11 +77,11 @@ def sanitize(df: DataFrame, steps: tuple[str, ...] = STEPS) -> DataFrame:
     for name in steps:
         out = step(out, name).withColumnRenamed("found", f"n_{name}")
     total = sum(F.coalesce(F.col(f"n_{s}"), F.lit(0)) for s in steps)
-    bad = residual_secret(F.col("text")) | mostly_redacted(F.col("__size"), F.length("text"))
+    bad = residual_secret(F.col("text")) | excessive_source(F.col("text")) | mostly_redacted(F.col("__size"), F.length("text"))
     status = (
         F.when(bad, "rejected")
         .when(injection_hits(F.col("text")) > 0, "quarantined")
-        .when((total > 0) | excessive_source(F.col("text")), "sanitized")
+        .when(total > 0, "sanitized")
         .otherwise("clean")
     )
     return out.withColumn("status", status).drop("__size")

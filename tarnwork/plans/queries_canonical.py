@@ -11,16 +11,16 @@ from tarnwork.plans.shared import written
 _TOK = "list_filter(regexp_split_to_array({0}, '[^a-z0-9_@./<>:-]+'), lambda x: length(x) > 1)"
 _SH = "list_transform(list_distinct(CASE WHEN len({0}) >= 3 THEN list_transform(range(1, len({0}) - 1), lambda i: {0}[i] || ' ' || {0}[i+1] || ' ' || {0}[i+2]) WHEN len({0}) > 0 THEN [array_to_string({0}, ' ')] ELSE CAST([] AS VARCHAR[]) END), lambda x: sha256(x))"
 _CLEAN = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
-#: Profiles of documents: first lines as the problem, the next as the solution.
+#: Profiles of documents: the first line as the problem, the rest as the solution.
 _PROF = f"""(SELECT doc_id AS candidate_id, source AS ecosystem, lang AS platform, problem, solution, sha256(problem || chr(10) || solution) AS fingerprint, {_SH.format("pw")} AS ps, {_SH.format("sw")} AS ss
-  FROM (SELECT *, {_TOK.format("problem")} AS pw, {_TOK.format("solution")} AS sw FROM (SELECT doc_id, 'eco' || (length(text) % 5) AS source, lang, {_CLEAN.format("text[1:120]")} AS problem, {_CLEAN.format("text[121:320]")} AS solution FROM documents)))"""
+  FROM (SELECT *, {_TOK.format("problem")} AS pw, {_TOK.format("solution")} AS sw FROM (SELECT doc_id, lang AS source, lang, {_CLEAN.format("split_part(text, chr(10), 1)")} AS problem, {_CLEAN.format("text[length(split_part(text, chr(10), 1)) + 2:]")} AS solution FROM documents)))"""
 
 
 def found(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    eco = F.concat(F.lit("eco"), F.length("text") % 5)
+    problem, solution = F.substring_index("text", "\n", 1), F.expr("substring(text, length(substring_index(text, '\n', 1)) + 2)")
     profiles = canonical.profiles(
-        d.select(F.col("doc_id").alias("candidate_id"), eco.alias("ecosystem"), F.array(F.lit("p")).alias("packages"), F.array("lang").alias("platforms"), F.substring("text", 1, 120).alias("problem"), F.substring("text", 121, 200).alias("solution"), F.lit("").alias("error"))
+        d.select(F.col("doc_id").alias("candidate_id"), F.col("lang").alias("ecosystem"), F.array(F.lit("p")).alias("packages"), F.array("lang").alias("platforms"), problem.alias("problem"), solution.alias("solution"), F.lit("").alias("error"))
     )
     return written(profiles, "profiles")
 
@@ -86,18 +86,18 @@ def a16(spark, sf_dir):
 
 @query(
     "R14_canonical_projection",
-    "SELECT source AS record_id, arg_min(doc_id, (-(n_chars % 101), length(text[1:120]), doc_id)) AS representative, max(n_chars % 101) AS trust, count(*) AS members, array_to_string(list_sort(list_distinct(list(lang))), ',') AS variants, array_to_string(list_sort(list_distinct(list('c' || (doc_id % 4)))), ',') AS caveats FROM documents GROUP BY 1",
+    "SELECT source AS record_id, arg_min(doc_id, (-(n_chars % 101), length(text), doc_id)) AS representative, max(n_chars % 101) AS trust, count(*) AS members, array_to_string(list_sort(list_distinct(list(lang))), ',') AS variants, array_to_string(list_sort(list_distinct(list('c' || (doc_id % 4)))), ',') AS caveats FROM documents GROUP BY 1",
 )
 def r14(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    m = d.select(F.col("source").alias("record_id"), F.col("doc_id").alias("candidate_id"), (F.col("n_chars") % 101).alias("score"), F.substring("text", 1, 120).alias("problem"), F.col("lang").alias("solution_key"), F.array(F.concat(F.lit("c"), F.col("doc_id") % 4)).alias("caveats"))
+    m = d.select(F.col("source").alias("record_id"), F.col("doc_id").alias("candidate_id"), (F.col("n_chars") % 101).alias("score"), F.col("text").alias("problem"), F.col("lang").alias("solution_key"), F.array(F.concat(F.lit("c"), F.col("doc_id") % 4)).alias("caveats"))
     got = canonical.project(m)
     return got.withColumns({"variants": F.array_join("variants", ","), "caveats": F.array_join("caveats", ",")})
 
 
-@query("R19_candidate_assembly", "SELECT conv_id AS candidate_id, arg_min(text, turn)[1:100] AS problem, arg_max(text, turn)[1:100] AS solution, count(*) FILTER (WHERE role = 'assistant') AS steps FROM conversations GROUP BY 1")
+@query("R19_candidate_assembly", "SELECT conv_id AS candidate_id, arg_min(text, turn) AS problem, arg_max(text, turn) AS solution, count(*) FILTER (WHERE role = 'assistant') AS steps FROM conversations GROUP BY 1")
 def r19(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").withColumn("head", F.substring("text", 1, 100))
-    return c.groupBy(F.col("conv_id").alias("candidate_id")).agg(F.min_by("head", "turn").alias("problem"), F.max_by("head", "turn").alias("solution"), F.count_if(F.col("role") == "assistant").alias("steps"))
+    c = table(spark, sf_dir, "conversations")
+    return c.groupBy(F.col("conv_id").alias("candidate_id")).agg(F.min_by("text", "turn").alias("problem"), F.max_by("text", "turn").alias("solution"), F.count_if(F.col("role") == "assistant").alias("steps"))
 
 

@@ -123,12 +123,12 @@ _WORDS = "len(list_filter(regexp_split_to_array(trim({0}), '\\s+'), lambda x: x
 
 @query(
     "R6_contribution_quality",
-    f"""WITH d AS (SELECT doc_id, text[1:60] AS problem, text[61:160] AS solution, lang, source, n_chars, CASE doc_id % 11 WHEN 0 THEN ' a missing semicolon' WHEN 1 THEN ' in our repo only' WHEN 2 THEN ' then rm -rf it' ELSE '' END AS extra FROM documents)
+    f"""WITH d AS (SELECT doc_id, split_part(text, chr(10), 1) AS problem, text[length(split_part(text, chr(10), 1)) + 2:] AS solution, lang, source, n_chars, CASE doc_id % 11 WHEN 0 THEN ' a missing semicolon' WHEN 1 THEN ' in our repo only' WHEN 2 THEN ' then rm -rf it' ELSE '' END AS extra FROM documents)
     SELECT doc_id, CASE WHEN {_WORDS.format("problem")} < 6 OR {_WORDS.format("solution")} < 6 OR doc_id % 13 = 0 OR doc_id % 11 IN (0, 1) THEN 'rejected' WHEN doc_id % 5 = 0 OR doc_id % 11 = 2 THEN 'review' ELSE 'eligible' END AS decision FROM d""",
 )
 def r6(spark, sf_dir):
     extra = F.when(F.col("doc_id") % 11 == 0, " a missing semicolon").when(F.col("doc_id") % 11 == 1, " in our repo only").when(F.col("doc_id") % 11 == 2, " then rm -rf it").otherwise("")
-    problem, solution = F.substring("text", 1, 60), F.substring("text", 61, 100)
+    problem, solution = F.substring_index("text", "\n", 1), F.expr("substring(text, length(substring_index(text, '\n', 1)) + 2)")
     applies = F.when(F.col("doc_id") % 5 != 0, F.lit("when the cache is cold"))
     s = contributions.quality_signals(problem, F.lit(1), solution, F.lit(1), F.when(F.col("doc_id") % 13 == 0, 0).otherwise(1), applies, F.lit(1), F.lit("tests pass again"), F.concat_ws("\n", F.lit("x"), extra))
     return table(spark, sf_dir, "documents").select("doc_id", contributions.quality_decision(s).alias("decision"))

@@ -60,7 +60,14 @@ def t9(spark, sf_dir):
     return g.select("user_id", (F.col("seen") >= F.expr("timestamp'2024-01-29 23:55:00' - interval 5 minutes")).alias("alive"))
 
 
-@query("O4_budgeted_prefix")
+@query(
+    "O4_budgeted_prefix",
+    """WITH RECURSIVE r AS (SELECT conv_id, turn, length(text) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
+    f AS (SELECT conv_id, turn, chars, rn, chars <= 1500 AS kept, CASE WHEN chars <= 1500 THEN 1500 - chars ELSE 1500 END AS room FROM r WHERE rn = 1
+     UNION ALL SELECT r.conv_id, r.turn, r.chars, r.rn, r.chars <= f.room, CASE WHEN r.chars <= f.room THEN f.room - r.chars ELSE f.room END FROM f JOIN r ON r.conv_id = f.conv_id AND r.rn = f.rn + 1)
+    SELECT conv_id, turn, chars, kept FROM f""",
+    ints=("chars",),
+)
 def o4(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("chars"))
     return incremental.greedy_prefix(c, "conv_id", "turn", "chars", 1_500)

@@ -163,12 +163,12 @@ def x18(spark, sf_dir):
 
 @query(
     "R16_search_projection",
-    "SELECT doc_id, sha256(title || chr(10) || problem || chr(10) || ecosystem || chr(10) || text[1:60000]) AS content_hash, sha256(trust || '|' || moderation || '|' || freshness || '|' || status) AS state_hash, length(text[1:60000]) AS chars FROM (" + _DOC + ")", ints=("chars",))
+    "SELECT doc_id, sha256(title || chr(10) || problem || chr(10) || ecosystem || chr(10) || text[1:200000]) AS content_hash, sha256(trust || '|' || moderation || '|' || freshness || '|' || status) AS state_hash, length(text[1:200000]) AS chars FROM (" + _DOC + ")", ints=("chars",))
 def r16(spark, sf_dir):
     d = documents(spark, sf_dir)
-    body = F.concat_ws("\n", "title", "problem", "ecosystem", F.substring("text", 1, 60_000))
+    body = F.concat_ws("\n", "title", "problem", "ecosystem", F.substring("text", 1, 200_000))
     state = F.concat_ws("|", "trust", "moderation", "freshness", "status")
-    return d.select("doc_id", F.sha2(body.cast("binary"), 256).alias("content_hash"), F.sha2(state.cast("binary"), 256).alias("state_hash"), F.length(F.substring("text", 1, 60_000)).alias("chars"))
+    return d.select("doc_id", F.sha2(body.cast("binary"), 256).alias("content_hash"), F.sha2(state.cast("binary"), 256).alias("state_hash"), F.length(F.substring("text", 1, 200_000)).alias("chars"))
 
 
 @query("R17_activation", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) = 1 AS active FROM orders")

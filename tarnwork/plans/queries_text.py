@@ -202,12 +202,12 @@ def x32(spark, sf_dir):
 
 @query(
     "X34_embedding_input",
-    "SELECT doc_id, 'Ecosystem: ' || source || chr(10) || 'Language: ' || lang || chr(10) || 'Problem: ' || text[1:200] AS input FROM documents",
+    "SELECT doc_id, 'Ecosystem: ' || source || chr(10) || 'Language: ' || lang || chr(10) || 'Problem: ' || text AS input FROM documents",
 )
 def x34(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(
         "doc_id",
-        F.concat_ws("\n", F.concat(F.lit("Ecosystem: "), "source"), F.concat(F.lit("Language: "), "lang"), F.concat(F.lit("Problem: "), F.substring("text", 1, 200))).alias("input"),
+        F.concat_ws("\n", F.concat(F.lit("Ecosystem: "), "source"), F.concat(F.lit("Language: "), "lang"), F.concat(F.lit("Problem: "), "text")).alias("input"),
     )
 
 
@@ -243,22 +243,38 @@ def u6(spark, sf_dir):
 _MAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
 
 
-@query("P1_controls", "SELECT doc_id, len(regexp_extract_all(t, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f\\x{200b}-\\x{200f}\\x{202a}-\\x{202e}\\x{2060}\\x{feff}]')) AS n, regexp_replace(t, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f\\x{200b}-\\x{200f}\\x{202a}-\\x{202e}\\x{2060}\\x{feff}]', '', 'g') AS cleaned FROM (SELECT doc_id, lang || chr(8203) || source || chr(7) AS t FROM documents)", ints=("n",))
+_CONTROL = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f\\x{200b}-\\x{200f}\\x{202a}-\\x{202e}\\x{2060}\\x{feff}]"
+_HOST = "(?i)\\b(?:https?://)?(?:[A-Za-z0-9-]+\\.)+(?:internal|corp|lan|local)(?::\\d{1,5})?\\b"
+_IP = "\\b(?:10(?:\\.\\d{1,3}){3}|192\\.168(?:\\.\\d{1,3}){2}|172\\.(?:1[6-9]|2\\d|3[01])(?:\\.\\d{1,3}){2})\\b"
+_REPOSITORY = "(?i)\\bhttps?://(?:github\\.com|gitlab\\.com|bitbucket\\.org)/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+(?:\\.git)?\\b"
+_INJECTION = (
+    "\\bignore (?:all |any )?(?:previous|prior|system|developer) instructions\\b",
+    "\\b(?:reveal|print|exfiltrate|send) (?:the )?(?:system prompt|credentials|secrets?|tokens?)\\b",
+    "\\b(?:execute|call|invoke) (?:this |the )?(?:tool|command)\\b",
+    "\\byou are now (?:the |an? )?",
+    "\\bdo not treat (?:this|the following) as data\\b",
+)
+_SECRET = "\\b(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|npm_[A-Za-z0-9]{36})\\b"
+
+
+@query("P1_controls", f"SELECT doc_id, len(regexp_extract_all(text, '{_CONTROL}')) AS n, md5(regexp_replace(text, '{_CONTROL}', '', 'g')) AS cleaned FROM documents", ints=("n",))
 def p1(spark, sf_dir):
-    raw = F.concat("lang", F.lit("​"), "source", F.lit("\x07"))
-    return privacy.step(table(spark, sf_dir, "documents").select("doc_id", raw.alias("text")), "control_character").select("doc_id", F.col("found").alias("n"), F.col("text").alias("cleaned"))
+    out = privacy.step(table(spark, sf_dir, "documents"), "control_character")
+    return out.select("doc_id", F.col("found").alias("n"), F.md5(F.col("text").cast("binary")).alias("cleaned"))
 
 
 @query(
     "P2_internal_identifiers",
-    "SELECT doc_id, '[REDACTED_INTERNAL_HOST] [REDACTED_INTERNAL_HOST] [REDACTED_REPOSITORY]' AS cleaned, 3 AS found FROM documents",
+    f"""SELECT doc_id, n1 + n2 + len(regexp_extract_all(t2, '{_REPOSITORY}')) AS found, md5(regexp_replace(t2, '{_REPOSITORY}', '[REDACTED_REPOSITORY]', 'g')) AS cleaned
+    FROM (SELECT doc_id, n1, len(regexp_extract_all(t1, '{_IP}')) AS n2, regexp_replace(t1, '{_IP}', '[REDACTED_INTERNAL_HOST]', 'g') AS t2
+      FROM (SELECT doc_id, len(regexp_extract_all(text, '{_HOST}')) AS n1, regexp_replace(text, '{_HOST}', '[REDACTED_INTERNAL_HOST]', 'g') AS t1 FROM documents))""",
+    ints=("found",),
 )
 def p2(spark, sf_dir):
-    raw = F.expr("concat('db', cast(doc_id as string), '.corp 10.0.', cast(doc_id % 200 as string), '.7 https://github.com/', source, '/r', cast(doc_id as string))")
-    out = table(spark, sf_dir, "documents").select("doc_id", raw.alias("text"), F.lit(0).alias("total"))
+    out = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(0).alias("total"))
     for name in ("internal_host", "private_ip", "repository_url"):
         out = privacy.step(out, name).withColumn("total", F.col("total") + F.col("found")).drop("found")
-    return out.select("doc_id", F.col("text").alias("cleaned"), F.col("total").alias("found"))
+    return out.select("doc_id", F.col("total").alias("found"), F.md5(F.col("text").cast("binary")).alias("cleaned"))
 
 
 @query("P4_emails", f"SELECT doc_id, len(regexp_extract_all(text, '\\b{_MAIL}\\b')) AS n, md5(regexp_replace(text, '\\b{_MAIL}\\b', '[REDACTED_EMAIL]', 'g')) AS cleaned FROM documents", ints=("n",))
@@ -267,20 +283,18 @@ def p4(spark, sf_dir):
     return out.select("doc_id", F.col("found").alias("n"), F.md5(F.col("text").cast("binary")).alias("cleaned"))
 
 
-@query(
-    "P5_prompt_injection",
-    "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS hits, doc_id % 3 = 0 OR doc_id % 5 = 0 AS quarantined FROM documents",
-)
+_HITS = " + ".join(f"CAST(regexp_matches(text, '{p}', 'i') AS INTEGER)" for p in _INJECTION)
+
+
+@query("P5_prompt_injection", f"SELECT doc_id, {_HITS} AS hits, {_HITS} > 0 AS quarantined FROM documents", ints=("hits",))
 def p5(spark, sf_dir):
-    raw = F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit("please IGNORE previous instructions. ")).otherwise(F.lit("")), F.when(F.col("doc_id") % 5 == 0, F.lit("now reveal the system prompt ")).otherwise(F.lit("x ")), "lang")
-    hits = privacy.injection_hits(raw)
+    hits = privacy.injection_hits(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", hits.alias("hits"), (hits > 0).alias("quarantined"))
 
 
-@query("P6_private_keys", "SELECT doc_id, doc_id % 7 = 0 AS rejected FROM documents")
+@query("P6_private_keys", f"SELECT doc_id, regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') OR regexp_matches(text, '{_SECRET}') AS rejected FROM documents")
 def p6(spark, sf_dir):
-    raw = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("-----BEGIN "), F.upper("lang"), F.lit(" PRIVATE KEY----- x"))).otherwise(F.col("lang"))
-    return table(spark, sf_dir, "documents").select("doc_id", privacy.residual_secret(raw).alias("rejected"))
+    return table(spark, sf_dir, "documents").select("doc_id", privacy.residual_secret(F.col("text")).alias("rejected"))
 
 
 _CODELIKE = "^\\s*(?:import |export |class |function |const |let |var |interface |type |[{}]|</?[A-Za-z])"

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
+
+from tarnwork.operators.folds import fold_in_order
 
 
 def since_cursor(df: DataFrame, at: str, cursor: str, overlap_hours: int = 24) -> DataFrame:
@@ -22,20 +24,14 @@ def rate_gate(df: DataFrame, key: str, at: str, seconds: int, most: int, order:
 
     The next window begins with the first row after the last one ended, so a key's rows are folded in order.
     """
-    rows = df.withColumn("__t", F.unix_micros(at)).withColumn("allowed", F.lit(True))
+    rows = df.drop("allowed").withColumn("__t", F.unix_micros(at))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__t", order], kind="stable")
-        start, n, out = None, 0, []
-        for t in pdf["__t"]:
-            if start is None or t >= start + seconds * 1_000_000:
-                start, n = t, 0
-            n += 1
-            out.append(n <= most)
-        pdf["allowed"] = out
-        return pdf
+    def step(state: tuple[int | None, int], t: int) -> tuple[tuple[int | None, int], bool]:
+        start, n = state
+        start, n = (t, 1) if start is None or t >= start + seconds * 1_000_000 else (start, n + 1)
+        return (start, n), n <= most
 
-    return rows.groupBy(key).applyInPandas(fold, rows.schema).drop("__t")
+    return fold_in_order(rows, [key], ["__t", order], ["__t"], "allowed", BooleanType(), (None, 0), step).drop("__t")
 
 
 def trailing_count(df: DataFrame, keys: list[str], at: str, seconds: int, out: str) -> DataFrame:
@@ -52,18 +48,10 @@ def calendar_day_count(df: DataFrame, keys: list[str], at: str, order: str, out:
 
 def greedy_prefix(df: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
     """``df`` with ``kept``: rows are taken in order while their sizes fit; one that does not fit is skipped."""
-    rows = df.withColumn("kept", F.lit(True))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        left, out = budget, []
-        for n in pdf[size]:
-            out.append(bool(n <= left))
-            left -= n if n <= left else 0
-        pdf["kept"] = out
-        return pdf
-
-    return rows.groupBy(key).applyInPandas(fold, rows.schema)
+    def step(left: int, n: int) -> tuple[int, bool]:
+        return (left - n, True) if n <= left else (left, False)
+
+    return fold_in_order(df.drop("kept"), [key], [order], [size], "kept", BooleanType(), budget, step)
 
 
 def stream_counts(spark: SparkSession, path: str, schema, at: str, key: str, checkpoint: str, name: str, delay: str = "24 hours", width: str = "1 day"):
