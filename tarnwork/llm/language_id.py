@@ -187,9 +187,10 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
     drawn = usable.join(F.broadcast(shares), "lang").where(draw < F.col("share"))  # LANGUAGES rows at most
     measure = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < int((1 << 20) * MEASURED)
     counted = drawn.where(~measure).select("lang", "text").mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    table = counted.toArrow().to_pydict()
-    langs, gram, n = np.array(table["lang"], object), np.array(table["gram"], np.int64), np.array(table["n"], np.int64)
-    grams = {lang: (gram[langs == lang], n[langs == lang]) for lang in sorted(set(table["lang"]))}
+    table = counted.toArrow()
+    langs = table["lang"].combine_chunks().dictionary_encode()
+    code, gram, n = langs.indices.to_numpy(zero_copy_only=False), table["gram"].to_numpy(), table["n"].to_numpy()
+    grams = {lang: (gram[code == i], n[code == i]) for i, lang in enumerate(langs.dictionary.to_pylist())}
     if not grams:
         return None
     model = build_model(grams, sizes)

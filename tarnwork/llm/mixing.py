@@ -86,11 +86,11 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, path
     rows = written(rows, "labelled")
     if rows.select("domain").distinct().limit(2).count() < 2:
         return None
-    encode = encoder(path or vocabulary_path())
+    path = path or vocabulary_path()
 
     @F.udf(VectorUDT())
     def bag(text: str) -> SparseVector:
-        return SparseVector(END_OF_TEXT + 1, *_bag(encode(text)))
+        return SparseVector(END_OF_TEXT + 1, *_bag(encoder(path)(text)))
 
     fit = LogisticRegression(featuresCol="bag", labelCol="domain", family="multinomial", regParam=SHRINK, maxIter=25)
     model = fit.fit(rows.select(bag("text").alias("bag"), "domain"))
