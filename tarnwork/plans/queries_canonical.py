@@ -11,16 +11,28 @@ from tarnwork.plans.shared import written
 _TOK = "list_filter(regexp_split_to_array({0}, '[^a-z0-9_@./<>:-]+'), lambda x: length(x) > 1)"
 _SH = "list_transform(list_distinct(CASE WHEN len({0}) >= 3 THEN list_transform(range(1, len({0}) - 1), lambda i: {0}[i] || ' ' || {0}[i+1] || ' ' || {0}[i+2]) WHEN len({0}) > 0 THEN [array_to_string({0}, ' ')] ELSE CAST([] AS VARCHAR[]) END), lambda x: sha256(x))"
 _CLEAN = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
-#: Profiles of documents: the first line as the problem, the rest as the solution.
-_PROF = f"""(SELECT doc_id AS candidate_id, source AS ecosystem, lang AS platform, problem, solution, sha256(problem || chr(10) || solution) AS fingerprint, {_SH.format("pw")} AS ps, {_SH.format("sw")} AS ss
-  FROM (SELECT *, {_TOK.format("problem")} AS pw, {_TOK.format("solution")} AS sw FROM (SELECT doc_id, lang AS source, lang, {_CLEAN.format("split_part(text, chr(10), 1)")} AS problem, {_CLEAN.format("text[length(split_part(text, chr(10), 1)) + 2:]")} AS solution FROM documents)))"""
+_WORDS = "list_filter(list_distinct(regexp_split_to_array({0}, '[^a-z0-9_]+')), lambda x: length(x) > 2)"
+#: Profiles of documents: the first line as the problem, the rest as the solution, the last of several lines as the
+#: root cause, numbers with a point as versions, and the first line that has one as the error.
+_PROF = f"""(SELECT doc_id AS candidate_id, source AS ecosystem, lang AS platform, problem, solution, sha256(problem || chr(10) || solution) AS fingerprint, {_SH.format("pw")} AS ps, {_SH.format("sw")} AS ss, CASE WHEN cause <> '' THEN {_WORDS.format("cause")} END AS rw, list_distinct(list_transform(versions, lambda v: regexp_extract(v, '^[0-9]+'))) AS majors, CASE WHEN error <> '' THEN sha256(error) END AS error_fingerprint
+  FROM (SELECT *, {_TOK.format("problem")} AS pw, {_TOK.format("solution")} AS sw FROM (SELECT doc_id, lang AS source, lang, {_CLEAN.format("split_part(text, chr(10), 1)")} AS problem, {_CLEAN.format("text[length(split_part(text, chr(10), 1)) + 2:]")} AS solution, {_CLEAN.format("CASE WHEN contains(text, chr(10)) THEN split_part(text, chr(10), -1) END")} AS cause, regexp_extract_all(text, '[0-9]+\\.[0-9]+') AS versions, {_CLEAN.format("list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[0-9]\\.[0-9]'))[1]")} AS error FROM documents)))"""
 
 
 def found(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    problem, solution = F.substring_index("text", "\n", 1), F.expr("substring(text, length(substring_index(text, '\n', 1)) + 2)")
+    lines = F.split("text", "\n")
     profiles = canonical.profiles(
-        d.select(F.col("doc_id").alias("candidate_id"), F.col("lang").alias("ecosystem"), F.array(F.lit("p")).alias("packages"), F.array("lang").alias("platforms"), problem.alias("problem"), solution.alias("solution"), F.lit("").alias("error"))
+        d.select(
+            F.col("doc_id").alias("candidate_id"),
+            F.col("lang").alias("ecosystem"),
+            F.array(F.lit("p")).alias("packages"),
+            F.array("lang").alias("platforms"),
+            F.substring_index("text", "\n", 1).alias("problem"),
+            F.expr("substring(text, length(substring_index(text, '\n', 1)) + 2)").alias("solution"),
+            F.when(F.size(lines) > 1, F.element_at(lines, -1)).alias("root_cause"),
+            F.regexp_extract_all("text", F.lit(r"[0-9]+\.[0-9]+"), F.lit(0)).alias("versions"),
+            F.get(F.filter(lines, lambda x: x.rlike(r"[0-9]\.[0-9]")), F.lit(0)).alias("error"),
+        )
     )
     return written(profiles, "profiles")
 
@@ -31,9 +43,12 @@ def r9(spark, sf_dir):
     return p.select("candidate_id", "fingerprint", F.size("problem_shingles").alias("problem_shingles"), F.size("solution_shingles").alias("solution_shingles"), F.sha2(F.array_join("problem_shingles", ",").cast("binary"), 256).alias("problem_digest"))
 
 
-_KEYS = f"""(SELECT candidate_id, unnest(list_concat(list_concat(['same|' || ecosystem || '|' || fingerprint], list_transform(list_sort(ps)[1:24], lambda s: 'problem|' || ecosystem || '|' || platform || '|' || s)), list_transform(list_sort(ss)[1:24], lambda s: 'solution|' || ecosystem || '|' || platform || '|' || s))) AS key FROM {_PROF})"""
+_KEYS = f"""(SELECT candidate_id, unnest(list_concat(list_concat(list_concat(['same|' || ecosystem || '|' || fingerprint], CASE WHEN error_fingerprint IS NOT NULL THEN ['error|' || ecosystem || '|' || error_fingerprint] ELSE [] END), list_transform(list_sort(ps)[1:24], lambda s: 'problem|' || ecosystem || '|' || platform || '|' || s)), list_transform(list_sort(ss)[1:24], lambda s: 'solution|' || ecosystem || '|' || platform || '|' || s))) AS key FROM {_PROF})"""
 _PAIRS = f"(SELECT DISTINCT a.candidate_id AS left_id, b.candidate_id AS right_id FROM {_KEYS} a JOIN {_KEYS} b ON a.key = b.key AND a.candidate_id < b.candidate_id)"
-_CMP = f"""(SELECT left_id, right_id, l.fingerprint = r.fingerprint AS same, len(list_intersect(l.ps, r.ps)) / CAST(len(list_distinct(list_concat(l.ps, r.ps))) AS DOUBLE) AS problem, CASE WHEN len(list_distinct(list_concat(l.ss, r.ss))) = 0 THEN 1.0 ELSE len(list_intersect(l.ss, r.ss)) / CAST(len(list_distinct(list_concat(l.ss, r.ss))) AS DOUBLE) END AS solution, l.ecosystem <> r.ecosystem OR l.platform <> r.platform AS hard FROM {_PAIRS} p JOIN {_PROF} l ON l.candidate_id = p.left_id JOIN {_PROF} r ON r.candidate_id = p.right_id)"""
+_JAC = "CASE WHEN len(list_distinct(list_concat({0}, {1}))) = 0 THEN 1.0 ELSE len(list_intersect({0}, {1})) / CAST(len(list_distinct(list_concat({0}, {1}))) AS DOUBLE) END"
+_CMP = f"""(SELECT left_id, right_id, l.fingerprint = r.fingerprint AS same, coalesce(l.error_fingerprint = r.error_fingerprint, false) AS same_error, {_JAC.format("l.ps", "r.ps")} AS problem, {_JAC.format("l.ss", "r.ss")} AS solution,
+  concat_ws(',', CASE WHEN l.ecosystem <> r.ecosystem THEN 'incompatible_ecosystem' END, CASE WHEN l.platform <> r.platform THEN 'incompatible_platform' END, CASE WHEN len(l.majors) > 0 AND len(r.majors) > 0 AND len(list_intersect(l.majors, r.majors)) = 0 THEN 'incompatible_explicit_version' END, CASE WHEN l.rw IS NOT NULL AND r.rw IS NOT NULL AND {_JAC.format("l.rw", "r.rw")} < 0.15 THEN 'conflicting_root_cause' END) AS hard
+  FROM {_PAIRS} p JOIN {_PROF} l ON l.candidate_id = p.left_id JOIN {_PROF} r ON r.candidate_id = p.right_id)"""
 
 
 @query("J5_blocking_pairs", f"SELECT left_id, right_id FROM {_PAIRS}")
@@ -41,21 +56,21 @@ def j5(spark, sf_dir):
     return canonical.blocked_pairs(found(spark, sf_dir))
 
 
-@query("R10_pair_comparison", f"SELECT left_id, right_id, same, round(problem, 6) AS problem, round(solution, 6) AS solution FROM {_CMP}")
+@query("R10_pair_comparison", f"SELECT left_id, right_id, same, same_error, hard, round(problem, 6) AS problem, round(solution, 6) AS solution FROM {_CMP}")
 def r10(spark, sf_dir):
     p = found(spark, sf_dir)
     got = canonical.compared(canonical.blocked_pairs(p), p)
-    return got.select("left_id", "right_id", "same", F.round("problem", 6).alias("problem"), F.round("solution", 6).alias("solution"))
+    return got.select("left_id", "right_id", "same", "same_error", F.array_join("hard", ",").alias("hard"), F.round("problem", 6).alias("problem"), F.round("solution", 6).alias("solution"))
 
 
-_DEC = f"(SELECT left_id, right_id, CASE WHEN hard THEN 'separate' WHEN same AND problem >= 0.72 AND solution >= 0.78 THEN 'auto_merge' ELSE 'review' END AS decision FROM {_CMP})"
+_DEC = f"(SELECT left_id, right_id, CASE WHEN hard <> '' THEN 'separate' WHEN (same OR same_error) AND problem >= 0.72 AND solution >= 0.78 THEN 'auto_merge' ELSE 'review' END AS decision FROM {_CMP})"
 
 
 def decided(spark, sf_dir):
     p = found(spark, sf_dir)
     got = canonical.compared(canonical.blocked_pairs(p), p)
     c = F.col
-    return got.select("left_id", "right_id", canonical.decision(c("hard"), c("same"), F.lit(False), c("errors"), c("packages"), c("problem"), c("solution")).alias("decision"))
+    return got.select("left_id", "right_id", canonical.decision(c("hard"), c("same"), c("same_error"), c("errors"), c("packages"), c("problem"), c("solution")).alias("decision"))
 
 
 @query("R11_pair_decisions", f"SELECT left_id, right_id, decision FROM {_DEC}")

@@ -178,12 +178,37 @@ def test_access(spark):
     assert sorted(map(tuple, found.collect())) == [(1, "owned"), (4, "small")]
 
 
-def test_blocking_keeps_large_keys_connected(spark):
+def test_blocking_gives_every_pair_of_a_large_key(spark):
     rows = [(i, ["hot", f"k{i // 2}"]) for i in range(50)]
     found = spark.createDataFrame(rows, "candidate_id long, keys array<string>")
-    pairs = {tuple(r) for r in canonical.blocked_pairs(found, most=10).collect()}
-    assert {(2 * i, 2 * i + 1) for i in range(25)} <= pairs and {(0, i) for i in range(1, 50)} <= pairs and len(pairs) == 49 + 24
-    assert len(canonical.blocked_pairs(found, most=100).collect()) == 50 * 49 // 2
+    assert {tuple(r) for r in canonical.blocked_pairs(found, block=10).collect()} == {(i, j) for i in range(50) for j in range(i + 1, 50)}
+
+
+def test_pair_rules(spark):
+    """Versions, root causes and errors that are not stated never speak against a pair or for it."""
+    fix = "replace the plugin in the config file and build again"
+    base = dict(candidate_id=0, ecosystem="npm", packages=["a"], platforms=["linux"], problem="the build fails with a plugin error", solution=fix, error="Cannot find plugin x", versions=["v2.1"], root_cause="stale plugin cache")
+    changed = [{}, {"versions": ["3.0"]}, {"versions": ["2.9", "3.0"]}, {"versions": None, "root_cause": None}, {"root_cause": "network proxy timeout"}, {"error": ""}, {"packages": ["b"]}, {"solution": fix + " today", "error": None}, {"solution": fix + " today"}, {"versions": ["latest"], "root_cause": ""}]
+    rows = [tuple((base | c | {"candidate_id": i}).values()) for i, c in enumerate(changed)]
+    schema = "candidate_id long, ecosystem string, packages array<string>, platforms array<string>, problem string, solution string, error string, versions array<string>, root_cause string"
+    found = canonical.profiles(spark.createDataFrame(rows, schema)).cache()
+    pairs = spark.createDataFrame([(0, i) for i in range(1, len(changed))], "left_id long, right_id long")
+    made = canonical.decision(*[F.col(c) for c in ("hard", "same", "same_error", "errors", "packages", "problem", "solution")])
+    got = {r["right_id"]: (r["hard"], r["same_error"], r["decision"]) for r in canonical.compared(pairs, found).withColumn("decision", made).collect()}
+    assert got == {
+        1: (["incompatible_explicit_version"], True, "separate"),
+        2: ([], True, "auto_merge"),
+        3: ([], True, "auto_merge"),
+        4: (["conflicting_root_cause"], True, "separate"),
+        5: ([], False, "auto_merge"),
+        6: (["disjoint_packages"], True, "separate"),
+        7: ([], False, "review"),
+        8: ([], True, "auto_merge"),
+        9: ([], True, "auto_merge"),
+    }
+    assert {(0, 8), (0, 4)} <= {tuple(r) for r in canonical.blocked_pairs(found).collect()}
+    plain = canonical.profiles(found.sparkSession.createDataFrame(rows, schema).drop("versions", "root_cause"))
+    assert plain.where("size(versions) > 0 or root_cause is not null").count() == 0
 
 
 def test_components(spark):
