@@ -137,12 +137,21 @@ TECHNICAL_STEPS = (
 )
 
 
+#: What a text must hold for a step above to change it, in the same order; searched first, since it is far quicker.
+_TECHNICAL_HINTS = (r":\\", "/", "/", "[0-9a-f]-[0-9a-f]{4}-", "[0-2][0-9]:[0-5]", ":[0-9]", r"id\s*[:=]")
+
+
+def _replaced_where(c: Column, hint: str, pattern: str, put: str) -> Column:
+    """``c`` with ``pattern`` replaced if it holds ``hint``; named once, so that steps in a row do not repeat their input."""
+    return F.element_at(F.transform(F.array(c), lambda t: F.when(t.rlike(hint), F.regexp_replace(t, pattern, put)).otherwise(t)), 1)
+
+
 def technical_text(c: Column) -> tuple[Column, Column]:
     """(text, reasons): lower-cased text without transient parts, and the sorted reasons for what was replaced."""
     text, reasons = F.lower(collapse(c)), []
-    for pattern, put, reason in TECHNICAL_STEPS:
-        reasons.append(F.when(text.rlike(pattern), F.lit(reason)))
-        text = F.regexp_replace(text, pattern, put)
+    for (pattern, put, reason), hint in zip(TECHNICAL_STEPS, _TECHNICAL_HINTS, strict=True):
+        reasons.append(F.when(text.rlike(hint) & text.rlike(pattern), F.lit(reason)))
+        text = _replaced_where(text, hint, pattern, put)
     return collapse(text), F.array_sort(F.array_compact(F.array(*reasons)))
 
 
