@@ -12,6 +12,7 @@ from tarnwork.llm.one_permutation import op9_one_permutation
 from tarnwork.llm.secret_scan import op6_secret_scan
 from tarnwork.llm.simhash_golay import op5_simhash_golay
 from tarnwork.llm.token_counts import op10_separator_scan
+from tarnwork.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_soft_mixing": op1_soft_mixing,
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_ppm_language": op8_ppm_language,
     "op9_one_permutation": op9_one_permutation,
     "op10_separator_scan": op10_separator_scan,
+    "op11_whitening": op11_whitening,
 }
 ORACLE_SQL: dict[str, str] = {}
