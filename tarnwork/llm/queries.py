@@ -7,6 +7,8 @@ from tarnwork.llm.html_extract import op4_dom_model
 from tarnwork.llm.ivf_pq import op7_ivf_pq
 from tarnwork.llm.language_id import op8_ppm_language
 from tarnwork.llm.lgs_packing import op3_lgs_packing
+from tarnwork.llm.merkle_manifest import SQL as _OP12
+from tarnwork.llm.merkle_manifest import op12_octopus_manifest
 from tarnwork.llm.mixing import op1_soft_mixing
 from tarnwork.llm.one_permutation import op9_one_permutation
 from tarnwork.llm.secret_scan import op6_secret_scan
@@ -26,5 +28,6 @@ QUERIES = {
     "op9_one_permutation": op9_one_permutation,
     "op10_separator_scan": op10_separator_scan,
     "op11_whitening": op11_whitening,
+    "op12_octopus_manifest": op12_octopus_manifest,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_octopus_manifest": _OP12}
