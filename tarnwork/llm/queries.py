@@ -5,6 +5,7 @@ from __future__ import annotations
 from tarnwork.llm.hilbert_shards import op2_hilbert_shards
 from tarnwork.llm.html_extract import op4_dom_model
 from tarnwork.llm.ivf_pq import op7_ivf_pq
+from tarnwork.llm.jaccard_join import op13_jaccard_join
 from tarnwork.llm.language_id import op8_ppm_language
 from tarnwork.llm.lgs_packing import op3_lgs_packing
 from tarnwork.llm.merkle_manifest import SQL as _OP12
@@ -29,5 +30,6 @@ QUERIES = {
     "op10_separator_scan": op10_separator_scan,
     "op11_whitening": op11_whitening,
     "op12_octopus_manifest": op12_octopus_manifest,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {"op12_octopus_manifest": _OP12}
