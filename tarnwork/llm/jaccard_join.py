@@ -41,9 +41,11 @@ CELLS, CELL_ROW = 1 << 22, 1 << 14
 HEAVY = 500
 #: Sets that share one shingle beyond this many are compared with one of them first; those still apart from the
 #: largest component, with ``PIVOTS`` of its members; then in blocks of about ``BLOCK`` members.
-BUCKET_ROWS, PIVOTS, BLOCK = 4, 4, 1024
+BUCKET_ROWS, PIVOTS, BLOCK = 4, 4, 512
 #: Rows of one shingle that a task holds at a time.
 HELD_ROWS = 200_000
+#: Ids of sets, of a few numbers each, that are sent to all tasks at most; more are joined by a shuffle.
+SENT_ROWS = 1_000_000
 #: Bits of a set's bitmap.
 BITS = 512
 
@@ -155,7 +157,7 @@ class Order:
         rank, out = self.rank[_cell(h)], np.zeros(len(h), np.uint64)
         heavy = np.flatnonzero(rank >= self.first_heavy)
         if len(heavy):
-            drawn = (h[heavy] ^ (np.uint64(set_id) * _MIX[1])) * _MIX[2] >> np.uint64(20)
+            drawn = (h[heavy] ^ (np.array([set_id], np.uint64) * _MIX[1])) * _MIX[2] >> np.uint64(20)
             out[heavy] = 1 + drawn % self.parts[rank[heavy] - self.first_heavy].astype(np.uint64)
         return out
 
@@ -308,6 +310,14 @@ def _bits(column: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint64).reshape(len(column), -1)
 
 
+def _maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with their sizes and bitmaps; those that may be similar."""
+    for b in batches:
+        n, x, m, y = (c.to_numpy(zero_copy_only=False) for c in b.columns[2:])
+        if len(n):
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(alike(_bits(x), _bits(y), n, m)))
+
+
 def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs with their sizes, places and bitmaps; those that may be similar."""
     for b in batches:
@@ -349,16 +359,23 @@ def _emit_fragments(order):
     return run
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """A written table, marked for a broadcast where it is small enough."""
+    return F.broadcast(ids) if ids.count() <= SENT_ROWS else ids
+
+
 def fragments_of(needed: DataFrame, leaders: DataFrame, rows: DataFrame, order) -> DataFrame:
     """set_id, fragment and shingles of the needed sets, from the text of the first row of each."""
-    firsts = needed.distinct().join(leaders.select("set_id", *KEY), "set_id")
-    texts = firsts.join(rows, list(KEY)).select("set_id", "text")
+    firsts = written(needed.distinct().join(leaders.select("set_id", *KEY), "set_id"), "needed")
+    texts = rows.join(_sent(firsts), list(KEY)).select("set_id", "text")
     return written(texts.mapInArrow(_emit_fragments(order), "set_id long, fragment int, shingles array<long>").dropDuplicates(["set_id", "fragment"]), "fragments")
 
 
 def linked(pairs: DataFrame, parts: DataFrame, leaders: DataFrame) -> DataFrame:
     """The pairs (a, b) of similar sets: overlaps are counted by fragment and summed for each pair."""
-    side = lambda end: parts.select(F.col("set_id").alias(end), "fragment", F.col("shingles").alias(f"of_{end}"))
+    ends = _sent(written(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct(), "ends"))
+    asked = parts.join(ends, "set_id", "left_semi")
+    side = lambda end: asked.select(F.col("set_id").alias(end), "fragment", F.col("shingles").alias(f"of_{end}"))
     size = lambda end: leaders.select(F.col("set_id").alias(end), F.col("n").alias(f"n_{end}"))
     partial = pairs.join(side("a"), "a").join(side("b"), ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("shared"))
     shared = written(partial.groupBy("a", "b").agg(F.sum("shared").alias("shared")), "overlaps")
@@ -416,6 +433,9 @@ def set_groups(rows: DataFrame, leaders: DataFrame, order, more: DataFrame | Non
     heavy = some.mapInArrow(_emit_prefixes(order, True), "h long, set_id long, n long, place long")
     first = found.where("b is not null").select("a", "b")
     pairs = _pairs(first if more is None else first.unionByName(more))
+    facts = lambda end: leaders.select(F.col("set_id").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}"))
+    both = pairs.join(facts("a"), "a").join(facts("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    pairs = written(both.mapInArrow(_maybe, "a long, b long"), "likely")
     crowded = heavy.unionByName(found.where("b is null").select("h", F.col("a").alias("set_id"), "n", "place"))
     crowded = written(crowded.join(leaders.select("set_id", "bits"), "set_id"), "crowded")
     parts = fragments_of(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).union(crowded.select("set_id")), leaders, rows, order)
