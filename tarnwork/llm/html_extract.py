@@ -118,6 +118,9 @@ class _TagEnds:
         return self.ends[k] if self.ends[k] >= 0 else self.plain[k]
 
 
+_COMMENT_END = re.compile("--!?>")
+
+
 def tokens(html: str) -> list[tuple[str, str, str]]:
     """(kind, tag, text) of a page, in linear time: kind is "text", "open", "void" (self-closed) or "close".
 
@@ -143,8 +146,10 @@ def tokens(html: str) -> list[tuple[str, str, str]]:
             close, tag, attributes = m.groups()
             at = m.end()
         elif html.startswith("<!--", start):
-            end = html.find("-->", start + 4)
-            at = end + 3 if end >= 0 else size
+            m = _COMMENT_END.search(html, start + 2)  # two hyphens are the start's own in <!--> and <!--->
+            if m and m.start() == start + 2 and m.group() == "--!>":
+                m = _COMMENT_END.search(html, start + 4)
+            at = m.end() if m else size
             continue
         else:
             ends = ends or _TagEnds(html)

@@ -94,3 +94,15 @@ def test_broken_markup_takes_linear_time():
         he.tokens(page)
         he.main_texts([article(page[:200_000])], weights)
         assert time.time() - began < 25, unit
+
+
+def test_ends_of_comments():
+    text = lambda html: [t for kind, _, t in he.tokens(html) if kind == "text"]
+    for comment in ("<!-->", "<!--->", "<!-- c --!>", "<!-- c -->", "<!---->", "<!-- > -- c -->", "<!-- a <!--> ", "<!--!> b -->"):
+        assert "".join(text(f"one{comment}two")).replace(" ", "") == "onetwo", comment
+    assert text("one<!-- never closed <p>two") == ["one"]
+    weights = he.train([])
+    assert any("</p>" in html for html in PAGES)
+    for html in PAGES:
+        for comment in ("<!-->", "<!--->", "<!-- c --!>"):
+            assert he.main_texts([html.replace("</p>", comment + "</p>")], weights) == [kept_text(html)]
