@@ -7,8 +7,8 @@ totals, since they cannot follow an escape; below order 0 all bytes met nowhere
 frozen after training, so the cost of four bytes in a row, three of them context, is a constant of the language and a
 text's exact code length is a sum of looked-up costs. Four bytes that no language has met are costed when they occur.
 
-Training takes about ``TRAIN_DOCS`` whole documents of each of the ``LANGUAGES`` most frequent languages, chosen by a
-hash of their id; the model holds all that these documents hold.
+Training takes about ``TRAIN_DOCS`` whole documents of each language, chosen by a hash of their id, and at least one;
+fewer where all of them would pass about ``TRAIN_BYTES`` bytes. The model holds all that these documents hold.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TRAIN_DOCS = 2_000
-LANGUAGES = 256
+#: UTF-8 bytes of all training documents, about; each language has an equal share of them, or one document.
+TRAIN_BYTES = 1 << 28
 #: Share of the documents drawn for training that measure what a document usually takes, and are not learned from.
 MEASURED = 0.1
 #: Below this posterior a document counts as rejected.
@@ -172,30 +173,36 @@ def _measured(shared):
     return run
 
 
-def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
+def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, measure: bool = False, train_bytes: int = TRAIN_BYTES) -> Model | None:
     """A model of the languages in column ``lang`` from ``text``; None if no row has a language, an id and a text.
 
-    Takes about ``train_docs`` documents of each language. What reaches the driver is the languages' context counts.
+    Takes about ``train_docs`` documents of each language (see ``TRAIN_BYTES``), always the one whose hash comes first.
+    With ``measure``, a tenth of the others tells what a document usually takes and is not learned from. What reaches
+    the driver is a row for each language, and the context counts of the sample.
     """
     spark = docs.sparkSession
     usable = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("double")).alias("bytes"), F.min(draw).alias("first")).collect()
     if not sizes:
         return None
-    shares = spark.createDataFrame([(lang, min(1.0, train_docs / n)) for lang, n in sizes.items()], "lang string, share double")
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    drawn = usable.join(F.broadcast(shares), "lang").where(draw < F.col("share"))  # LANGUAGES rows at most
-    measure = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < int((1 << 20) * MEASURED)
-    counted = drawn.where(~measure).select("lang", "text").mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    each = train_bytes / len(sizes)
+    shares = spark.createDataFrame([(r["lang"], min(1.0, train_docs / r["n"], each / max(r["bytes"], 1.0)), r["first"]) for r in sizes], "lang string, share double, first double")
+    drawn = usable.join(F.broadcast(shares), "lang").where((draw < F.col("share")) | (draw == F.col("first")))  # a row for each language
+    for_measure = (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < int((1 << 20) * MEASURED)) & (draw > F.col("first"))
+    learned = drawn.where(~for_measure) if measure else drawn
+    counted = learned.select("lang", "text").mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = counted.toArrow()
     langs = table["lang"].combine_chunks().dictionary_encode()
     code, gram, n = langs.indices.to_numpy(zero_copy_only=False), table["gram"].to_numpy(), table["n"].to_numpy()
     grams = {lang: (gram[code == i], n[code == i]) for i, lang in enumerate(langs.dictionary.to_pylist())}
     if not grams:
         return None
-    model = build_model(grams, sizes)
+    model = build_model(grams, {r["lang"]: r["n"] for r in sizes})
+    if not measure:
+        return model
     shared = spark.sparkContext.broadcast(model)
-    seen = drawn.where(measure).select("lang", "text").mapInArrow(_measured(shared), "at long, bits double, bytes long")
+    seen = drawn.where(for_measure).select("lang", "text").mapInArrow(_measured(shared), "at long, bits double, bytes long")
     usual = np.zeros(len(model.languages))
     for r in seen.groupBy("at").agg((F.sum("bits") / F.greatest(F.sum("bytes"), F.lit(1))).alias("usual")).collect():  # a row for each language
         usual[r["at"]] = r["usual"]
@@ -289,7 +296,7 @@ def identified(docs: DataFrame) -> DataFrame:
 
     A missing ``lang`` takes the predicted language; other columns stay. The model learns from the rows that have one.
     """
-    found = _found(docs, train(docs), docs.columns)
+    found = _found(docs, train(docs, measure=True), docs.columns)
     kept = found.where((F.col("__found.lang_pred") != UNDECIDED) & (F.col("__found.score") >= LEAST_SCORE) & (F.col("__found.strange") <= STRANGE))
     return kept.withColumn("lang", F.coalesce("lang", "__found.lang_pred")).select(docs.columns)
 

@@ -109,3 +109,19 @@ def test_held_out_accuracy_and_edges(spark):
     assert {r["lang"] for r in kept.where("doc_id = 1003").collect()} == {"aa"}
     assert li.train(docs.limit(0)) is None
     assert li.predict(docs, None, ["doc_id"]).where("lang_pred <> 'und'").count() == 0
+
+
+def test_no_language_is_lost(spark):
+    """Very many languages, most with one document."""
+    rng = random.Random(15)
+    alphabets = ["".join(chr(0x4E00 + 40 * k + j) for j in range(12)) for k in range(300)]
+    rows = [(k, " ".join("".join(rng.choice(a) for _ in range(6)) for _ in range(30)), f"l{k}") for k, a in enumerate(alphabets)]
+    rows += [(1000 + i, "the of and to in " * 40, "en") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for measure in (False, True):
+        model = li.train(docs, measure=measure)
+        assert len(model.languages) == 301
+    got = li.predict(docs, model, ["doc_id", "lang"]).collect()
+    assert all(r["lang"] == r["lang_pred"] for r in got)
+    few = li.train(docs, train_bytes=301)  # a byte a language: one document each
+    assert len(few.languages) == 301
