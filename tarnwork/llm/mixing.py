@@ -14,6 +14,7 @@ Tokens are ids of a public vocabulary: they are what totals count, and the class
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -89,7 +90,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, path
     path = path or vocabulary_path()
 
     @F.udf(VectorUDT())
-    def bag(text: str) -> SparseVector:
+    def bag(text):
         return SparseVector(END_OF_TEXT + 1, *_bag(encoder(path)(text)))
 
     fit = LogisticRegression(featuresCol="bag", labelCol="domain", family="multinomial", regParam=SHRINK, maxIter=25)
@@ -170,16 +171,22 @@ def fit_rates(rows: DataFrame, targets: tuple[float, ...] = TARGETS, budget: flo
     return rows.withColumn("rate", _rate(moves)), Fit([float(x) for x in have * total], [float(x) for x in want * total], reached)
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, seed: int = 11) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, seed: int = 11, strict: bool = False) -> DataFrame:
     """``docs`` with each row as often as its rate says: the whole part, and once more with the odds of the rest.
 
     The draw is a hash of the id and the text, so a rerun gives the same rows. Columns stay; a null text counts as
-    empty and keeps rate 1.
+    empty and keeps rate 1. Targets that no rates reach (of a domain that no document has any share of) are told by a
+    warning, with the nearest totals; with ``strict`` they are an error.
     """
     keep = docs.columns
     packed = docs.select(F.struct(*keep).alias("__row"), "text")
     scored = written(posteriors(packed, train(docs, labels), ["__row"]), "posteriors")
-    rated, _ = fit_rates(scored, targets)
+    rated, fit = fit_rates(scored, targets)
+    if not fit.reached:
+        said = f"mixing targets not reached: tokens by domain {fit.have}, wanted {fit.want}"
+        if strict:
+            raise ValueError(said)
+        warnings.warn(said, stacklevel=2)
     chance = F.pmod(F.xxhash64(F.lit(seed), F.col("__row.doc_id"), F.col("__row.text")), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor(F.col("rate") + chance).cast("int")
     return rated.withColumn("__n", copies).where("__n > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select("__row.*")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tarnwork.llm import mixing
@@ -92,3 +93,12 @@ def test_held_out_posteriors_and_token_counts(spark):
     assert len(told) > 100 and sum(a == b for a, b in told) >= 0.97 * len(told)
     out = mixing.mixed(more, labels)
     assert out.columns == more.columns and {r["tokens"] for r in out.collect()} == {"x"}
+
+
+def test_mixed_tells_unreached_targets(spark):
+    docs = spark.createDataFrame([(i, f"plain words {i}") for i in range(20)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    with pytest.warns(UserWarning, match="not reached"):
+        assert mixing.mixed(docs, none, (0.9, 0.1, 0.0)).columns == docs.columns
+    with pytest.raises(ValueError, match="not reached"):
+        mixing.mixed(docs, none, (0.9, 0.1, 0.0), strict=True)
