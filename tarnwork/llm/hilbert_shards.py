@@ -13,12 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnwork.llm.hot_join import join_facts
 from tarnwork.plans.shared import written
 
 N_SHARDS = 8
 BITS = 5
-#: Categories of at most this many values are placed by a table of them.
-FEW_VALUES = 1_000
+#: Bits of the hashes that order rows of one cell; two of them and the curve index fit in 63 bits.
+_HASH_BITS = 20
 
 
 def curve_tables(n: int) -> tuple[list[int], list[int]]:
@@ -81,37 +82,43 @@ def _below(bounds: list, value: Column, kind: str) -> Column:
     return F.when(value.isNull(), F.lit(0)).otherwise(F.size(F.filter(cuts, lambda b: b <= value)))
 
 
-def _category_place(base: DataFrame, name: str, cells: int) -> Column:
-    """A column's value from 0 to cells - 1, in the order of values so that a cell is a range of them; null is 0.
+def _with_category(base: DataFrame, name: str, cells: int, out: str) -> DataFrame:
+    """``base`` with a column's place from 0 to cells - 1, in the order of values so that a cell is a range of them.
 
-    Few distinct values stand at equal distances, or, if more than cells, where their middle row stands among all rows; with many, values go by
-    the quantiles of their first seven bytes, as a number.
+    A value stands where its middle row stands among all rows; no more values than cells stand at equal distances. Null
+    counts as an empty text. Values are ranked by sorting the distinct ones by range and adding up their counts.
     """
-    text = F.coalesce(F.col(name).cast("string"), F.lit(""))
-    few = base.groupBy(text.alias("v")).count().limit(FEW_VALUES + 1).collect()
-    if len(few) <= FEW_VALUES:
-        total, before, places = max(1, sum(r["count"] for r in few)), 0, {}
-        for rank, r in enumerate(sorted(few, key=lambda r: r["v"].encode())):
-            places[r["v"]] = rank * cells // len(few) if len(few) <= cells else (before + r["count"] // 2) * cells // total
-            before += r["count"]
-        known = F.create_map(*[F.lit(x) for v, place in places.items() for x in (v, place)]) if places else None
-        return F.lit(0) if known is None else F.coalesce(F.element_at(known, text), F.lit(0))
-    prefix = F.conv(F.rpad(F.hex(F.substring(text.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("double")
-    cuts = base.agg(F.percentile_approx(prefix, [i / cells for i in range(1, cells)], 20_000).alias("q")).first()["q"]
-    return _below(sorted(set(cuts or [])), prefix, "double").cast("int")
-
-
-def hilbert_shards(rows: DataFrame, categories: list[str], measures: list[str], n_shards: int = N_SHARDS, bits: int = BITS) -> DataFrame:
+    text = F.coalesce(F.col(name).cast("string"), F.lit("")).alias("__v")
+    ranges = written(base.groupBy(text).count().repartitionByRange("__v").withColumn("__range", F.spark_partition_id()), "values")
+    sums = ranges.groupBy("__range").agg(F.sum("count").alias("rows"), F.count("*").alias("values"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = sums.select("__range", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("values").over(before), F.lit(0)).alias("values_before"))
+    n = ranges.agg(F.sum("count").alias("rows"), F.count("*").alias("values")).first()
+    inside = Window.partitionBy("__range").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    at = ranges.join(sums, "__range").withColumns({
+        "rows_before": F.col("rows_before") + F.coalesce(F.sum("count").over(inside), F.lit(0)),
+        "values_before": F.col("values_before") + F.row_number().over(inside.rowsBetween(Window.unboundedPreceding, 0)) - 1,
+    })
+    few = n["values"] <= cells
+    place = f"values_before * {cells} div {max(n['values'], 1)}" if few else f"(rows_before + count div 2) * {cells} div {n['rows']}"
+    facts = written(at.select("__v", "count", F.expr(place).cast("int").alias(out)), "places")
+    return join_facts(base.withColumn("__v", text), facts, "__v", "count").drop("__v")
+
+
+def hilbert_shards(rows: DataFrame, categories: list[str], measures: list[str], n_shards: int = N_SHARDS, bits: int = BITS, group: list[str] | None = None) -> DataFrame:
     """Add ``curve`` (long), ``shard`` (int, from 0) and ``slot`` (long, gapless from 0 in its shard) to ``rows``.
 
     Rows are cut into ``n_shards`` runs of the curve whose counts differ by one at most.
 
     categories: columns that have a text form, placed in the order of values (null counts as an empty text). measures:
-    numeric columns, null ids among them, placed by approximate quantiles (null counts as below all). Equal texts have
-    no place of their own: copies that differ in metadata may lie in several shards, as equal counts demand. Columns named like the added ones are replaced. No rows give
-    no rows. Rows in one cell are ordered by a hash of all columns, and repeated rows take different slots. The rows
-    are written once to the shared folder, so ``rows`` should hold metadata only.
+    numeric columns, null ids among them, placed by approximate quantiles (null counts as below all). Rows that agree
+    in ``group`` stand together at the first place that any of them has on the curve, so at most one group is cut by
+    each border of shards. Columns named like the added ones are replaced. No rows give no rows. Rows in one cell are
+    ordered by a hash of their group and then of all columns, and repeated rows take different slots. The rows are
+    written once to the shared folder, so ``rows`` should hold metadata only.
     """
+    if (len(categories) + len(measures)) * bits + _HASH_BITS * (2 if group else 1) > 63:
+        raise ValueError("the curve has too many bits; take fewer columns or bits")
     spark = rows.sparkSession
     rows = rows.drop("curve", "shard", "slot")
     names = rows.columns
@@ -123,17 +130,24 @@ def hilbert_shards(rows: DataFrame, categories: list[str], measures: list[str],
         *[F.percentile_approx(m, inner, 20_000).alias(f"q{i}") for i, m in enumerate(measures)],
     ).first()
     total = facts["n"]
-    dims = [_category_place(base, c, cells).cast("int") for c in categories]
+    for i, c in enumerate(categories):
+        base = _with_category(base, c, cells, f"__c{i}")
+    dims = [F.col(f"__c{i}") for i in range(len(categories))]
     dims += [
         _below(sorted(facts[f"q{i}"] or []), F.col(m).cast("double"), "double").cast("int")
         for i, m in enumerate(measures)
     ]
     placed = base.select("*", *[d.alias(f"__x{i}") for i, d in enumerate(dims)])
     placed = placed.withColumn("curve", curve_index([F.col(f"__x{i}") for i in range(len(dims))], bits))
-    # 20 bits of hash below the curve index let buckets cut through a cell with very many rows
-    placed = placed.withColumn(
-        "__order", F.shiftleft("curve", 20).bitwiseOR(F.xxhash64(*names).bitwiseAND(F.lit((1 << 20) - 1)))
-    ).drop(*[f"__x{i}" for i in range(len(dims))])
+    hashed = lambda *c: F.xxhash64(*c).bitwiseAND(F.lit((1 << _HASH_BITS) - 1))
+    order = F.shiftleft("curve", _HASH_BITS)
+    if group:
+        placed = written(placed.withColumn("__group", F.struct(*group)), "on-curve")
+        firsts = written(placed.groupBy("__group").agg(F.min("curve").alias("__first"), F.count("*").alias("__k")), "groups")
+        placed = join_facts(placed, firsts, "__group", "__k").withColumn("curve", F.col("__first")).drop("__first")
+        order = F.shiftleft(order.bitwiseOR(hashed("__group")), _HASH_BITS)
+    # hashes below the curve index let buckets cut through a cell, or a group, with very many rows
+    placed = placed.withColumn("__order", order.bitwiseOR(hashed(*names, "__row"))).drop("__group", *[f"__x{i}" for i in range(len(dims))])
     n_buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = placed.agg(F.percentile_approx("__order", [i / n_buckets for i in range(1, n_buckets)], 20_000).alias("q")).first()["q"]
     placed = placed.withColumn("__bucket", _below(sorted(set(cuts or [])), F.col("__order"), "long"))
@@ -167,9 +181,9 @@ def document_metadata(docs: DataFrame) -> DataFrame:
 
 
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 8 shards along a curve over source, language, size and id. Law: rows."""
+    """All documents in 8 shards along a curve over source, language, size and id, equal texts together. Law: rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = hilbert_shards(document_metadata(docs), ["source", "lang"], ["size", "doc_id"])
+    out = hilbert_shards(document_metadata(docs), ["source", "lang"], ["size", "doc_id"], group=["text_crc32", "size"])
     return out.select(
         "doc_id",
         "size",

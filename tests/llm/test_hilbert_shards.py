@@ -1,4 +1,5 @@
 import itertools
+import random
 import zlib
 
 from tarnwork.llm.hilbert_shards import curve_tables, document_metadata, hilbert_shards, write_shards
@@ -52,8 +53,6 @@ def test_clashing_columns_empty_table_and_files(spark, tmp_path):
 
 
 def test_a_range_on_any_dimension_reads_few_shards(spark):
-    import random
-
     rng = random.Random(5)
     data = [(i, f"source{rng.randrange(40):02}", rng.choice("abcd") * 2, int(rng.lognormvariate(6, 1))) for i in range(4000)]
     docs = spark.createDataFrame(data, "doc_id long, source string, lang string, size long")
@@ -77,3 +76,35 @@ def test_many_categories_and_very_long_text(spark):
     for r in got:
         sources.setdefault(r["shard"], []).append(r["source"])
     assert sum(int(max(v)) - int(min(v)) for v in sources.values()) / len(sources) < 2500
+
+
+def shards_of(rows, measures):
+    out = {}
+    for r in hilbert_shards(rows, ["source"], measures).collect():
+        out.setdefault(r["shard"], []).append(r)
+    return out
+
+
+def test_categories_with_a_common_prefix(spark):
+    rng = random.Random(6)
+    data = [(i, f"https://{rng.randrange(1500):04}") for i in range(6000)]
+    names = lambda data, measures: {k: {r["source"][-4:] for r in rows} for k, rows in shards_of(spark.createDataFrame(data, "doc_id long, source string"), measures).items()}
+    alone, both = names(data, []), names(data, ["doc_id"])
+    assert len(alone) == 8 and max(map(len, alone.values())) <= 375
+    assert len(both) == 8 and max(map(len, both.values())) <= 750
+    plain = names([(i, s[-4:]) for i, s in data], ["doc_id"])  # the prefix changes nothing but the order inside of cells
+    assert all(len(both[k] ^ plain[k]) < 100 for k in range(8))
+
+
+def test_equal_texts_stand_together(spark):
+    rng = random.Random(7)
+    data = [(i, f"text {rng.randrange(300)}" if i % 3 else "hot", f"s{rng.randrange(9)}", rng.choice(["a", "b"])) for i in range(3000)]
+    meta = document_metadata(spark.createDataFrame(data, "doc_id long, text string, source string, lang string"))
+    got = hilbert_shards(meta, ["source", "lang"], ["size", "doc_id"], group=["text_crc32", "size"]).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(3000))
+    shards, runs, last = {}, 0, None
+    for r in sorted(got, key=lambda r: (r["shard"], r["slot"])):
+        shards.setdefault(r["text_crc32"], set()).add(r["shard"])
+        runs, last = runs + (r["text_crc32"] != last), r["text_crc32"]
+    assert runs == len(shards)  # each group is one run of the order
+    assert sum(len(s) > 1 for s in shards.values()) <= 7
