@@ -31,12 +31,12 @@ def pool_size(limit: int = LIMIT, multiplier: int = 20) -> int:
     return min(1000, max(limit * multiplier, limit))
 
 
-def _best(rows: DataFrame, pool: int) -> DataFrame:
+def best(rows: DataFrame, pool: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return rows.withColumn("__n", place).where(F.col("__n") <= pool).drop("__n")
 
 
-def _collected(queries: DataFrame, *columns: str) -> list:
+def collected(queries: DataFrame, *columns: str) -> list:
     rows = queries.select(*columns).limit(MOST_QUERIES + 1).collect()
     if len(rows) > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} queries in one batch")
@@ -57,7 +57,7 @@ def exact(queries: DataFrame, docs: DataFrame, pool: int) -> DataFrame:
 def lexical(queries: DataFrame, docs: DataFrame, fields: list[str], pool: int) -> DataFrame:
     """Sum over a query's distinct terms and the fields of weight * occurrences. Terms are runs of a-z and 0-9."""
     asked: dict[str, list[int]] = {}
-    rows = _collected(queries, "query_id", "text")
+    rows = collected(queries, "query_id", "text")
     for i, r in enumerate(rows):
         for term in set(re.findall("[a-z0-9]+", (r["text"] or "").lower())):
             asked.setdefault(term, []).append(i)
@@ -87,12 +87,12 @@ def lexical(queries: DataFrame, docs: DataFrame, fields: list[str], pool: int) -
             q, doc, score = q[keep], doc[keep], score[keep]
         yield pd.DataFrame({"query_id": np.array(ids, np.int64)[q], "doc_id": doc, "score": score})
 
-    return _best(docs.select("doc_id", *fields).mapInPandas(search, "query_id long, doc_id long, score double"), pool)
+    return best(docs.select("doc_id", *fields).mapInPandas(search, "query_id long, doc_id long, score double"), pool)
 
 
 def semantic(queries: DataFrame, vectors: DataFrame, pool: int) -> DataFrame:
     """Cosine of a query's vector with every document's, in double precision; vectors without length have 0."""
-    rows = _collected(queries, "query_id", "vector")
+    rows = collected(queries, "query_id", "vector")
     if not rows:
         return vectors.select(F.lit(0).cast("long").alias("query_id"), "doc_id", F.lit(0.0).alias("score")).limit(0)
     q = np.array([r["vector"] for r in rows], float)
@@ -101,16 +101,18 @@ def semantic(queries: DataFrame, vectors: DataFrame, pool: int) -> DataFrame:
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q, ids = shared.value
+        held, of = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)  # the best so far of this task's rows
         for b in batches:
             if not len(b):
                 continue
             v = np.stack(b["vector"].to_numpy()).astype(float)
-            score = q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
-            docs = b["doc_id"].to_numpy()
-            order = np.lexsort((np.broadcast_to(docs, score.shape), -np.round(score, 9)), axis=1)[:, :pool]
-            yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "doc_id": docs[order].ravel(), "score": np.round(np.take_along_axis(score, order, 1), 9).ravel()})
+            score = np.round(q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T, 9)
+            score, docs = np.hstack([held, score]), np.hstack([of, np.broadcast_to(b["doc_id"].to_numpy(), score.shape)])
+            order = np.lexsort((docs, -score), axis=1)[:, :pool]
+            held, of = np.take_along_axis(score, order, 1), np.take_along_axis(docs, order, 1)
+        yield pd.DataFrame({"query_id": np.repeat(ids, held.shape[1]), "doc_id": of.ravel(), "score": held.ravel()})
 
-    return _best(vectors.select("doc_id", "vector").mapInPandas(search, "query_id long, doc_id long, score double"), pool)
+    return best(vectors.select("doc_id", "vector").mapInPandas(search, "query_id long, doc_id long, score double"), pool)
 
 
 def merge(channels: dict[str, DataFrame]) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarnwork.functions import versions
-from tarnwork.operators import search
+from tarnwork.operators import search, vector_index
 from tarnwork.plans.catalog import query, table
+from tarnwork.plans.shared import shared_dir
 
 POOL = search.pool_size()
 _LABELS = "(SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1)"
@@ -89,6 +92,18 @@ def h4(spark, sf_dir):
     return search.semantic(asked(spark, sf_dir), vectors, POOL).withColumn("score", F.round("score", 6))
 
 
+@query("H4_vector_index")
+def h4_index(spark, sf_dir):
+    """The vector channel through a stored index, of all rows, of those of one label, and of a tenth of these."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label", (F.col("vec_id") % 10).cast("int").alias("part"))
+    index = vector_index.build(rows, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}", ("label", "part"))
+    q, out = asked(spark, sf_dir), None
+    for name, where in (("all", None), ("label", F.col("label") == 3), ("few", (F.col("label") == 3) & (F.col("part") == 1))):
+        found = vector_index.search(q, index, 20, where).withColumn("filter", F.lit(name))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("J12_channel_merge", f"SELECT query_id, doc_id, lexical, matched FROM {_MERGED}")
 def j12(spark, sf_dir):
     return search.merge(_channels(spark, sf_dir)).select("query_id", "doc_id", "lexical", F.array_join("matched", ",").alias("matched"))
