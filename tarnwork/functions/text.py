@@ -99,10 +99,15 @@ def _all(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
 
 
+#: What every text with a code of QUERY_CODES holds.
+_CODE_HINT = r"(?i:err_|ts\d{3}|[a-z]{2}-\d{2})|E[A-Z]{2}"
+
+
 def query_error_codes(c: Column) -> Column:
     """Codes named in a query, lower case, in order of appearance by pattern."""
     loose, strict = (_all(c, p) for p in QUERY_CODES)
-    return F.array_distinct(F.transform(F.concat(loose, strict), lambda x: F.lower(x)))
+    found = F.array_distinct(F.transform(F.concat(loose, strict), lambda x: F.lower(x)))
+    return F.when(c.isNull() | c.rlike(_CODE_HINT), found).otherwise(F.array().cast("array<string>"))
 
 
 def projection_error_codes(c: Column) -> Column:

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tarnwork.functions import versions
-from tarnwork.operators import search, vector_index
+from tarnwork.functions import text, versions
+from tarnwork.operators import search, text_index, vector_index
 from tarnwork.plans.catalog import query, table
 from tarnwork.plans.shared import shared_dir
 
@@ -27,11 +27,15 @@ def documents(spark, sf_dir):
         F.substring("text", 1, 80).alias("title"),
         F.substring("text", 81, 200).alias("problem"),
         "text",
+        F.expr("right(text, 200)").alias("solutions"),
+        F.array_join(text.query_error_codes(F.col("text")), " ").alias("errors"),
+        F.concat_ws("-", "source", i % 5).alias("packages_text"),
+        F.col("lang").alias("environment_text"),
         F.col("source").alias("ecosystem"),
         F.array(F.concat_ws("-", "source", i % 5)).alias("packages"),
         F.array("lang").alias("platforms"),
         F.array().cast("array<string>").alias("environment"),
-        F.array().cast("array<string>").alias("codes"),
+        text.query_error_codes(F.col("text")).alias("codes"),
         F.when(F.col("quality").isNull(), 50).otherwise(100 * F.col("quality")).alias("trust"),
         F.when(F.col("toxic") == 1, "flagged").otherwise("approved").alias("moderation"),
         F.when(i % 7 == 0, 1).otherwise(0).alias("conflicts"),
@@ -58,7 +62,20 @@ def asked(spark, sf_dir):
 
 _Q = "SELECT item_id AS query_id, text, 'src' || (item_id % 20) AS ecosystem, 'src' || (item_id % 20) || '-1' AS package FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings)"
 _EXACT = f"(SELECT query_id, doc_id, 1.0 AS score FROM (SELECT q.query_id, d.doc_id, row_number() OVER (PARTITION BY q.query_id ORDER BY d.doc_id) AS rn FROM ({_Q}) q JOIN documents d ON d.source = q.ecosystem) WHERE rn <= {POOL})"
-_TERM = "(SELECT doc_id, term, sum(w) AS w FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term, 1 AS w FROM documents UNION ALL SELECT doc_id, unnest(regexp_extract_all(lower(text[1:80]), '[a-z0-9]+')), 10 FROM documents UNION ALL SELECT doc_id, unnest(regexp_extract_all(lower(text[81:280]), '[a-z0-9]+')), 8 FROM documents) GROUP BY 1, 2)"
+_CODES = "list_sort(list_distinct(list_transform(list_concat(regexp_extract_all(text, '\\b(?:ERR_[A-Z0-9_]+|TS\\d{3,5}|[A-Z]{2,}-\\d{2,})\\b', 0, 'i'), regexp_extract_all(text, '\\bE[A-Z]{2,10}\\b')), lambda x: lower(x))))"
+#: Fields of the index as SQL, with their weights.
+_FIELDS = {"title": ("text[1:80]", 10), "errors": (f"array_to_string({_CODES}, ' ')", 10), "problem": ("text[81:280]", 8), "solutions": ("right(text, 200)", 6), "packages_text": ("source || '-' || (doc_id % 5)", 5), "environment_text": ("lang", 3), "text": ("text", 1)}
+FIELDS = {name: weight for name, (_, weight) in _FIELDS.items()}
+#: Fields of the second text channel.
+FIVE = {name: FIELDS[name] for name in ("title", "problem", "text", "errors", "solutions")}
+
+
+def _term(fields):
+    parts = " UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all(lower({_FIELDS[f][0]}), '[a-z0-9]+')) AS term, {w} AS w FROM documents" for f, w in fields.items())
+    return f"(SELECT doc_id, term, sum(w) AS w FROM ({parts}) GROUP BY 1, 2)"
+
+
+_TERM = _term(FIELDS)
 _LEX = f"(SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn FROM (SELECT q.query_id, t.doc_id, CAST(sum(t.w) AS DOUBLE) AS score FROM (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM ({_Q})) q JOIN {_TERM} t USING (term) GROUP BY 1, 2)) WHERE rn <= {POOL})"
 _COS = "round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9)"
 _SEM = f"(SELECT query_id, doc_id, score FROM (SELECT q.query_id, b.vec_id AS doc_id, {_COS} AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY {_COS} DESC, b.vec_id) AS rn FROM ({_Q}) q JOIN embeddings a ON a.vec_id = q.query_id CROSS JOIN embeddings b) WHERE rn <= {POOL})"
@@ -68,7 +85,11 @@ _MERGED = f"(SELECT query_id, doc_id, max(CASE WHEN ch = 'exact' THEN score ELSE
 def _channels(spark, sf_dir):
     q, d = asked(spark, sf_dir), documents(spark, sf_dir)
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    return {"exact": search.exact(q, d, POOL), "lexical": search.lexical(q, d, ["title", "problem", "text"], POOL), "semantic": search.semantic(q, vectors, POOL)}
+    return {"exact": search.exact(q, d, POOL), "lexical": text_index.search(q, indexed(spark, d, FIELDS), POOL), "semantic": search.semantic(q, vectors, POOL)}
+
+
+def indexed(spark, docs, fields, filters=()):
+    return text_index.build(docs, f"{shared_dir(spark)}/terms-{uuid.uuid4().hex}", fields, filters, range_docs=256)
 
 
 @query("H1_exact_channel_and_F3", f"SELECT query_id, doc_id FROM {_EXACT}")
@@ -78,12 +99,18 @@ def h1(spark, sf_dir):
 
 @query("H2_lexical_channel", f"SELECT query_id, doc_id, score FROM {_LEX}")
 def h2(spark, sf_dir):
-    return search.lexical(asked(spark, sf_dir), documents(spark, sf_dir), ["title", "problem", "text"], POOL)
+    """Seven weighted fields, through a stored index."""
+    return text_index.search(asked(spark, sf_dir), indexed(spark, documents(spark, sf_dir), FIELDS), POOL)
+
+
+_LEX_FIVE = _LEX.replace(_TERM, f"(SELECT * FROM {_term(FIVE)} WHERE doc_id IN (SELECT doc_id FROM documents WHERE doc_id % 11 <> 0 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)))")
 
 
-@query("H3_lexical_two_fields", f"SELECT query_id, doc_id, score FROM {_LEX.replace(' UNION ALL SELECT doc_id, unnest(regexp_extract_all(lower(text[81:280]), ' + chr(39) + '[a-z0-9]+' + chr(39) + ')), 8 FROM documents', '')}")
+@query("H3_lexical_five_fields", f"SELECT query_id, doc_id, score FROM {_LEX_FIVE}")
 def h3(spark, sf_dir):
-    return search.lexical(asked(spark, sf_dir), documents(spark, sf_dir), ["title", "text"], POOL)
+    """Five fields, of active documents that are not flagged."""
+    index = indexed(spark, documents(spark, sf_dir), FIVE, ("status", "moderation"))
+    return text_index.search(asked(spark, sf_dir), index, POOL, (F.col("status") == "active") & (F.col("moderation") == "approved"))
 
 
 @query("H4_vector_channel", f"SELECT query_id, doc_id, round(score, 6) AS score FROM {_SEM}")
@@ -112,7 +139,7 @@ def j12(spark, sf_dir):
 def ranked(spark, sf_dir):
     hits = search.merge(_channels(spark, sf_dir))
     q = asked(spark, sf_dir).select("query_id", *[F.col(c).alias(f"q_{c}") for c in ("ecosystem", "packages", "platforms", "environment", "codes")])
-    rows = hits.join(documents(spark, sf_dir).drop("title", "problem", "text"), "doc_id").join(q, "query_id")
+    rows = hits.join(documents(spark, sf_dir).drop("title", "problem", "text", "solutions", "errors", "packages_text", "environment_text"), "doc_id").join(q, "query_id")
     return search.rank(rows.withColumn("exact_text", F.lit(False)))
 
 
@@ -202,7 +229,7 @@ def h7(spark, sf_dir):
 def h6(spark, sf_dir):
     q, d = asked(spark, sf_dir), documents(spark, sf_dir)
     has = lambda hits, n: hits.select("query_id").distinct().withColumn(n, F.lit("used"))
-    got = q.select("query_id").join(has(search.exact(q, d, POOL), "exact"), "query_id", "left").join(has(search.lexical(q, d, ["title", "problem", "text"], POOL), "lexical"), "query_id", "left")
+    got = q.select("query_id").join(has(search.exact(q, d, POOL), "exact"), "query_id", "left").join(has(text_index.search(q, indexed(spark, d, FIELDS), POOL), "lexical"), "query_id", "left")
     return got.fillna("unavailable", ["exact", "lexical"])
 
 
