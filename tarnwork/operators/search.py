@@ -43,12 +43,29 @@ def collected(queries: DataFrame, *columns: str) -> list:
     return rows
 
 
+#: Signals of the exact channel: column, and whether it holds a list.
+SIGNALS = {"fingerprints": True, "codes": True, "ecosystem": False, "packages": True, "platforms": True}
+
+
+def _signals(rows: DataFrame) -> Column:
+    """Distinct keys of a row: each value of a signal under the signal's name; columns that are absent give none."""
+    named = lambda name, v: F.concat(F.lit(f"{name}:"), v)
+    of_list = lambda c: F.coalesce(F.transform(c, lambda v: named(c, v)), F.array().cast("array<string>"))
+    parts = [of_list(c) if many else F.array(named(c, F.col(c))) for c, many in SIGNALS.items() if c in rows.columns]
+    return F.array_distinct(F.array_compact(F.concat(*parts)))
+
+
 def exact(queries: DataFrame, docs: DataFrame, pool: int) -> DataFrame:
-    """Documents of a query's ecosystem or packages, by id; a query without either has none."""
-    keyed = docs.select("doc_id", F.explode(F.concat(F.array(F.concat(F.lit("e:"), "ecosystem")), F.transform("packages", lambda p: F.concat(F.lit("p:"), p)))).alias("key"))
+    """The first documents, by id, that share an error fingerprint or code, the ecosystem, a package or a platform.
+
+    A query without any signal has none. Of each value only the first ``pool`` documents are looked at, which is all
+    that a query can take of it; tasks find them before anything is shuffled. Conditions on status and access are the
+    caller's: pass the documents that meet them.
+    """
+    keyed = docs.select("doc_id", F.explode(_signals(docs)).alias("key"))
     first = F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))
     heads = keyed.withColumn("__n", first).where(F.col("__n") <= pool).drop("__n")
-    wanted = queries.select("query_id", F.explode(F.array_compact(F.concat(F.array(F.concat(F.lit("e:"), "ecosystem")), F.transform("packages", lambda p: F.concat(F.lit("p:"), p))))).alias("key"))
+    wanted = queries.select("query_id", F.explode(_signals(queries)).alias("key"))
     hits = wanted.join(heads, "key").select("query_id", "doc_id").distinct().withColumn("score", F.lit(1.0))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))
     return hits.withColumn("__n", place).where(F.col("__n") <= pool).drop("__n")

@@ -36,6 +36,7 @@ def documents(spark, sf_dir):
         F.array("lang").alias("platforms"),
         F.array().cast("array<string>").alias("environment"),
         text.query_error_codes(F.col("text")).alias("codes"),
+        F.transform(text.query_error_codes(F.col("text")), lambda x: F.sha2(x.cast("binary"), 256)).alias("fingerprints"),
         F.when(F.col("quality").isNull(), 50).otherwise(100 * F.col("quality")).alias("trust"),
         F.when(F.col("toxic") == 1, "flagged").otherwise("approved").alias("moderation"),
         F.when(i % 7 == 0, 1).otherwise(0).alias("conflicts"),
@@ -54,15 +55,18 @@ def asked(spark, sf_dir):
     """A query for each benchmark passage, with the vector of the same number."""
     b = table(spark, sf_dir, "benchmark")
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    none = F.array().cast("array<string>")
+    none, codes = F.array().cast("array<string>"), text.query_error_codes(F.col("text"))
     return b.join(v, "item_id").select(
-        F.col("item_id").alias("query_id"), "text", "vector", F.concat(F.lit("src"), F.col("item_id") % 20).alias("ecosystem"), F.array(F.concat(F.lit("src"), F.col("item_id") % 20, F.lit("-1"))).alias("packages"), F.array(F.lit("en")).alias("platforms"), none.alias("environment"), none.alias("codes")
+        F.col("item_id").alias("query_id"), "text", "vector", F.concat(F.lit("src"), F.col("item_id") % 20).alias("ecosystem"), F.array(F.concat(F.lit("src"), F.col("item_id") % 20, F.lit("-1"))).alias("packages"), F.array(F.lit("en")).alias("platforms"), none.alias("environment"), codes.alias("codes"), F.transform(codes, lambda x: F.sha2(x.cast("binary"), 256)).alias("fingerprints")
     )
 
 
 _Q = "SELECT item_id AS query_id, text, 'src' || (item_id % 20) AS ecosystem, 'src' || (item_id % 20) || '-1' AS package FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings)"
-_EXACT = f"(SELECT query_id, doc_id, 1.0 AS score FROM (SELECT q.query_id, d.doc_id, row_number() OVER (PARTITION BY q.query_id ORDER BY d.doc_id) AS rn FROM ({_Q}) q JOIN documents d ON d.source = q.ecosystem) WHERE rn <= {POOL})"
 _CODES = "list_sort(list_distinct(list_transform(list_concat(regexp_extract_all(text, '\\b(?:ERR_[A-Z0-9_]+|TS\\d{3,5}|[A-Z]{2,}-\\d{2,})\\b', 0, 'i'), regexp_extract_all(text, '\\bE[A-Z]{2,10}\\b')), lambda x: lower(x))))"
+_KEYS = f"list_concat(list_transform({_CODES}, lambda x: 'fingerprints:' || sha256(x)), list_transform({_CODES}, lambda x: 'codes:' || x), "
+_DOC_KEYS = f"(SELECT doc_id, unnest({_KEYS} ['ecosystem:' || source, 'packages:' || source || '-' || (doc_id % 5), 'platforms:' || lang])) AS key FROM documents)"
+_ASKED_KEYS = f"(SELECT query_id, unnest({_KEYS} ['ecosystem:' || ecosystem, 'packages:' || package, 'platforms:en'])) AS key FROM ({_Q}))"
+_EXACT = f"(SELECT query_id, doc_id, 1.0 AS score FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rn FROM (SELECT DISTINCT query_id, doc_id FROM {_ASKED_KEYS} JOIN {_DOC_KEYS} USING (key))) WHERE rn <= {POOL})"
 #: Fields of the index as SQL, with their weights.
 _FIELDS = {"title": ("text[1:80]", 10), "errors": (f"array_to_string({_CODES}, ' ')", 10), "problem": ("text[81:280]", 8), "solutions": ("right(text, 200)", 6), "packages_text": ("source || '-' || (doc_id % 5)", 5), "environment_text": ("lang", 3), "text": ("text", 1)}
 FIELDS = {name: weight for name, (_, weight) in _FIELDS.items()}
@@ -97,6 +101,17 @@ def h1(spark, sf_dir):
     return search.exact(asked(spark, sf_dir), documents(spark, sf_dir), POOL).select("query_id", "doc_id")
 
 
+_LIKE_KEYS = f"(SELECT doc_id AS query_id, unnest({_KEYS} [])) AS key FROM documents WHERE doc_id % 20 = 0)"
+
+
+@query("F3_error_signals", f"SELECT query_id, doc_id FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rn FROM (SELECT DISTINCT query_id, doc_id FROM {_LIKE_KEYS} JOIN {_DOC_KEYS} USING (key) WHERE doc_id % 11 <> 0)) WHERE rn <= {POOL}")
+def f3(spark, sf_dir):
+    """Active documents with an error code or fingerprint of every twentieth document."""
+    d = documents(spark, sf_dir)
+    q = d.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "codes", "fingerprints")
+    return search.exact(q, d.where("status = 'active'"), POOL).select("query_id", "doc_id")
+
+
 @query("H2_lexical_channel", f"SELECT query_id, doc_id, score FROM {_LEX}")
 def h2(spark, sf_dir):
     """Seven weighted fields, through a stored index."""
