@@ -17,25 +17,26 @@ from tarnwork.functions.text import BOUNDARY, nfkc
 PATTERNS = {
     "control_character": (r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f​-‏‪-‮⁠﻿]", ""),
     "internal_host": (rf"(?i){BOUNDARY}(?:https?://)?(?:[A-Za-z0-9-]+\.)+(?:internal|corp|lan|local)(?::\d{{1,5}})?{BOUNDARY}", "[REDACTED_INTERNAL_HOST]"),
-    "private_ip": (rf"{BOUNDARY}(?:10(?:\.\d{{1,3}}){{3}}|192\.168(?:\.\d{{1,3}}){{2}}|172\.(?:1[6-9]|2\d|3[01])(?:\.\d{{1,3}}){{2}}){BOUNDARY}", "[REDACTED_INTERNAL_HOST]"),
+    "private_ip": (rf"(?=1){BOUNDARY}(?:10(?:\.\d{{1,3}}){{3}}|192\.168(?:\.\d{{1,3}}){{2}}|172\.(?:1[6-9]|2\d|3[01])(?:\.\d{{1,3}}){{2}}){BOUNDARY}", "[REDACTED_INTERNAL_HOST]"),
     "repository_url": (rf"(?i){BOUNDARY}https?://(?:github\.com|gitlab\.com|bitbucket\.org)/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+(?:\.git)?{BOUNDARY}", "[REDACTED_REPOSITORY]"),
-    "secret": (rf"{BOUNDARY}(?:AKIA[A-Z0-9]{{16}}|gh[pousr]_[A-Za-z0-9]{{36,}}|xox[abprs]-[A-Za-z0-9-]{{10,}}|sk_live_[A-Za-z0-9]{{16,}}|npm_[A-Za-z0-9]{{36}}){BOUNDARY}|-----BEGIN [A-Z ]*PRIVATE KEY-----(?s:.*?)-----END [A-Z ]*PRIVATE KEY-----", "[REDACTED_SECRET]"),
+    "secret": (rf"(?=[Agnsx]){BOUNDARY}(?:AKIA[A-Z0-9]{{16}}|gh[pousr]_[A-Za-z0-9]{{36,}}|xox[abprs]-[A-Za-z0-9-]{{10,}}|sk_live_[A-Za-z0-9]{{16,}}|npm_[A-Za-z0-9]{{36}}){BOUNDARY}|-----BEGIN [A-Z ]*PRIVATE KEY-----(?s:.*?)-----END [A-Z ]*PRIVATE KEY-----", "[REDACTED_SECRET]"),
     "email": (rf"(?i){BOUNDARY}[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}{BOUNDARY}", "[REDACTED_EMAIL]"),
     "unix_home": (r"/(?:Users|home)/[^/\s]+", r"\$HOME"),
     "windows_home": (r"[A-Za-z]:\\Users\\[^\\\s]+", r"\$HOME"),
     "credential_url": (rf"(?i){BOUNDARY}((?:https?|ssh|git|mongodb(?:\+srv)?)://)[^\s/@:]+:[^\s/@]+@", "$1"),
     "sensitive_query": (r"(?i)([?&](?:token|key|api_key|apikey|secret|password|signature|credential)=)[^&#\s]+", r"$1[REDACTED]"),
 }
+#: A look at a pattern's first letter comes before the dearer look at the word's border.
 #: Text that every match of a step holds: rows without it skip the pattern.
 NEEDED = {"repository_url": "://", "email": "@", "unix_home": "/", "windows_home": ":\\", "credential_url": "@", "sensitive_query": "="}
 STEPS = tuple(PATTERNS)
 SHORT_STEPS = ("control_character", "secret", "email", "unix_home", "windows_home", "credential_url", "sensitive_query")
 INJECTION = (
-    rf"(?i){BOUNDARY}ignore (?:all |any )?(?:previous|prior|system|developer) instructions{BOUNDARY}",
-    rf"(?i){BOUNDARY}(?:reveal|print|exfiltrate|send) (?:the )?(?:system prompt|credentials|secrets?|tokens?){BOUNDARY}",
-    rf"(?i){BOUNDARY}(?:execute|call|invoke) (?:this |the )?(?:tool|command){BOUNDARY}",
-    rf"(?i){BOUNDARY}you are now (?:the |an? )?",
-    rf"(?i){BOUNDARY}do not treat (?:this|the following) as data{BOUNDARY}",
+    rf"(?i)(?=i){BOUNDARY}ignore (?:all |any )?(?:previous|prior|system|developer) instructions{BOUNDARY}",
+    rf"(?i)(?=[reps]){BOUNDARY}(?:reveal|print|exfiltrate|send) (?:the )?(?:system prompt|credentials|secrets?|tokens?){BOUNDARY}",
+    rf"(?i)(?=[eci]){BOUNDARY}(?:execute|call|invoke) (?:this |the )?(?:tool|command){BOUNDARY}",
+    rf"(?i)(?=y){BOUNDARY}you are now (?:the |an? )?",
+    rf"(?i)(?=d){BOUNDARY}do not treat (?:this|the following) as data{BOUNDARY}",
 )
 CODE_LINE = r"^\s*(?:import |export |class |function |const |let |var |interface |type |[{}]|</?[A-Za-z])"
 

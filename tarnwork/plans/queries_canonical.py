@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnwork.operators import canonical
+from tarnwork.operators import canonical, records
 from tarnwork.plans.catalog import query, table
 from tarnwork.plans.shared import written
 
@@ -93,6 +93,30 @@ def r15_events(spark, sf_dir):
     return canonical.membership_events(before, after)
 
 
+@query(
+    "R15_membership_changes",
+    """WITH ev AS (SELECT l_orderkey AS c, l_linenumber AS n, CASE WHEN l_linenumber = 7 THEN 'conflict' WHEN l_returnflag = 'R' THEN 'split' WHEN l_returnflag = 'A' THEN 'reassign' ELSE 'attach' END AS kind, l_suppkey % 60 AS r FROM (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1, 2)),
+before AS (SELECT o_orderkey AS c, CAST(o_custkey % 50 AS BIGINT) AS r FROM orders WHERE o_orderkey % 5 <> 0),
+codes AS (SELECT c, list(CAST(CASE kind WHEN 'attach' THEN r WHEN 'reassign' THEN 1000 + r ELSE 2000 END AS BIGINT) ORDER BY n) AS es FROM ev WHERE kind <> 'conflict' GROUP BY 1),
+state AS (SELECT c, list_reduce(list_prepend(coalesce(r, -1), coalesce(es, [])), lambda s, e: CASE WHEN e >= 2000 THEN -1 WHEN e >= 1000 THEN CASE WHEN s >= 0 THEN e - 1000 ELSE s END WHEN s >= 0 THEN s ELSE e END) AS r FROM before FULL JOIN codes USING (c)),
+members AS (SELECT c, r, 1 AS own FROM state WHERE r >= 0 UNION ALL SELECT DISTINCT c, r, 0 FROM ev WHERE kind = 'conflict'),
+known AS (SELECT r FROM before UNION SELECT r FROM ev)
+SELECT known.r AS record_id, coalesce(sum(own), 0)::BIGINT AS supporting, count(*) FILTER (WHERE own = 0) AS conflicting, min(CASE WHEN own = 1 THEN c END) AS representative, CASE WHEN coalesce(sum(own), 0) > 0 THEN 'active' ELSE 'archived' END AS status FROM known LEFT JOIN members ON members.r = known.r GROUP BY 1""",
+)
+def r15_changes(spark, sf_dir):
+    """A log of events on the memberships of orders; only records that it touches are rebuilt."""
+    c, none = F.col, F.lit(None)
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 5 <> 0")
+    before = o.select(c("o_orderkey").cast("long").alias("candidate_id"), (c("o_custkey") % 50).cast("long").alias("record_id"), F.lit("supporting").alias("disposition"), F.lit("first").alias("solution_key"), none.cast("long").alias("since"), none.cast("long").alias("until"))
+    kind = F.when(c("l_linenumber") == 7, "conflict").when(c("l_returnflag") == "R", "split").when(c("l_returnflag") == "A", "reassign").otherwise("attach")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(n).alias(n) for n in ("l_returnflag", "l_suppkey", "l_linestatus")])
+    events = lines.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("operation_id"), (c("l_orderkey") * 10 + c("l_linenumber")).cast("long").alias("sequence"), kind.alias("kind"), c("l_orderkey").cast("long").alias("candidate_id"), (c("l_suppkey") % 60).cast("long").alias("record_id"), c("l_linestatus").alias("solution_key"))
+    change = records.changed(before, events)
+    known = before.select("record_id").union(events.select("record_id"))
+    kept = records.rebuilt(known, before).join(change.records.select("record_id"), "record_id", "left_anti")
+    return kept.unionByName(change.records).drop("digest")
+
+
 @query("A16_solution_groups", "SELECT l_partkey, l_returnflag AS solution_key, arg_max(l_orderkey, (l_extendedprice, -l_orderkey)) AS representative, count(*) AS n, array_to_string(list_sort(list_distinct(list(l_linenumber))), ',') AS evidence FROM lineitem GROUP BY 1, 2")
 def a16(spark, sf_dir):
     g = table(spark, sf_dir, "lineitem").groupBy("l_partkey", F.col("l_returnflag").alias("solution_key"))
