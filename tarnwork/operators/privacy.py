@@ -29,6 +29,8 @@ PATTERNS = {
 #: A look at a pattern's first letter comes before the dearer look at the word's border.
 #: Text that every match of a step holds: rows without it skip the pattern.
 NEEDED = {"repository_url": "://", "email": "@", "unix_home": "/", "windows_home": ":\\", "credential_url": "@", "sensitive_query": "="}
+#: The same, where it takes a cheap pattern to tell.
+HINTS = {"internal_host": r"(?i)\.(?:internal|corp|lan|local)"}
 STEPS = tuple(PATTERNS)
 SHORT_STEPS = ("control_character", "secret", "email", "unix_home", "windows_home", "credential_url", "sensitive_query")
 INJECTION = (
@@ -38,13 +40,16 @@ INJECTION = (
     rf"(?i)(?=y){BOUNDARY}you are now (?:the |an? )?",
     rf"(?i)(?=d){BOUNDARY}do not treat (?:this|the following) as data{BOUNDARY}",
 )
+#: White space and line ends of JavaScript, at either end of a text.
+_EDGES = "[\\t-\\r \\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
+EDGES = f"^{_EDGES}+|(?<!{_EDGES}){_EDGES}+$"
 CODE_LINE = r"^\s*(?:import |export |class |function |const |let |var |interface |type |[{}]|</?[A-Za-z])"
 
 
 def step(df: DataFrame, name: str) -> DataFrame:
     """Replace what the step looks for in ``text``; ``found`` (int) counts it. A null text has none."""
     pattern, put = PATTERNS[name]
-    may = F.col("text").contains(NEEDED.get(name, ""))
+    may = F.col("text").rlike(HINTS[name]) if name in HINTS else F.col("text").contains(NEEDED.get(name, ""))
     out = df.withColumn("__new", F.when(may, F.regexp_replace("text", pattern, put)).otherwise(F.col("text")))
     # most texts have no match: they are searched once, and counted in only if they changed or might hold what is put in
     some = (F.col("__new") != F.col("text")) | F.col("text").contains("[REDACTED]")
@@ -70,7 +75,7 @@ def mostly_redacted(before: Column, after: Column) -> Column:
 
 
 def sanitize(df: DataFrame, steps: tuple[str, ...] = STEPS) -> DataFrame:
-    """``df`` with a sanitised ``text``, counts ``n_<step>``, and ``status``: rejected, quarantined, sanitized or clean.
+    """``df`` with a sanitised, trimmed ``text``, counts ``n_<step>``, and ``status``: rejected, quarantined, sanitized or clean.
 
     A null text is clean and stays null.
     """
@@ -85,7 +90,7 @@ def sanitize(df: DataFrame, steps: tuple[str, ...] = STEPS) -> DataFrame:
         .when(total > 0, "sanitized")
         .otherwise("clean")
     )
-    return out.withColumn("status", status).drop("__size")
+    return out.withColumn("status", status).withColumn("text", F.regexp_replace("text", EDGES, "")).drop("__size")
 
 
 def finding_counts(df: DataFrame, steps: list[str]) -> DataFrame:

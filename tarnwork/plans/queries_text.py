@@ -312,12 +312,40 @@ def p8(spark, sf_dir):
     return d.select("doc_id", privacy.mostly_redacted(F.length("text"), F.length(cleaned)).alias("rejected"))
 
 
-@query("P3_sanitize_documents")
+_KEYS = "(?:token|key|api_key|apikey|secret|password|signature|credential)"
+#: What each step of the sanitiser looks for and puts in, as SQL.
+_STEP_SQL = {
+    "control_character": (_CONTROL, ""),
+    "internal_host": (_HOST, "[REDACTED_INTERNAL_HOST]"),
+    "private_ip": (_IP, "[REDACTED_INTERNAL_HOST]"),
+    "repository_url": (_REPOSITORY, "[REDACTED_REPOSITORY]"),
+    "secret": (_SECRET + "|-----BEGIN [A-Z ]*PRIVATE KEY-----(?s:.*?)-----END [A-Z ]*PRIVATE KEY-----", "[REDACTED_SECRET]"),
+    "email": (f"\\b{_MAIL}\\b", "[REDACTED_EMAIL]"),
+    "unix_home": ("/(?:Users|home)/[^/\\s]+", "$HOME"),
+    "windows_home": ("[A-Za-z]:\\\\Users\\\\[^\\\\\\s]+", "$HOME"),
+    "credential_url": ("(?i)\\b((?:https?|ssh|git|mongodb(?:\\+srv)?)://)[^\\s/@:]+:[^\\s/@]+@", "\\1"),
+    "sensitive_query": (f"(?i)([?&]{_KEYS}=)[^&#\\s]+", "\\1[REDACTED]"),
+}
+_SPACES = "[\\t-\\r \\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
+
+
+def _sanitized(name, keys, steps):
+    rows = f"SELECT {keys}, text AS raw, text AS t FROM {name}"
+    for s in steps:
+        pattern, put = _STEP_SQL[s]
+        rows = f"SELECT * REPLACE (regexp_replace(t, '{pattern}', '{put}', 'g') AS t), coalesce(len(regexp_extract_all(t, '{pattern}')), 0) AS n_{s} FROM ({rows})"
+    lines = "string_split(t, chr(10))"
+    bad = f"regexp_matches(t, '-----BEGIN [A-Z ]*PRIVATE KEY-----') OR regexp_matches(t, '{_SECRET}') OR len({lines}) > 40 OR (len({lines}) >= 12 AND len(list_filter({lines}, lambda x: regexp_matches(x, '{_CODELIKE}'))) >= 10) OR greatest(0, length(raw) - length(t)) > 0.6 * length(raw)"
+    status = f"CASE WHEN {bad} THEN 'rejected' WHEN {_HITS.replace('(text,', '(t,')} > 0 THEN 'quarantined' WHEN {' + '.join(f'n_{s}' for s in steps)} > 0 THEN 'sanitized' ELSE 'clean' END"
+    return f"SELECT {keys}, regexp_replace(t, '^{_SPACES}+|{_SPACES}+$', '', 'g') AS text, {', '.join(f'n_{s}' for s in steps)}, {status} AS status FROM ({rows})"
+
+
+@query("P3_sanitize_documents", _sanitized("documents", "doc_id", privacy.STEPS), ints=tuple(f"n_{s}" for s in privacy.STEPS))
 def p3(spark, sf_dir):
     return privacy.sanitize(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query("P9_short_text_variant")
+@query("P9_short_text_variant", _sanitized("conversations", "conv_id, turn", privacy.SHORT_STEPS), ints=tuple(f"n_{s}" for s in privacy.SHORT_STEPS))
 def p9(spark, sf_dir):
     return privacy.sanitize(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), privacy.SHORT_STEPS)
 
