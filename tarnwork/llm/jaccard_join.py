@@ -36,7 +36,7 @@ WORDS = 5
 SIMILAR = (8, 10)
 FRAGMENTS = 8
 #: Counters of shingles, a power of two, and how many of them a row holds.
-CELLS, CELL_ROW = 1 << 22, 1 << 14
+CELLS, CELL_ROW = 1 << 21, 1 << 14
 #: A shingle whose counter is above this, and above 8 times the mean, is dealt over several tasks.
 HEAVY = 500
 #: Sets that share one shingle beyond this many are compared with one of them first; those still apart from the
@@ -104,12 +104,12 @@ def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, held, size = np.zeros(CELLS, np.int64), [], 0
     for b in batches:
         for t in b.column(0):
-            held.append(_cell(shingle_set(t.as_py())))
+            held.append(_cell(shingle_set(t.as_py())).astype(np.int32))
             size += len(held[-1])
-            if size > CELLS:
+            if size > CELLS // 4:
                 total += np.bincount(np.concatenate(held), minlength=CELLS)
                 held, size = [], 0
-    total += np.bincount(np.concatenate([*held, np.empty(0, np.int64)]), minlength=CELLS)
+    total += np.bincount(np.concatenate([*held, np.empty(0, np.int32)]), minlength=CELLS)
     for at, row in enumerate(total.reshape(-1, CELL_ROW)):
         if row.any():
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([_pressed(row)], pa.binary())], ["at", "counts"])
@@ -189,18 +189,20 @@ def _prints(order, more: Callable[[np.ndarray], int] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for b in batches:
-            digests, sizes, prefixes, bits, extra = [], [], [], [], []
-            for t in b.column(3):
-                s = shingle_set(t.as_py())
-                digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-                sizes.append(len(s))
-                prefixes.append(order.value.sorted(s)[: prefix_size(len(s))].tobytes() if len(s) else b"")
-                bits.append(bitmap(s))
-                extra.append(more(s) if more and len(s) else 0)
-            fp = pa.array(np.array(extra, np.uint64).astype(np.int64))
-            columns = [*b.columns[:3], pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(bits, pa.binary()), fp]
-            yield pa.RecordBatch.from_arrays(columns, [*KEY, "digest", "n", "prefix", "bits", "fp"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                digests, sizes, prefixes, bits, extra = [], [], [], [], []
+                for t in b.column(3):
+                    s = shingle_set(t.as_py())
+                    digests.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    sizes.append(len(s))
+                    prefixes.append(order.value.sorted(s)[: prefix_size(len(s))].tobytes() if len(s) else b"")
+                    bits.append(bitmap(s))
+                    extra.append(more(s) if more and len(s) else 0)
+                fp = pa.array(np.array(extra, np.uint64).astype(np.int64))
+                columns = [*b.columns[:3], pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(bits, pa.binary()), fp]
+                yield pa.RecordBatch.from_arrays(columns, [*KEY, "digest", "n", "prefix", "bits", "fp"])
 
     return run
 

@@ -33,7 +33,7 @@ STRANGE, SLACK = 2.0, 200.0
 UNDECIDED = "und"
 
 _PAD = b"   "
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _HASH = np.uint32(2654435761)
 
 
