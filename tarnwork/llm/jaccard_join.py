@@ -135,14 +135,16 @@ class Order:
     """The global order of shingles: by the count of their cell, then the cell, then their hash; and its fragments."""
 
     def __init__(self, counts: np.ndarray):
-        by = np.argsort(counts, kind="stable")
+        by = np.argsort(counts, kind="stable").astype(np.int32)
         self.rank = np.empty(len(counts), np.int32)
         self.rank[by] = np.arange(len(counts), dtype=np.int32)
-        weight = np.cumsum(counts[by])
+        rising = counts[by]
+        del by
+        weight = np.cumsum(rising)
         self.cuts = np.searchsorted(weight, weight[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS).astype(np.int32)
         limit = max(HEAVY, 8 * int(weight[-1]) // len(counts))
-        self.first_heavy = int(np.searchsorted(counts[by], limit, "right"))  # ranks from here on are heavy
-        self.parts = np.minimum(counts[by][self.first_heavy :] // limit + 1, 1 << 20).astype(np.int32)
+        self.first_heavy = int(np.searchsorted(rising, limit, "right"))  # ranks from here on are heavy
+        self.parts = np.minimum(rising[self.first_heavy :] // limit + 1, 1 << 20).astype(np.int32)
 
     def sorted(self, shingles: np.ndarray) -> np.ndarray:
         return shingles[np.lexsort((shingles, self.rank[_cell(shingles)]))]
