@@ -88,6 +88,12 @@ def confidence(eligible: DataFrame, as_of: Column) -> DataFrame:
         F.countDistinct(F.when(failed, F.col("user_id"))).alias("failing_users"),
         F.countDistinct(F.when((F.col("outcome") == "misleading_or_unsafe") & (F.col("__age") <= SAFETY_DAYS), F.col("user_id"))).alias("unsafe_users"),
     )
+    return graded(g)
+
+
+def graded(g: DataFrame) -> DataFrame:
+    """The intervals, score, grade and trend of paths whose sums are known: __any, __full, __rec and __base (weights,
+    squares, successes), recent_failures, failing_users and unsafe_users."""
     ess, any_low, any_high = _bounds("any")
     _, full_low, _ = _bounds("full")
     rec_n, rec_low, _ = _bounds("rec")

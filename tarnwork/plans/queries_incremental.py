@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarnwork.operators import jobs, tables
@@ -78,6 +79,18 @@ def t_stream(spark, sf_dir):
     path, tag = f"{sf_dir}/events.parquet", uuid.uuid4().hex
     schema = spark.read.parquet(path).schema
     # a stream over one file needs a pattern, else Spark takes the path for a folder
-    running = incremental.stream_counts(spark, path[:-1] + "[t]", schema, "ts", "event_type", f"{shared_dir(spark)}/stream-{tag}", f"counts_{tag}")
-    running.awaitTermination()
-    return spark.table(f"counts_{tag}").select(F.col("window.start").alias("day"), "event_type", F.col("count").alias("n"))
+    out = f"{shared_dir(spark)}/counts-{tag}"
+    incremental.stream_counts(spark, path[:-1] + "[t]", schema, "ts", "event_type", f"{shared_dir(spark)}/stream-{tag}", out).awaitTermination()
+    return incremental.latest_counts(spark, out, "event_type").select(F.col("window.start").alias("day"), "event_type", F.col("count").alias("n"))
+
+
+@query("T1_T2_stream_rereads", "SELECT event_id, md5(props) AS digest, count(*) OVER (PARTITION BY event_id) AS times FROM events")
+def t2_stream(spark, sf_dir):
+    """Every event, read twice: a second reader begins 24 hours before its cursor and meets what the first one read."""
+    path, tag = f"{sf_dir}/events.parquet", uuid.uuid4().hex
+    read = lambda: spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + "[t]").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.md5(F.col("props").cast("binary")).alias("digest"))
+    rows = read().union(incremental.since_cursor(read(), "ts", "2024-01-20"))
+    out = f"{shared_dir(spark)}/revisions-{tag}"
+    incremental.stream_revisions(rows, "ts", ["event_id", "digest"], out, f"{shared_dir(spark)}/stream-{tag}").awaitTermination()
+    times = F.count("*").over(Window.partitionBy("event_id"))
+    return spark.read.parquet(out).select("event_id", "digest", times.alias("times"))

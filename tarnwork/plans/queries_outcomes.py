@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
+
 from pyspark.sql import functions as F
 
 from tarnwork.functions import scores
-from tarnwork.operators import outcomes
+from tarnwork.operators import outcomes, rescoring
 from tarnwork.plans.catalog import query, table
+from tarnwork.plans.shared import shared_dir
 
 _EVENT = "CASE event_type WHEN 'purchase' THEN 'solved' WHEN 'click' THEN 'partially_helped' WHEN 'error' THEN 'attempted_failed' WHEN 'signup' THEN 'incompatible_environment' ELSE 'not_used' END"
 _ORDER = "CASE o_orderstatus WHEN 'F' THEN 'solved' WHEN 'P' THEN 'partially_helped' ELSE 'attempted_failed' END"
@@ -158,3 +162,28 @@ def r20(spark, sf_dir):
     rows = from_events(spark, sf_dir)
     opened = rows.where("outcome = 'incompatible_environment' and bucket = 'v1' and user_id < 3").select("path")
     return rows.where("outcome = 'attempted_failed' and bucket = 'v0'").select("path").distinct().join(opened, "path", "left_anti")
+
+
+RESCORED = ("1998-01-01", "2000-06-01", "2001-08-02")
+_GRADED = "round(ess, 6) AS ess, round(any_low, 6) AS any_low, round(any_high, 6) AS any_high, score, round(rn, 6) AS recent_n, bn AS base_n, round(lb_drop, 6) AS \"drop\", recent_failures, failing_users, CASE WHEN rn >= 5 AND bn >= 10 THEN CASE WHEN lb_drop >= 0.2 AND recent_failures >= 3 AND failing_users >= 3 THEN 'declining' ELSE 'stable' END ELSE 'insufficient' END AS trend"
+
+
+def _from_scratch(day: str) -> str:
+    sql = _CONF.replace(_OR, f"(SELECT * FROM {_OR} WHERE t < TIMESTAMP '{day}')").replace(ORDERS_AS_OF, day)
+    return f"SELECT * FROM ({sql} SELECT '{day}' AS as_of, path, {_GRADED} FROM c)"
+
+
+@query("T8_rescoring", " UNION ALL ".join(_from_scratch(d) for d in RESCORED))
+def t8(spark, sf_dir):
+    """Confidence on three dates; each reads the stored state of the date before and the reports since then."""
+    rows, where = from_orders(spark, sf_dir), f"{shared_dir(spark)}/rescoring-{uuid.uuid4().hex}"
+    held, before, found = None, None, []
+    for day in RESCORED:
+        date = datetime.date.fromisoformat(day)
+        fresh = rows.where(F.col("at") < as_of(day))
+        new = rescoring.state(fresh if before is None else fresh.where(F.col("at") >= as_of(before)), date)
+        held = rescoring.saved(new if held is None else rescoring.merged(held, new), f"{where}/{day}")
+        before = day
+        found.append(rescoring.rescored(held).withColumn("as_of", F.lit(day)))
+    got = found[0].unionByName(found[1]).unionByName(found[2])
+    return _rounded(got.select("as_of", "path", "ess", "any_low", "any_high", "score", "recent_n", "base_n", "drop", "recent_failures", "failing_users", "trend"))

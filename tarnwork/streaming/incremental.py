@@ -54,11 +54,41 @@ def greedy_prefix(df: DataFrame, key: str, order: str, size: str, budget: int) -
     return fold_in_order(df.drop("kept"), [key], [order], [size], "kept", BooleanType(), budget, step)
 
 
-def stream_counts(spark: SparkSession, path: str, schema, at: str, key: str, checkpoint: str, name: str, delay: str = "24 hours", width: str = "1 day"):
+def _write_batch(df: DataFrame, out: str, batch: int) -> None:
+    """A batch that runs again replaces its own folder, so its rows are there once."""
+    df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+
+def _started(rows: DataFrame, out: str, checkpoint: str, mode: str):
+    write = lambda df, batch: _write_batch(df, out, batch)
+    return rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
+def stream_revisions(rows: DataFrame, at: str, keys: list[str], out: str, checkpoint: str, delay: str = "24 hours"):
+    """Start a stream that writes each (keys) of ``rows`` once to Parquet folders under ``out``, one for each batch.
+
+    ``rows`` is a streaming frame in which rows come again: a reread overlaps the one before by up to ``delay``. Keys
+    are an id and a digest, so an unchanged row falls away and a changed one passes. Keys are remembered until the
+    watermark passes their ``at`` by ``delay``, so the state holds the overlap and not the history; rows older than the
+    watermark, and rows without ``at``, are taken as seen once the watermark has begun. Stops when all present files
+    are read; started again with the same ``checkpoint`` and ``out``, it goes on after the last whole batch.
+    """
+    fresh = rows.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
+    return _started(fresh, out, checkpoint, "append")
+
+
+def stream_counts(spark: SparkSession, path: str, schema, at: str, key: str, checkpoint: str, out: str, delay: str = "24 hours", width: str = "1 day"):
     """Start a stream over Parquet files that counts rows by key and window, with late rows up to ``delay``.
 
-    Writes to an in-memory table ``name`` and stops when all present files are read.
+    Each batch writes the windows that it changed to a folder of its own under ``out``; ``latest_counts`` reads them.
+    Stops when all present files are read.
     """
     rows = spark.readStream.schema(schema).parquet(path).withColumn(at, F.col(at).cast("timestamp"))
     counted = rows.withWatermark(at, delay).groupBy(F.window(at, width), key).count()
-    return counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _started(counted, out, checkpoint, "update")
+
+
+def latest_counts(spark: SparkSession, out: str, key: str) -> DataFrame:
+    """window, key, count as the last batch that changed them left them."""
+    rows = spark.read.parquet(out)
+    return rows.groupBy("window", key).agg(F.max_by("count", "batch").alias("count"))
