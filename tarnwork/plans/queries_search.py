@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarnwork.functions import text, versions
-from tarnwork.operators import search, text_index, vector_index
+from tarnwork.operators import embedding_budget, search, text_index, vector_index
 from tarnwork.plans.catalog import query, table
 from tarnwork.plans.shared import shared_dir
 
@@ -248,3 +248,17 @@ def h6(spark, sf_dir):
     return got.fillna("unavailable", ["exact", "lexical"])
 
 
+CALLS = 40
+_INPUTS = "SELECT doc_id, md5(text) AS digest FROM documents"
+
+
+@query(
+    "H7_embedding_budget",
+    f"""WITH d AS ({_INPUTS}), have AS (SELECT digest FROM d WHERE doc_id IN (SELECT vec_id FROM embeddings) AND digest IS NOT NULL),
+    r AS (SELECT digest, min(doc_id) AS lead, row_number() OVER (ORDER BY min(doc_id)) AS call FROM d WHERE digest NOT IN (SELECT digest FROM have) GROUP BY digest)
+    SELECT doc_id, call, CASE WHEN digest IS NULL THEN 'no_input' WHEN call IS NULL THEN 'reused' WHEN call > {CALLS} THEN 'exhausted' WHEN doc_id = lead THEN 'computed' ELSE 'shared' END AS state FROM d LEFT JOIN r USING (digest)""",
+)
+def h7_budget(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+    have = d.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    return embedding_budget.planned_calls(d, have, "digest", "doc_id", CALLS).select("doc_id", "call", "state")
