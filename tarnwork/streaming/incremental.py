@@ -69,11 +69,11 @@ def stream_revisions(rows: DataFrame, at: str, keys: list[str], out: str, checkp
 
     ``rows`` is a streaming frame in which rows come again: a reread overlaps the one before by up to ``delay``. Keys
     are an id and a digest, so an unchanged row falls away and a changed one passes. Keys are remembered until the
-    watermark passes their ``at`` by ``delay``, so the state holds the overlap and not the history; rows older than the
-    watermark, and rows without ``at``, are taken as seen once the watermark has begun. Stops when all present files
+    watermark passes their ``at`` by ``delay``, so the state holds the overlap and not the history. Rows older than the
+    watermark, and rows without ``at``, are not written. Stops when all present files
     are read; started again with the same ``checkpoint`` and ``out``, it goes on after the last whole batch.
     """
-    fresh = rows.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
+    fresh = rows.where(F.col(at).isNotNull()).withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
     return _started(fresh, out, checkpoint, "append")
 
 
