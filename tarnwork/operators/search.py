@@ -205,10 +205,19 @@ def rescore(final: Column, old_points: Column, old_penalties: Column, status: Co
     return F.greatest(F.lit(0), F.least(limit, F.least(F.lit(100), final - old_points - old_penalties + points + new)))
 
 
-def embedded_diagnostic(text: Column, stored: Column) -> Column:
-    """Whether a normalised text holds a distinctive normalised diagnostic as whole words."""
-    d = F.regexp_replace(stored, r"[.!;]+$", "")
+def trimmed_diagnostic(stored: Column) -> Column:
+    return F.regexp_replace(stored, r"[.!;]+$", "")
+
+
+def telling_diagnostic(stored: Column) -> Column:
+    """Whether a normalised diagnostic is long, names a failure and has a mark or code, so that finding it says something."""
+    d = trimmed_diagnostic(stored)
     telling = d.rlike(f"{BOUNDARY}(?:error|exception|does not exist|cannot|failed|not found|unable|undefined){BOUNDARY}")
     marked = d.rlike(rf"[\"'`<>]|{BOUNDARY}(?:err_[a-z0-9_]+|ts\d{{3,5}}){BOUNDARY}")
-    inside = F.regexp_like(text, F.concat(F.lit(r"(?<![A-Za-z0-9_$])\Q"), d, F.lit(r"\E(?![A-Za-z0-9_$])")))
-    return (F.length(d) >= 24) & telling & marked & inside
+    return (F.length(d) >= 24) & telling & marked
+
+
+def embedded_diagnostic(text: Column, stored: Column) -> Column:
+    """Whether a normalised text holds a distinctive normalised diagnostic as whole words."""
+    inside = F.regexp_like(text, F.concat(F.lit(r"(?<![A-Za-z0-9_$])\Q"), trimmed_diagnostic(stored), F.lit(r"\E(?![A-Za-z0-9_$])")))
+    return telling_diagnostic(stored) & inside

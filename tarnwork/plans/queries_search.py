@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarnwork.functions import text, versions
-from tarnwork.operators import embedding_budget, search, text_index, vector_index
+from tarnwork.operators import diagnostics, embedding_budget, search, text_index, vector_index, version_join
 from tarnwork.plans.catalog import query, table
 from tarnwork.plans.shared import shared_dir
 
@@ -218,6 +218,53 @@ def x18(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", versions.version_fit(want, held).alias("fit"))
 
 
+_LOG = """(SELECT *, lead(line) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS next_line FROM (SELECT *, event_type || ' ' || props || ' value ' || printf('%.2f', value) AS line FROM events))"""
+
+
+@query(
+    "X17_stored_diagnostics",
+    f"""WITH e AS {_LOG}, logs AS (SELECT user_id, CAST(ts AS DATE) AS day, string_agg(line, ' ' ORDER BY ts, event_id) AS body FROM e GROUP BY 1, 2),
+    d AS (SELECT DISTINCT line AS diagnostic FROM e WHERE event_type = 'error' UNION SELECT DISTINCT line || ' ' || next_line FROM e WHERE event_type = 'error' AND next_line IS NOT NULL)
+    SELECT user_id, strftime(day, '%Y-%m-%d') AS day, diagnostic FROM logs JOIN d ON contains(' ' || body || ' ', ' ' || diagnostic || ' ')""",
+)
+def x17_stored(spark, sf_dir):
+    """Error lines of the events, alone and with the line that follows, in the log of every user and day."""
+    line = F.concat_ws(" ", "event_type", "props", F.lit("value"), F.format_string("%.2f", "value"))
+    day = F.date_format("ts", "yyyy-MM-dd").alias("day")
+    e = table(spark, sf_dir, "events").select("user_id", day, "ts", "event_id", "event_type", line.alias("line"))
+    after = F.lead("line").over(Window.partitionBy("user_id", "day").orderBy("ts", "event_id"))
+    bad = e.withColumn("after", after).where("event_type = 'error'").select(F.explode(F.array_compact(F.array("line", F.concat("line", F.lit(" "), "after")))).alias("diagnostic"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "line"))), lambda x: x["line"])
+    logs = e.groupBy("user_id", "day").agg(F.array_join(ordered, " ").alias("body")).withColumn("log_id", F.concat_ws("|", "user_id", "day"))
+    found = diagnostics.embedded(logs.select("log_id", "body"), bad, "log_id", "body", "diagnostic")
+    part = F.split("log_id", r"\|")
+    return found.select(part[0].cast(e.schema["user_id"].dataType).alias("user_id"), part[1].alias("day"), "diagnostic")
+
+
+_SPANS = """SELECT p_partkey, lower(p_brand) AS subject, k, n, CASE k WHEN 0 THEN n * 100 + m WHEN 1 THEN n * 100 WHEN 2 THEN n * 100 ELSE -1 END AS low, CASE k WHEN 0 THEN (n + 1) * 100 WHEN 1 THEN (n + m) * 100 WHEN 2 THEN (n + 1) * 100 ELSE -1 END AS high FROM (SELECT p_partkey, p_brand, p_partkey % 4 AS k, p_size AS n, 1 + p_partkey % 7 AS m FROM part)"""
+
+
+@query(
+    "X18_version_join",
+    f"""WITH s AS ({_SPANS}), a AS (SELECT p_partkey AS asked, lower(p_brand) AS subject, p_partkey % 3 AS k, p_size AS n, p_size * 100 + p_partkey % 9 AS spot FROM part WHERE p_partkey % 20 = 0)
+    SELECT asked, p_partkey AS stored, CASE WHEN a.k = 2 AND s.k = 3 THEN 'exact' ELSE 'compatible' END AS fit FROM a JOIN s USING (subject)
+    WHERE CASE WHEN a.k = 2 OR s.k = 3 THEN a.n = s.n WHEN a.k = 0 THEN s.low <= spot AND spot < s.high ELSE s.low < (a.n + 1) * 100 AND spot < s.high END""",
+)
+def x18_join(spark, sf_dir):
+    """Constraints of every twentieth part against those of all parts of its brand: versions, carets, bounded ranges, wildcards, texts."""
+    c, text = F.col, F.concat
+    n, m = c("p_size"), 1 + c("p_partkey") % 7
+    p = table(spark, sf_dir, "part")
+    held = F.when(c("p_partkey") % 4 == 0, text(F.lit("^"), n, F.lit("."), m, F.lit(".0"))).when(c("p_partkey") % 4 == 1, text(F.lit(">="), n, F.lit(".0.0 <"), n + m, F.lit(".0.0-0"))).when(c("p_partkey") % 4 == 2, text(n, F.lit(".x"))).otherwise(text(F.lit("SDK "), n))
+    minor = c("p_partkey") % 9
+    wants = F.when(c("p_partkey") % 3 == 0, text(n, F.lit("."), minor, F.lit(".0"))).when(c("p_partkey") % 3 == 1, text(F.lit(">="), n, F.lit("."), minor, F.lit(".0 <"), n + 1, F.lit(".0.0-0"))).otherwise(text(F.lit("sdk "), n))
+    entry = lambda s, v: F.array(F.struct(s.alias("subject"), v.alias("value"))).alias("entries")
+    a = p.where("p_partkey % 20 = 0").select(c("p_partkey").alias("asked"), entry(F.upper("p_brand"), wants))
+    s = p.select(c("p_partkey").alias("stored"), entry(c("p_brand"), held))
+    fits = version_join.fitting_sets(a, s, "entries")
+    return fits.join(a.withColumn("asked_set", version_join.set_key(c("entries"))), "asked_set").join(s.withColumn("stored_set", version_join.set_key(c("entries"))), "stored_set").select("asked", "stored", "fit")
+
+
 @query(
     "R16_search_projection",
     "SELECT doc_id, sha256(title || chr(10) || problem || chr(10) || ecosystem || chr(10) || text[1:200000]) AS content_hash, sha256(trust || '|' || moderation || '|' || freshness || '|' || status) AS state_hash, length(text[1:200000]) AS chars FROM (" + _DOC + ")", ints=("chars",))
