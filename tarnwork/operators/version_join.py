@@ -51,18 +51,23 @@ def _parsed(values: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_read(v) for v in values], columns=["same", "number", "ranged", "spans"])
 
 
+def _shifted(rank: Column, k: Column) -> Column:
+    return F.call_function("shiftright", rank, k)
+
+
 def _nodes(low: Column, high: Column, levels: int) -> Column:
     """The tree nodes that cover the ranks from ``low`` up to and without ``high``."""
-    out = []
-    for k in range(levels + 1):
-        left, right = F.shiftright(low + ((1 << k) - 1), k), F.shiftright(high, k)
-        node = lambda cond, v: F.when((left < right) & cond, F.struct(F.lit(k).alias("level"), v.alias("node")))  # noqa: B023, E731
-        out += [node(left % 2 == 1, left), node(right % 2 == 1, right - 1)]
-    return F.array_compact(F.array(*out))
+
+    def of_level(k: Column) -> Column:
+        left, right = -_shifted(-low, k), _shifted(high, k)
+        node = lambda cond, v: F.when((left < right) & cond, F.struct(k.alias("level"), v.alias("node")))
+        return F.array(node(left % 2 == 1, left), node(right % 2 == 1, right - 1))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), of_level)))
 
 
 def _path(rank: Column, levels: int) -> Column:
-    return F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(rank, k).alias("node")) for k in range(levels + 1)])
+    return F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(k.alias("level"), _shifted(rank, k).alias("node")))
 
 
 def _overlaps(read: DataFrame) -> DataFrame:
