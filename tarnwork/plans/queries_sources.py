@@ -93,16 +93,17 @@ CLAIM = Record({"lang": Text(choices=("en", "de", "es")), "text": Text(2_000), "
 
 @query(
     "X33_issue_lists",
-    r"""WITH j AS (SELECT doc_id, '{"lang":"' || lang || '","text":"' || text || '","evidence":[{"sourceItemId":"' || (doc_id + 1) || '","excerpt":"' || text[1:50] || '"}],"' || CASE WHEN length(text) % 5 = 0 THEN 'other' ELSE 'note' END || '":"' || source || '"}' AS body FROM documents),
+    r"""WITH j AS (SELECT doc_id, '{"lang":"' || lang || '","text":"' || replace(text, chr(10), '\n') || '","evidence":[{"sourceItemId":"' || (doc_id + length(text) % 2) || '","excerpt":"' || replace(text[1:50], chr(10), '\n') || '"}],"' || CASE WHEN length(text) % 5 = 0 THEN 'other' ELSE 'note' END || '":"' || source || '"}' AS body FROM documents),
     v AS (SELECT doc_id, coalesce(json_valid(body), false) AS ok, CASE WHEN json_valid(body) THEN body END AS b FROM j),
     x AS (SELECT doc_id, ok, b ->> '$.lang' AS lang, regexp_replace(b ->> '$.text', '^\s+|\s+$', '', 'g') AS t, regexp_replace(b ->> '$.evidence[0].excerpt', '^\s+|\s+$', '', 'g') AS e, b ->> '$.note' AS note, b ->> '$.other' AS other FROM v),
-    i AS (SELECT x.doc_id, CASE WHEN NOT ok THEN ':invalid_json' ELSE concat_ws(',', CASE WHEN lang NOT IN ('en', 'de', 'es') THEN 'lang:choice' END, CASE WHEN t = '' THEN 'text:short' WHEN length(t) > 2000 THEN 'text:long' END, CASE WHEN e = '' THEN 'evidence.0.excerpt:short' END, CASE WHEN length(trim(note)) > 40 THEN 'note:long' WHEN trim(note) = '' THEN 'note:short' END, CASE WHEN other IS NOT NULL THEN ':unknown_key' END) END AS issues, e FROM x)
-    SELECT i.doc_id, CASE WHEN issues <> '' THEN issues WHEN d.doc_id IS NULL THEN (i.doc_id + 1) || ':unknown_reference' WHEN NOT coalesce(contains(d.text, e), false) THEN (i.doc_id + 1) || ':excerpt_mismatch' ELSE '' END AS issues FROM i LEFT JOIN documents d ON d.doc_id = i.doc_id + 1""",
+    i AS (SELECT x.doc_id, x.doc_id + (SELECT length(d.text) % 2 FROM documents d WHERE d.doc_id = x.doc_id) AS ref, CASE WHEN NOT ok THEN ':invalid_json' ELSE concat_ws(',', CASE WHEN lang NOT IN ('en', 'de', 'es') THEN 'lang:choice' END, CASE WHEN t = '' THEN 'text:short' WHEN length(t) > 2000 THEN 'text:long' END, CASE WHEN e = '' THEN 'evidence.0.excerpt:short' END, CASE WHEN length(trim(note)) > 40 THEN 'note:long' WHEN trim(note) = '' THEN 'note:short' END, CASE WHEN other IS NOT NULL THEN ':unknown_key' END) END AS issues, e FROM x)
+    SELECT i.doc_id, CASE WHEN issues <> '' THEN issues WHEN d.doc_id IS NULL THEN ref || ':unknown_reference' WHEN NOT coalesce(contains(d.text, e), false) THEN ref || ':excerpt_mismatch' ELSE '' END AS issues FROM i LEFT JOIN documents d ON d.doc_id = ref""",
 )
 def x33_issues(spark, sf_dir):
-    """A response a document, with its raw text between quotes (so some are no JSON), that quotes its start from the next one."""
+    """A response a document, with its text between quotes and only line ends escaped (so some are no JSON), that quotes its start from itself or the next one."""
     d = table(spark, sf_dir, "documents")
-    body = F.concat(F.lit('{"lang":"'), "lang", F.lit('","text":"'), "text", F.lit('","evidence":[{"sourceItemId":"'), F.col("doc_id") + 1, F.lit('","excerpt":"'), F.substring("text", 1, 50), F.lit('"}],"'), F.when(F.length("text") % 5 == 0, "other").otherwise("note"), F.lit('":"'), "source", F.lit('"}'))
+    line = lambda c: F.replace(c, F.lit("\n"), F.lit("\\n"))
+    body = F.concat(F.lit('{"lang":"'), "lang", F.lit('","text":"'), line(F.col("text")), F.lit('","evidence":[{"sourceItemId":"'), F.col("doc_id") + F.length("text") % 2, F.lit('","excerpt":"'), line(F.substring("text", 1, 50)), F.lit('"}],"'), F.when(F.length("text") % 5 == 0, "other").otherwise("note"), F.lit('":"'), "source", F.lit('"}'))
     made = d.select("doc_id", body.alias("body"))
     got = responses.decoded(made, d, "doc_id", "body", "doc_id", "text", CLAIM, lambda v: responses.references(v, ("evidence",), (), ()))
     return got.select("doc_id", F.array_join(F.transform("issues", lambda x: F.concat_ws(":", x["path"], x["problem"])), ",").alias("issues"))
