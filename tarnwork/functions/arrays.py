@@ -12,12 +12,6 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
 
-def jaccard_of_sets(a: Column, b: Column) -> Column:
-    """The same of arrays without repeats: one intersection, no union."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
-
-
 def overlap_coefficient(a: Column, b: Column) -> Column:
     """Shared members over the smaller set; 0 if either is empty."""
     least = F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
