@@ -37,7 +37,7 @@ def test_answered_exactly(spark):
     assert {r[0] for r in search.answered_exactly(q, d).collect()} == {1, 2} == {r[0] for r in search.exact(q, d, 5).select("query_id").collect()}
 
 
-@pytest.mark.parametrize("name", ["J12_channel_merge", "H6_capabilities", "O1_and_O2_scope_merge"])
+@pytest.mark.parametrize("name", ["H2_lexical_channel", "H3_lexical_five_fields", "J12_channel_merge", "H6_capabilities", "O1_and_O2_scope_merge"])
 def test_one_batch_builds_no_index(spark, name):
     catalog.load()
     before = set(glob.glob(f"{shared_dir(spark)}/terms-*"))
