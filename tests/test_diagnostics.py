@@ -33,3 +33,25 @@ def test_hot_diagnostic_and_empty_tables(spark):
     t, s = frames(spark, [(i, f"why {hot} here {i}" if i % 3 else f"{i} fine") for i in range(600)], [(i, hot + ".") for i in range(200)])
     assert embedded(t, s, "id", "body", "diagnostic").count() == 400
     assert embedded(t.limit(0), s, "id", "body", "diagnostic").count() == embedded(t, s.limit(0), "id", "body", "diagnostic").count() == 0
+
+
+def test_long_diagnostics(spark):
+    rng = random.Random(5)
+    words = ["error", "cannot", "read", "'name'", "of", "failed"]
+    line = lambda n: "error 'x' " + " ".join(rng.choice(words) for _ in range(n))
+    stored = [(i, line(n)) for i, n in enumerate([12, 13, 14, 15, 16, 17, 30, 60] * 4)]
+    texts = [(i, " ".join([line(3), d, line(i % 4)])) for i, d in stored] + [(900 + i, d.rsplit(" ", 1)[0]) for i, d in stored]
+    t, s = frames(spark, texts, stored)
+    got = {tuple(r) for r in embedded(t, s, "id", "body", "diagnostic").collect()}
+    assert got == pairwise(t, s) and len(got) >= 30
+
+
+def test_lookups_do_not_grow_with_shared_words(spark, monkeypatch):
+    """Every two neighbouring words are frequent, whole diagnostics are not: what is looked up is what is there."""
+    from tarnwork.operators import diagnostics
+
+    counts, write = {}, diagnostics.written
+    monkeypatch.setattr(diagnostics, "written", lambda df, tag: counts.update({tag: (out := write(df, tag)).count()}) or out)
+    lines = [f"error 'k': {a} value {b}.{c} seen" for a in range(8) for b in range(8) for c in range(8)]
+    t, s = frames(spark, list(enumerate(lines)), list(enumerate(lines)))
+    assert embedded(t, s, "id", "body", "diagnostic").count() == len(lines) == counts["diagnostic-hits"]
