@@ -14,7 +14,9 @@ members that are still outside the largest component of that shingle, against a
 in different components of one shingle, pair by pair, in blocks of bounded size. So every link is found or connected
 by others. Frequent shingles are dealt over several tasks at each of these steps. Before pairs of such shingles are
 counted they are held against each other by bitmaps: a bit says whether an odd number of a set's shingles falls on it,
-so the number of bits in which two differ is at most the number of shingles that only one of them has.
+so the number of bits in which two differ is at most the number of shingles that only one of them has. A few hundred
+bits tell nothing of two large sets, so those have bitmaps that grow with them, and pairs pass these before their
+shingles are fetched: only sets that are in a pair left by then are moved.
 """
 
 from __future__ import annotations
@@ -46,7 +48,7 @@ BUCKET_ROWS, PIVOTS, BLOCK = 4, 4, 512
 HELD_ROWS = 200_000
 #: Ids of sets, of a few numbers each, that are sent to all tasks at most; more are joined by a shuffle.
 SENT_ROWS = 1_000_000
-#: Bits of a set's bitmap.
+#: Bits of a set's bitmap; a larger set also has a wide one, with at least a bit for each of its shingles.
 BITS = 512
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -85,8 +87,13 @@ def possible(n, p, m, q):
     return similar(1 + np.minimum(n - p - 1, m - q - 1), n, m)
 
 
-def bitmap(shingles: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((shingles % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
+def bitmap(shingles: np.ndarray, size: int = BITS) -> bytes:
+    return np.packbits(np.bincount((shingles % np.uint64(size)).astype(np.int64), minlength=size) & 1).tobytes()
+
+
+def wide_bitmap(shingles: np.ndarray) -> bytes:
+    """Of a power of two of bits, so that the halves of a larger one make a smaller one; empty for small sets."""
+    return bitmap(shingles, 1 << (len(shingles) - 1).bit_length()) if len(shingles) > BITS else b""
 
 
 def alike(x, y, n, m):
@@ -95,6 +102,17 @@ def alike(x, y, n, m):
     return np.bitwise_count(x ^ y).sum(-1) <= n + m - 2 * least
 
 
+def alike_wide(x: bytes, y: bytes, n: int, m: int) -> bool:
+    """Whether sets of n and m shingles with these wide bitmaps may share enough."""
+    if not x or not y:
+        return True
+    x, y = (np.frombuffer(c, np.uint64) for c in (x, y))
+    while len(x) != len(y):
+        x, y = sorted((x, y), key=len)
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return bool(alike(x, y, n, m))
+
+
 def _cell(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64(CELLS - 1)).astype(np.int64)
 
@@ -186,7 +204,7 @@ def keys() -> list[Column]:
 
 
 def _prints(order, more: Callable[[np.ndarray], int] | None):
-    """Reads no_id, id, text_hash, text; of each the set's digest, size, first shingles and bitmap."""
+    """Reads no_id, id, text_hash, text; of each the set's digest, size, first shingles and bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -194,17 +212,18 @@ def _prints(order, more: Callable[[np.ndarray], int] | None):
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                digests, sizes, prefixes, bits, extra = [], [], [], [], []
+                digests, sizes, prefixes, bits, wide, extra = [], [], [], [], [], []
                 for t in b.column(3):
                     s = shingle_set(t.as_py())
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                     sizes.append(len(s))
                     prefixes.append(order.value.sorted(s)[: prefix_size(len(s))].tobytes() if len(s) else b"")
                     bits.append(bitmap(s))
+                    wide.append(wide_bitmap(s))
                     extra.append(more(s) if more and len(s) else 0)
                 fp = pa.array(np.array(extra, np.uint64).astype(np.int64))
-                columns = [*b.columns[:3], pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(bits, pa.binary()), fp]
-                yield pa.RecordBatch.from_arrays(columns, [*KEY, "digest", "n", "prefix", "bits", "fp"])
+                columns = [*b.columns[:3], pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), fp]
+                yield pa.RecordBatch.from_arrays(columns, [*KEY, "digest", "n", "prefix", "bits", "wide", "fp"])
 
     return run
 
@@ -214,11 +233,11 @@ def distinct_sets(rows: DataFrame, order, more: Callable[[np.ndarray], int] | No
 
     Sets are equal if the 128-bit digests of their shingles are. ``more`` makes a fingerprint ``fp`` of a set.
     """
-    schema = "no_id boolean, id long, text_hash long, digest binary, n long, prefix binary, bits binary, fp long"
+    schema = "no_id boolean, id long, text_hash long, digest binary, n long, prefix binary, bits binary, wide binary, fp long"
     prints = written(rows.mapInArrow(_prints(order, more), schema), "prints")
-    found = prints.groupBy("digest").agg(F.min(F.struct(*KEY)).alias("row"), *[F.first(c).alias(c) for c in ("n", "prefix", "bits", "fp")], F.count("*").alias("rows"))
+    found = prints.groupBy("digest").agg(F.min(F.struct(*KEY)).alias("row"), *[F.first(c).alias(c) for c in ("n", "prefix", "bits", "wide", "fp")], F.count("*").alias("rows"))
     # numbered where they are written, once
-    return prints, written(found.select(F.monotonically_increasing_id().alias("set_id"), "digest", "row.*", "n", "prefix", "bits", "fp", "rows"), "sets")
+    return prints, written(found.select(F.monotonically_increasing_id().alias("set_id"), "digest", "row.*", "n", "prefix", "bits", "wide", "fp", "rows"), "sets")
 
 
 def _emit_prefixes(order, heavy: bool):
@@ -315,11 +334,13 @@ def _bits(column: np.ndarray) -> np.ndarray:
 
 
 def _maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with their sizes and bitmaps; those that may be similar."""
+    """Pairs a, b with their sizes, bitmaps and wide bitmaps; those that may be similar, with their sizes."""
     for b in batches:
-        n, x, m, y = (c.to_numpy(zero_copy_only=False) for c in b.columns[2:])
+        n, m, x, y = (c.to_numpy(zero_copy_only=False) for c in b.columns[2:6])
         if len(n):
-            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(alike(_bits(x), _bits(y), n, m)))
+            few = b.filter(pa.array(alike(_bits(x), _bits(y), n, m)))
+            ok = [alike_wide(*facts) for facts in zip(*(few.column(i).to_pylist() for i in (6, 7, 2, 3)), strict=True)]
+            yield few.select(["a", "b", "n_a", "n_b"]).filter(pa.array(ok, pa.bool_()))
 
 
 def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,19 +396,26 @@ def fragments_of(needed: DataFrame, leaders: DataFrame, rows: DataFrame, order)
     return written(texts.mapInArrow(_emit_fragments(order), "set_id long, fragment int, shingles array<long>").dropDuplicates(["set_id", "fragment"]), "fragments")
 
 
-def linked(pairs: DataFrame, parts: DataFrame, leaders: DataFrame) -> DataFrame:
-    """The pairs (a, b) of similar sets: overlaps are counted by fragment and summed for each pair."""
-    ends = _sent(written(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct(), "ends"))
-    asked = parts.join(ends, "set_id", "left_semi")
-    side = lambda end: asked.select(F.col("set_id").alias(end), "fragment", F.col("shingles").alias(f"of_{end}"))
-    size = lambda end: leaders.select(F.col("set_id").alias(end), F.col("n").alias(f"n_{end}"))
-    partial = pairs.join(side("a"), "a").join(side("b"), ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("shared"))
-    shared = written(partial.groupBy("a", "b").agg(F.sum("shared").alias("shared")), "overlaps")
-    return shared.join(size("a"), "a").join(size("b"), "b").where(similar(F.col("shared"), F.col("n_a"), F.col("n_b"))).select("a", "b")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+
+
+def likely(candidates: DataFrame, leaders: DataFrame) -> DataFrame:
+    """The distinct candidates (a, b), the smaller id first, that pass their bitmaps, with n_a and n_b."""
+    pairs = written(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    known = leaders.join(_sent(written(_ends(pairs), "ends")), "set_id", "left_semi")
+    side = lambda end: known.select(F.col("set_id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "bits", "wide")])
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b", "wide_a", "wide_b")
+    return written(both.mapInArrow(_maybe, "a long, b long, n_a long, n_b long"), "likely")
 
 
-def _pairs(candidates: DataFrame) -> DataFrame:
-    return written(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+def linked(pairs: DataFrame, leaders: DataFrame, rows: DataFrame, order) -> DataFrame:
+    """The likely pairs whose sets are similar, as (a, b): overlaps are counted by fragment and summed for each pair."""
+    parts = fragments_of(_ends(pairs), leaders, rows, order)
+    side = lambda end: parts.select(F.col("set_id").alias(end), "fragment", F.col("shingles").alias(f"of_{end}"))
+    met = pairs.join(side("a"), "a").join(side("b"), ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("of_a", "of_b")).alias("shared"))
+    summed = met.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
+    return written(summed.where(similar(F.col("shared"), F.col("n_a"), F.col("n_b"))).select("a", "b"), "links")
 
 
 def _apart(crowded: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -436,20 +464,16 @@ def set_groups(rows: DataFrame, leaders: DataFrame, order, more: DataFrame | Non
     found = written(keyed.repartition("h").sortWithinPartitions("h").mapInArrow(_candidates(bucket_rows), schema), "buckets")
     heavy = some.mapInArrow(_emit_prefixes(order, True), "h long, set_id long, n long, place long")
     first = found.where("b is not null").select("a", "b")
-    pairs = _pairs(first if more is None else first.unionByName(more))
-    facts = lambda end: leaders.select(F.col("set_id").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}"))
-    both = pairs.join(facts("a"), "a").join(facts("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
-    pairs = written(both.mapInArrow(_maybe, "a long, b long"), "likely")
     crowded = heavy.unionByName(found.where("b is null").select("h", F.col("a").alias("set_id"), "n", "place"))
     crowded = written(crowded.join(leaders.select("set_id", "bits"), "set_id"), "crowded")
-    parts = fragments_of(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).union(crowded.select("set_id")), leaders, rows, order)
-    links = written(linked(pairs, parts, leaders), "links")
+    links = linked(likely(first if more is None else first.unionByName(more), leaders), leaders, rows, order)
     groups = connected_components(links, "a", "b").withColumnRenamed("node", "set_id")
     for last in (False, True):
         members, tops = _apart(crowded, groups)
         if tops.isEmpty():
             break
-        rest = written(linked(_pairs(_in_blocks(members, block) if last else _with_pivots(members, tops)), parts, leaders), "links")
+        pairs = likely(_in_blocks(members, block) if last else _with_pivots(members, tops), leaders)
+        rest = linked(pairs, leaders, rows, order)
         if not rest.isEmpty():
             links = links.unionByName(rest)
             groups = connected_components(links, "a", "b").withColumnRenamed("node", "set_id")

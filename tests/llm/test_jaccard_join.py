@@ -119,3 +119,30 @@ def test_bitmaps_never_hide_a_similar_set():
                 assert jj.alike(x, y, len(a), len(b))
             elif n == 300 and edits > 90:
                 assert not jj.alike(x, y, len(a), len(b))
+
+
+def test_wide_bitmaps():
+    """They hide no similar set, and tell large sets apart that the small bitmaps cannot."""
+    rng = np.random.default_rng(6)
+    draw = lambda n: rng.integers(0, 1 << 62, n).astype(np.uint64)
+    for n in (400, 513, 1000, 1100, 5000):
+        a = np.unique(draw(n))
+        for edits in range(0, n // 4, max(1, n // 40)):
+            for b in (np.unique(np.r_[a[edits:], draw(edits)]), a[edits:]):
+                if jj.similar(len(np.intersect1d(a, b)), len(a), len(b)):
+                    assert jj.alike_wide(jj.wide_bitmap(a), jj.wide_bitmap(b), len(a), len(b))
+    x, y = np.unique(draw(5000)), np.unique(draw(4500))
+    assert jj.alike(*(np.frombuffer(jj.bitmap(s), np.uint64) for s in (x, y)), len(x), len(y))
+    assert not jj.alike_wide(jj.wide_bitmap(x), jj.wide_bitmap(y), len(x), len(y))
+
+
+def test_only_sets_in_a_likely_pair_are_moved(spark, monkeypatch):
+    """Large texts, every two of which have one part in common."""
+    counts, write = {}, jj.written
+    monkeypatch.setattr(jj, "written", lambda df, tag: counts.setdefault(tag, []).append((out := write(df, tag)).count()) or out)
+    rng = random.Random(9)
+    part = {(i, j): " ".join(str(rng.randrange(10**6)) for _ in range(200)) for j in range(12) for i in range(j)}
+    texts = [" ".join(part[min(i, j), max(i, j)] for j in range(12) if j != i) for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["component_id"] for r in jj.similar_components(docs).collect()) == list(range(12))
+    assert sum(counts["candidates"]) > 20 and sum(counts["needed"]) == 0
