@@ -79,26 +79,47 @@ def domain_of_labels(labels: DataFrame) -> DataFrame:
     return rows.select("doc_id", domain.alias("domain"))
 
 
+def _ids_met(rows: DataFrame) -> np.ndarray:
+    """Sorted distinct token ids of the rows' bags: one vocabulary at most."""
+    return np.sort(rows.select(F.explode("bag.ids").alias("id")).distinct().toArrow()["id"].to_numpy()).astype(np.int64)
+
+
+def _vectors(rows: DataFrame, met: np.ndarray) -> DataFrame:
+    """domain, and the rows' bags as vectors over the ids that any of them has."""
+
+    @F.udf(VectorUDT())
+    def vector(ids, counts):
+        return SparseVector(max(len(met), 1), np.searchsorted(met, ids), counts)
+
+    return rows.select(vector("bag.ids", "bag.counts").alias("bag"), "domain")
+
+
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, path: str | None = None) -> Posterior | None:
-    """A model from ``text`` to domain posteriors, fitted on about ``train_docs`` labelled documents; None without two domains."""
+    """A model from ``text`` to domain posteriors, fitted on about ``train_docs`` labelled documents; None without two domains.
+
+    The fit has weights for the ids that the sample has: those of all others are zero whatever it finds, and the driver
+    would keep tens of vectors of the vocabulary's size for them.
+    """
     known = domain_of_labels(labels)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, train_docs / max(known.count(), 1)))
-    rows = docs.where("text is not null").select("doc_id", "text").join(known.where(draw), "doc_id").select("text", "domain")
-    rows = written(rows, "labelled")
-    if rows.select("domain").distinct().limit(2).count() < 2:
-        return None
+    rows = docs.where("text is not null").select("doc_id", "text").join(known.where(draw), "doc_id")
     path = path or vocabulary_path()
 
-    @F.udf(VectorUDT())
+    @F.udf("ids array<int>, counts array<double>")
     def bag(text):
-        return SparseVector(END_OF_TEXT + 1, *_bag(encoder(path)(text)))
+        return tuple(x.tolist() for x in _bag(encoder(path)(text)))
 
-    fit = LogisticRegression(featuresCol="bag", labelCol="domain", family="multinomial", regParam=SHRINK, maxIter=25)
-    model = fit.fit(rows.select(bag("text").alias("bag"), "domain"))
-    weights, bias = model.coefficientMatrix.toArray().T, model.interceptVector.toArray()
+    rows = written(rows.select(bag("text").alias("bag"), "domain"), "labelled")
+    if rows.select("domain").distinct().limit(2).count() < 2:
+        return None
+    met = _ids_met(rows)
+    model = LogisticRegression(featuresCol="bag", labelCol="domain", family="multinomial", regParam=SHRINK, maxIter=25).fit(_vectors(rows, met))
+    found, bias = model.coefficientMatrix.toArray().T, model.interceptVector.toArray()
     # a model that has not met the last domains has no column for them
     none = len(DOMAINS) - len(bias)
-    return Posterior(np.pad(weights, ((0, 0), (0, none))), np.pad(bias, (0, none), constant_values=-np.inf))
+    weights = np.zeros((END_OF_TEXT + 1, len(DOMAINS)))
+    weights[met, : len(bias)] = found[: len(met)]
+    return Posterior(weights, np.pad(bias, (0, none), constant_values=-np.inf))
 
 
 def _scored(shared, path: str, keep: list[str]):

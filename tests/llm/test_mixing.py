@@ -102,3 +102,20 @@ def test_mixed_tells_unreached_targets(spark):
         assert mixing.mixed(docs, none, (0.9, 0.1, 0.0)).columns == docs.columns
     with pytest.raises(ValueError, match="not reached"):
         mixing.mixed(docs, none, (0.9, 0.1, 0.0), strict=True)
+
+
+def test_fit_is_as_wide_as_its_sample(spark):
+    docs, labels, _ = labelled(spark)
+    fitted = []
+
+    class Watched(mixing.LogisticRegression):
+        def fit(self, rows):
+            fitted.append({len(r["bag"]) for r in rows.collect()})
+            return super().fit(rows)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(mixing, "LogisticRegression", Watched)
+        model = mixing.train(docs, labels)
+    ids = {i for r in docs.join(labels.dropna(), "doc_id").where("text is not null").collect() for i in mixing.encoder(mixing.vocabulary_path())(r["text"])}
+    assert fitted == [{len(ids)}] and len(ids) < 100
+    assert model.weights.shape == (mixing.END_OF_TEXT + 1, 3) and set(np.flatnonzero(np.abs(model.weights).sum(1))) <= ids
