@@ -400,12 +400,21 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
 
 
-def likely(candidates: DataFrame, leaders: DataFrame) -> DataFrame:
-    """The distinct candidates (a, b), the smaller id first, that pass their bitmaps, with n_a and n_b."""
+def likely(candidates: DataFrame, leaders: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """The distinct candidates (a, b), the smaller id first, that pass their bitmaps, with n_a and n_b.
+
+    With ``groups`` (set_id, component) only those whose ends are not in one group: what is connected is not counted again.
+    """
     pairs = written(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     known = leaders.join(_sent(written(_ends(pairs), "ends")), "set_id", "left_semi")
-    side = lambda end: known.select(F.col("set_id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "bits", "wide")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b", "wide_a", "wide_b")
+    facts = ["n", "bits", "wide"]
+    if groups is not None:
+        known, facts = known.join(_sent(groups), "set_id", "left"), [*facts, "component"]
+    side = lambda end: known.select(F.col("set_id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in facts])
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    if groups is not None:
+        both = both.where("component_a is null or component_b is null or component_a <> component_b")
+    both = both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b", "wide_a", "wide_b")
     return written(both.mapInArrow(_maybe, "a long, b long, n_a long, n_b long"), "likely")
 
 
@@ -456,8 +465,11 @@ def _in_blocks(members: DataFrame, block: int) -> DataFrame:
     return rows.repartition("k").sortWithinPartitions("k").mapInArrow(_across, "a long, b long")
 
 
-def set_groups(rows: DataFrame, leaders: DataFrame, order, more: DataFrame | None = None, bucket_rows: int = BUCKET_ROWS, block: int = BLOCK) -> DataFrame:
-    """set_id and component (a set_id) of the sets that are linked with any other. ``more`` are candidates (a, b) found elsewhere."""
+def set_groups(rows: DataFrame, leaders: DataFrame, order, near: DataFrame | None = None, bucket_rows: int = BUCKET_ROWS, block: int = BLOCK) -> DataFrame:
+    """set_id and component (a set_id) of the sets that are linked with any other.
+
+    ``near`` has the set_id and component of sets that links found elsewhere connect; pairs inside these are not counted.
+    """
     some = leaders.where("n > 0").select("set_id", "n", "prefix")
     schema = "a long, b long, h long, n long, place long"
     keyed = some.mapInArrow(_emit_prefixes(order, False), "h long, set_id long, facts long")
@@ -466,7 +478,9 @@ def set_groups(rows: DataFrame, leaders: DataFrame, order, more: DataFrame | Non
     first = found.where("b is not null").select("a", "b")
     crowded = heavy.unionByName(found.where("b is null").select("h", F.col("a").alias("set_id"), "n", "place"))
     crowded = written(crowded.join(leaders.select("set_id", "bits"), "set_id"), "crowded")
-    links = linked(likely(first if more is None else first.unionByName(more), leaders), leaders, rows, order)
+    links = linked(likely(first, leaders, near), leaders, rows, order)
+    if near is not None:
+        links = links.unionByName(near.select(F.col("set_id").alias("a"), F.col("component").alias("b")))
     groups = connected_components(links, "a", "b").withColumnRenamed("node", "set_id")
     for last in (False, True):
         members, tops = _apart(crowded, groups)

@@ -1,10 +1,11 @@
 """Near copies: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates come from two searches. The Golay keys of ``simhash_golay`` find sets whose 64-bit SimHash differs in 4
-bits or fewer: most copies with small edits, however many there are. They cannot find all: two sets of similarity 0.8
-differ in about ten bits, give or take three, and a radius that covers them lets through a share of all pairs. The
-prefix filter of ``jaccard_join`` finds the rest and misses none. The overlap of each candidate is counted over the
-whole sets, and crowded shingles are searched as described there.
+They are found in two steps. The Golay keys of ``simhash_golay`` find sets whose 64-bit SimHash differs in 4 bits or
+fewer: most copies with small edits, however many there are. Those whose shingle sets are similar are linked and make
+the first groups. They cannot be all: two sets of similarity 0.8 differ in about ten bits, give or take three, and a
+radius that covers them lets through a share of all pairs. So the prefix filter of ``jaccard_join`` completes them and
+misses none: it looks for links between these groups, and does not fetch or count what is inside one. The overlap of
+each candidate is counted over the whole sets, and crowded shingles are searched as described there.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwork.llm.hot_join import join_facts
-from tarnwork.llm.jaccard_join import BUCKET_ROWS, KEY, distinct_sets, global_order, keys, set_groups
+from tarnwork.llm.jaccard_join import BUCKET_ROWS, KEY, distinct_sets, global_order, keys, likely, linked, set_groups
 from tarnwork.llm.simhash_golay import majority, near_links
+from tarnwork.plans.components import connected_components
 from tarnwork.plans.shared import written
 
 
@@ -28,12 +30,18 @@ def _golay_candidates(leaders: DataFrame) -> DataFrame:
     return equal.unionByName(links.join(side("a"), "fp_a").join(side("b"), "fp_b").select("a", "b"))
 
 
+def simhash_groups(rows: DataFrame, leaders: DataFrame, order) -> DataFrame:
+    """set_id and component of the sets that have a similar one within 4 bits of their SimHash."""
+    links = linked(likely(_golay_candidates(leaders), leaders), leaders, rows, order)
+    return written(connected_components(links, "a", "b").withColumnRenamed("node", "set_id"), "simhash-groups")
+
+
 def _grouped(docs: DataFrame, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
     """Prints of all rows, and for each set its digest, first row and count of rows, and its component's first row (least)."""
     rows = docs.select(*keys(), "text")
     order = docs.sparkSession.sparkContext.broadcast(global_order(rows))
     prints, leaders = distinct_sets(rows, order, majority)
-    groups = set_groups(rows, leaders, order, _golay_candidates(leaders), bucket_rows)
+    groups = set_groups(rows, leaders, order, simhash_groups(rows, leaders, order), bucket_rows)
     named = written(leaders.select("set_id", "digest", *KEY, "rows").join(groups, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "named-sets")
     least = named.groupBy("component").agg(F.min(F.struct(*KEY)).alias("least"))
     return prints, written(named.join(least, "component").select("digest", *KEY, "rows", "least"), "near-groups")

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from tarnwork.llm import jaccard_join
 from tarnwork.llm import near_copies as nc
 
 
@@ -63,6 +64,24 @@ def test_stage_drops_what_four_bits_keep(spark, texts):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(components(texts)))
 
 
+def test_simhash_groups_are_not_searched_again(spark, monkeypatch):
+    rng = random.Random(5)
+    body = ["w" + str(rng.randrange(900)) for _ in range(400)]
+    texts = [" ".join(["few"] * (k % 3) + body + [f"end{k}"]) for k in range(24)]
+    rows = [(i, t) for i, t in enumerate([*texts, "another text that no one has copied", " ".join(body[:350])])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counted = []
+    exact = jaccard_join.linked
+    monkeypatch.setattr(jaccard_join, "linked", lambda pairs, *rest: (counted.append(pairs.count()), exact(pairs, *rest))[1])
+    kept = sorted(r["doc_id"] for r in nc.keep_one_copy(docs).collect())
+    after_simhash = sum(counted)
+    counted.clear()
+    own = nc._golay_candidates
+    monkeypatch.setattr(nc, "_golay_candidates", lambda leaders: own(leaders).limit(0))
+    assert kept == sorted(r["doc_id"] for r in nc.keep_one_copy(docs).collect()) == [0, 24]
+    assert after_simhash < sum(counted) / 2
+
+
 def test_edges(spark):
     rows = [(None, "a b"), (None, "a b"), (3, "a b"), (3, "a b"), (4, None), (5, " "), (None, "only here"), (None, "only here"), (6, "one text"), (6, "another text")]
     docs = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, key int, set_id string")
