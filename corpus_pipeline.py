@@ -13,16 +13,18 @@ from tarnwork.llm.lgs_packing import pack_documents
 from tarnwork.llm.mixing import mixed
 from tarnwork.llm.near_copies import keep_one_copy
 from tarnwork.llm.secret_scan import redact
-from tarnwork.plans.shared import written
+from tarnwork.plans.shared import small_batches, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters or without a likely language go; a missing language is filled in."""
+    small_batches(spark)
     return identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity 0.8 or more) stays, the one with the smallest id."""
+    small_batches(spark)
     return keep_one_copy(docs)
 
 
@@ -33,11 +35,13 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents occur as often as their mixing rate says."""
+    small_batches(spark)
     return mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, by sequence and offset."""
+    small_batches(spark)
     return pack_documents(docs)
 
 

@@ -187,9 +187,13 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, measure: bool = False,
     if not sizes:
         return None
     each = train_bytes / len(sizes)
-    shares = spark.createDataFrame([(r["lang"], min(1.0, train_docs / r["n"], each / max(r["bytes"], 1.0)), r["first"]) for r in sizes], "lang string, share double, first double")
-    drawn = usable.join(F.broadcast(shares), "lang").where((draw < F.col("share")) | (draw == F.col("first")))  # a row for each language
-    for_measure = (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < int((1 << 20) * MEASURED)) & (draw > F.col("first"))
+    # a literal with an entry for each language, as each byte's costs have: a table made of rows here would start Python workers
+    # of another kind on the executors, and its broadcasts take a page of memory in each
+    of_lang = lambda values: F.try_element_at(F.create_map(*[F.lit(x) for r, v in zip(sizes, values, strict=True) for x in (r["lang"], v)]), F.col("lang"))
+    share = of_lang([min(1.0, train_docs / r["n"], each / max(r["bytes"], 1.0)) for r in sizes])
+    first = of_lang([r["first"] for r in sizes])
+    drawn = usable.where((draw < share) | (draw == first))
+    for_measure = (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < int((1 << 20) * MEASURED)) & (draw > first)
     learned = drawn.where(~for_measure) if measure else drawn
     counted = learned.select("lang", "text").mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = counted.toArrow()
@@ -206,6 +210,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, measure: bool = False,
     usual = np.zeros(len(model.languages))
     for r in seen.groupBy("at").agg((F.sum("bits") / F.greatest(F.sum("bytes"), F.lit(1))).alias("usual")).collect():  # a row for each language
         usual[r["at"]] = r["usual"]
+    shared.destroy()  # executors would keep it beside the one that predicts
     return Model(model.languages, model.prior, model.trees, model.slot_gram, model.slot_row, model.costs, usual)
 
 

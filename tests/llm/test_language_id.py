@@ -111,6 +111,26 @@ def test_held_out_accuracy_and_edges(spark):
     assert li.predict(docs, None, ["doc_id"]).where("lang_pred <> 'und'").count() == 0
 
 
+def test_shares_need_no_table_and_no_broadcast_is_left(spark, monkeypatch):
+    """Rows that the driver turns into a table pass through Python workers of their own on the executors, which stay there."""
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string, lang string")
+    docs.count()
+    sent, gone = [], []
+    broadcast = spark.sparkContext.broadcast
+
+    def watched(value):
+        sent.append(broadcast(value))
+        destroy = sent[-1].destroy
+        sent[-1].destroy = lambda *a: (gone.append(len(sent)), destroy(*a))
+        return sent[-1]
+
+    monkeypatch.setattr(type(spark), "createDataFrame", None)
+    monkeypatch.setattr(spark.sparkContext, "broadcast", watched)
+    model = li.train(docs, measure=True)
+    assert model.languages == ["aa", "bb", "cc"] and (model.usual > 0).all()
+    assert len(sent) == len(gone) == 1
+
+
 def test_no_language_is_lost(spark):
     """Very many languages, most with one document."""
     rng = random.Random(15)

@@ -1,7 +1,9 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tarnwork.llm.lgs_packing import CAPACITY
 
@@ -55,6 +57,30 @@ def test_stages(spark, folder, tmp_path):
     assert max(lengths.values()) <= CAPACITY
 
 
+def test_workers_get_small_batches(spark, folder, monkeypatch):
+    """Stages end Arrow batches by their bytes, unless the session has a bound of its own."""
+    path, _ = folder
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(docs, *_):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["size"])
+
+        return docs.sparkSession.range(0, 6000, 1, 1).select(F.repeat(F.lit("x"), 3000).alias("text")).mapInArrow(run, "size long")
+
+    for name in ("identified", "keep_one_copy", "mixed", "pack_documents"):
+        monkeypatch.setattr(pipeline, name, sizes)
+    for (name, stage), own in zip(pipeline.STAGES, [None, str(1 << 30), None, None, None], strict=True):
+        session = spark.newSession()
+        if own:
+            session.conf.set(setting, own)
+        if name == "secret scans":  # has no Python
+            continue
+        found = [r["size"] for r in stage(session, session.read.parquet(f"{path}/documents.parquet"), path).collect()]
+        assert sum(found) > 18_000_000 and (max(found) > 18_000_000 if own else max(found) < 4_500_000)
+
+
 def test_run(spark, folder):
     path, _ = folder
     out = pipeline.run(spark, path)
