@@ -1,11 +1,12 @@
 """Pairs found and compared block against block."""
 
 import glob
+import os
 import random
 
 from pyspark.sql import functions as F
 
-from tarnwork.operators import canonical
+from tarnwork.operators import canonical, profile_blocks
 from tarnwork.operators.profile_blocks import meeting
 from tarnwork.plans import catalog
 from tarnwork.plans.shared import shared_dir
@@ -69,3 +70,39 @@ def test_digests_of_profiles_write_nothing(spark):
     before = set(glob.glob(f"{shared_dir(spark)}/*"))
     assert catalog.QUERIES["R9_similarity_profiles"](spark, SF).count()
     assert set(glob.glob(f"{shared_dir(spark)}/*")) == before
+
+
+def _shared_keys(rows):
+    """(id, keys, words, kind, part) -> {pair: common words}."""
+    return {(a[0], b[0]): len(set(a[2]) & set(b[2])) for a in rows for b in rows if a[0] < b[0] and set(a[1]) & set(b[1])}
+
+
+def test_blocks_are_stored_once_and_never_shuffled(spark):
+    """However many blocks there are, what is stored hardly grows, and nothing is dealt out by block."""
+    rng = random.Random(7)
+    rows = [(i, [i % 40, 100 + i % 7], [rng.getrandbits(60) for _ in range(200)] + list(range(i % 5)), i % 2, 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, keys array<long>, words array<long>, kind long, part long")
+    size = lambda: sum(os.path.getsize(f) for f in glob.glob(f"{shared_dir(spark)}/**/*.parquet", recursive=True))
+    before = size()
+    got = meeting(df, ("words",), ("kind",), block=20)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r["left_id"], r["right_id"]): r["words_both"] for r in got.collect()} == _shared_keys(rows)
+    assert size() - before < 2 * 400 * 200 * 8
+
+
+def test_groups_that_share_no_key_need_not_meet(spark, monkeypatch):
+    """Large and small groups, rows without a group that share keys with all of them, values that nearly all rows have, and blocks cut by their items."""
+    monkeypatch.setattr(profile_blocks, "BLOCK_ITEMS", 3_000)
+    rng = random.Random(11)
+    rows = []
+    for i in range(300):
+        part = None if i % 29 == 0 else (i if i < 40 else i % 3)
+        keys = [rng.randrange(12) for _ in range(2)] if part is None else [1_000 * (part + 1) + rng.randrange(12) for _ in range(2)]
+        words = [v for v in range(60) if rng.random() < (0.8 if v < 30 else 0.02)] + [10_000 + i]
+        rows.append((i, sorted({*keys, *([7] if part is None else [1_007, 5] if part == 0 else [])}), words, i % 2, part))
+    rows = [(i, k if p is not None else k + [1_007], w, e, p) for i, k, w, e, p in rows]
+    df = spark.createDataFrame(rows, "id long, keys array<long>, words array<long>, kind long, part long")
+    for block in (None, 37):
+        found = meeting(df, ("words",), ("kind",), block, "part").collect()
+        assert {(r["left_id"], r["right_id"]): r["words_both"] for r in found} == _shared_keys(rows)
+        assert len(found) == len(_shared_keys(rows))
