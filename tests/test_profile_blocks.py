@@ -4,6 +4,7 @@ import glob
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tarnwork.operators import canonical, profile_blocks
@@ -106,3 +107,12 @@ def test_groups_that_share_no_key_need_not_meet(spark, monkeypatch):
         found = meeting(df, ("words",), ("kind",), block, "part").collect()
         assert {(r["left_id"], r["right_id"]): r["words_both"] for r in found} == _shared_keys(rows)
         assert len(found) == len(_shared_keys(rows))
+
+
+@pytest.mark.parametrize("name", ["R10_pair_comparison", "R11_pair_decisions"])
+def test_queries_store_profiles_once(spark, name):
+    catalog.load()
+    before = set(glob.glob(f"{shared_dir(spark)}/*"))
+    got = catalog.QUERIES[name](spark, SF)
+    assert [os.path.basename(f).rsplit("-", 1)[0] for f in set(glob.glob(f"{shared_dir(spark)}/*")) - before] == ["profile-blocks"]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
