@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tarnwork.functions import text as text_functions
 from tarnwork.operators import canonical, profile_blocks
 from tarnwork.operators.profile_blocks import meeting
 from tarnwork.plans import catalog
@@ -116,3 +117,10 @@ def test_queries_store_profiles_once(spark, name):
     got = catalog.QUERIES[name](spark, SF)
     assert [os.path.basename(f).rsplit("-", 1)[0] for f in set(glob.glob(f"{shared_dir(spark)}/*")) - before] == ["profile-blocks"]
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tokens_are_split_as_by_ranges(spark):
+    every = spark.createDataFrame([("".join(f"a{chr(c)}b " for c in range(1, 0x500) if not 0xD800 <= c < 0xE000),)], "t string")
+    by_ranges, by_table = every.select(F.split("t", r"[^a-z0-9_@./<>:-]+"), F.split("t", text_functions.BETWEEN_TOKENS)).first()
+    assert by_table == by_ranges
+    assert "-z" not in text_functions.BETWEEN_TOKENS  # a range would be tested character by character
